@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recjobs.functions.storage import materialize
+from recjobs.llm.decontaminate import find_contamination
+from recjobs.llm.language import identify_language
+from recjobs.llm.line_dedup import line_dedup
 from recjobs.llm.ngram_join import ngram_jaccard_join
+from recjobs.llm.pieces import encode_pieces
+from recjobs.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go."""
+    rejected = identify_language(docs).filter("lang_pred = 'und'").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Common blocks go from the later document, and a document with nothing else goes altogether."""
+    found = line_dedup(docs).select("doc_id", F.col("text").alias("kept"), "n_deleted").dropDuplicates(["doc_id"])
+    changed = docs.join(found.filter("n_deleted > 0"), "doc_id", "left")
+    changed = changed.filter(F.col("kept").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    text = F.coalesce("kept", "text")
+    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))
+    return changed.select(*({"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles at 0.8, the one of least id stays."""
     groups = ngram_jaccard_join(docs, k=5, threshold=0.8)
-    return docs.join(groups.filter("component_id = doc_id").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(groups.filter("component_id < doc_id").select("doc_id"), "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, or an edited copy of one, go."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id"), "doc_id", "left_anti")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, starts, ends)``: piece ids with their byte spans."""
+    return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # models, components and a tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,22 +19,26 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return moved.filter("a > b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Each node hangs on one node, which hangs on none."""
+    hung = edges.groupBy("a").agg(F.count("*").alias("n"))
+    top = edges.select(F.col("b").alias("a")).distinct()
+    return hung.join(top.withColumn("top", F.lit(True)), "a", "left").filter("n > 1 or top").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` longs -> ``(node, component)``, the component being its least node.
 
     Self-loops and repeated edges are allowed; nodes without an edge to another node are not
-    returned. Rounds grow with the logarithm of the longest path. Nothing but one row of sums
-    reaches the driver; each round's table is written to the shared folder.
+    returned. Rounds grow with the logarithm of the longest path; each round's table is written to
+    the shared folder, and nothing of it reaches the driver.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     now = materialize(now, "edges")
-    before = None
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, small=False), small=True), "edges")
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sums) == before:
+        if _settled(now):
             break
-        before = tuple(sums)
+        now = materialize(_star(_star(now, small=False), small=True), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

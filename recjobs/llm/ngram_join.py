@@ -90,35 +90,37 @@ class Parts:
         smaller = self.floors[level + 1] - 1
         return math.floor(smaller * (1 - self.t) / self.t)
 
-    def keys(self, u: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-        """Keys under which a set is filed: two sets that are similar enough share one at least."""
+    def keys(self, m: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """Keys under which a set (of mixed hashes) is filed: two sets that are similar enough share
+        one at least."""
         out = [np.empty(0, _U)]
-        light = u[~heavy]
-        for level in self.levels(len(u)):
+        light = m[~heavy] if heavy.any() else m
+        for level in self.levels(len(m)):
             d = self.differing(level)
             if d < 1:  # only equal sets
                 continue
             spare = 1 + d // 12
             parts = d + 1 + spare
             # one more part holds all frequent shingles: it may differ, so d + 1 + spare others do
-            keys, empty = self._filed(light, parts, level, False)
+            keys, empty = self._filed(light, parts, 4 * level)
             out.append(keys)
             if empty > spare:  # mostly frequent shingles: filed by all of them besides
-                keys, empty = self._filed(u, parts, level, True)
+                keys, empty = self._filed(m, parts, 4 * level + 1)
                 out.append(keys)
                 if empty > spare:
-                    out.append(mix(np.array([level * 2 + 1], _U) * _U(0xA24BAED4963EE407)))
-        return np.unique(np.concatenate(out))
+                    out.append(mix(np.array([4 * level + 2], _U)))
+        return np.concatenate(out)
 
     @staticmethod
-    def _filed(u: np.ndarray, parts: int, level: int, all_of_them: bool) -> tuple[np.ndarray, int]:
-        if not len(u):
+    def _filed(m: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, int]:
+        if not len(m):
             return np.empty(0, _U), parts
-        part = (mix(u) % _U(parts)).astype(np.int64)
+        part = ((m >> _U(32)) * _U(parts) >> _U(32)).astype(np.uint16 if parts < 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
-        at = np.flatnonzero(np.diff(part[order], prepend=-1))
-        sums = np.add.reduceat(mix(u + _U(2 * level + all_of_them + 1))[order], at)
-        return mix(sums ^ mix(part[order][at].astype(_U) + _U(1))), parts - len(at)
+        part = part[order]
+        at = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
+        sums = np.add.reduceat(m[order], at)
+        return mix(sums ^ mix(part[at].astype(_U) * _U(1024) + _U(salt))), parts - len(at)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction) -> DataFrame:
@@ -131,10 +133,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: F
             for part in slices(batch):
                 ns, f1, f2, keys = [], [], [], []
                 for u in shingles(part.column(1), k):
+                    m = mix(u ^ _U(0x5851F42D4C957F2D))
                     ns.append(len(u))
-                    f1.append(mix(u).sum(dtype=_U) if len(u) else _U(0))
-                    f2.append(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) if len(u) else _U(0))
-                    keys.append(parts.keys(u, heavy[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
+                    f1.append(m.sum(dtype=_U))
+                    f2.append(np.bitwise_xor.reduce(m) if len(m) else _U(0))
+                    keys.append(parts.keys(m, heavy[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, _U), *keys]).view(np.int64)))], ["doc_id", "n_shingles", "fp1", "fp2", "keys"])
 
@@ -234,11 +237,20 @@ def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _join_one(t: Fraction):
+    """Each set that is linked within its chunk, with the least set of its component there."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sets = _ordered(pdf)
         tree, group = SignatureTree(sets, _bits(sets)), np.arange(len(sets))
-        pairs = list(dual_traversal(t, tree, tree, group, 0))
-        return pd.DataFrame({"a": ids[[p[0] for p in pairs]], "b": ids[[p[1] for p in pairs]]}, dtype="int64")
+        for _ in dual_traversal(t, tree, tree, group, 0):
+            pass
+        for i in range(len(group)):  # parents come before their children
+            group[i] = group[group[i]]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids)
+        root = least[group]
+        rows = np.flatnonzero(ids != root)
+        return pd.DataFrame({"a": ids[rows], "b": root[rows], "several": bool(pdf["chunks"].iloc[0] > 1)})
 
     return run
 
@@ -297,25 +309,27 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
     members = texts.join(clusters, "set_id").select("set_id", "cluster", "text").mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary")
     members = materialize(members, "members")
 
-    # every chunk for itself; then one set of each component of the clusters of several chunks, again
-    links, active, left = None, _chunked(members, "cluster"), None
-    for _ in range(8):
-        found = materialize(active.groupBy("cluster", "chunk").applyInPandas(_join_one(t), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        more = active.filter("chunks > 1").select("set_id", "cluster", "n_shingles", "tokens")
-        if more.isEmpty():
-            left = None
-            break
-        linked = connected_components(found).filter("node > component").select(F.col("node").alias("set_id"))
-        left = materialize(more.join(linked, "set_id", "left_anti"), "representatives")
-        n, before = left.count(), more.count()
-        active = _chunked(left, "cluster")
-        if n > 0.8 * before:
-            break
-    if left is not None:
-        links = links.unionByName(_across(members, active.filter("chunks > 1").select("cluster").distinct(), links, t))
-
-    joined = connected_components(links).select(F.col("node").alias("set_id"), F.col("component").alias("component_id"))
+    # every chunk for itself: clusters of one chunk are done
+    active = _chunked(members, "cluster")
+    found = materialize(active.groupBy("cluster", "chunk").applyInPandas(_join_one(t), "a long, b long, several boolean"), "links")
+    joined = found.filter("not several").select(F.col("a").alias("set_id"), F.col("b").alias("component_id"))
+    active = materialize(active.filter("chunks > 1"), "several")
+    n = active.count()
+    if n:
+        large, links = active.select("cluster").distinct(), found.filter("several").select("a", "b")
+        # one set of each component goes on to chunks of its cluster cut anew, while that helps
+        for _ in range(8):
+            left = active.select("cluster", "set_id", "n_shingles", "tokens").join(found.select(F.col("a").alias("set_id")), "set_id", "left_anti")
+            active = materialize(_chunked(left, "cluster"), "representatives")
+            n, before = active.count(), n
+            found = materialize(active.groupBy("cluster", "chunk").applyInPandas(_join_one(t), "a long, b long, several boolean"), "links")
+            links = links.unionByName(found.select("a", "b"))
+            active = active.filter("chunks > 1")
+            if n > 0.8 * before or active.isEmpty():
+                break
+        links = links.unionByName(_across(members, large, links, t))
+        joined = joined.unionByName(connected_components(links).filter("node > component").select(F.col("node").alias("set_id"), F.col("component").alias("component_id")))
+
     classes = sets.join(joined, "set_id", "left").select("fp1", "fp2", "n_shingles", "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
     linked = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))

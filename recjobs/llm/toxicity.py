@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recjobs.llm.textvec import LOWER, Texts, mix, slices
+from recjobs.llm.textvec import Texts, slices
 
 _U = np.uint64
 WORD_BITS = 18  # hashed words of the label statistics
+STEM_BYTES = (4, 5, 6)
 MAX_FEATURES = 2048
 MAX_LABELLED = 20_000  # rows on which the logistic model is fitted; word statistics use all of them
 CACHE_TOKENS = 200_000
@@ -181,11 +182,20 @@ def character_model(docs: DataFrame, text_col: str = "text") -> Channel:
     return Channel(_summed(rows, 27**3))
 
 
+def _stems(texts: Texts, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and their beginnings of STEM_BYTES: compounds and endings share those."""
+    docs, hashes = [doc], [texts.hashes(starts, ends)]
+    for n in STEM_BYTES:
+        longer = ends - starts > n
+        docs.append(doc[longer])
+        hashes.append(texts.hashes(starts[longer], starts[longer] + n))
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
 def _word_hashes(texts: Texts, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, hash)`` of its letter runs and restored tokens, each once a text."""
+    """``(text, hash)`` of letter runs and restored tokens, with their stems."""
     starts, ends, first = letter_runs(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    h = texts.hashes(starts, ends)
+    doc, h = _stems(texts, np.repeat(np.arange(len(texts)), np.diff(first)), starts, ends)
     more_doc, more = [], []
     for d, token in suspicious(texts):
         word = channel.restore(token)
@@ -199,8 +209,8 @@ def _word_hashes(texts: Texts, channel: Channel) -> tuple[np.ndarray, np.ndarray
                     more.append(word[a:b])
     if more:
         extra = Texts(pa.array(more, pa.string()))
-        doc = np.concatenate([doc, more_doc])
-        h = np.concatenate([h, extra.hashes(extra.offsets[:-1], extra.offsets[1:])])
+        more_doc, more_h = _stems(extra, np.array(more_doc), extra.offsets[:-1], extra.offsets[1:])
+        doc, h = np.concatenate([doc, more_doc]), np.concatenate([h, more_h])
     return doc, h
 
 
