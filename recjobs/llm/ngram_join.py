@@ -46,12 +46,17 @@ def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
     size, block = 1 << SKETCH_BITS, 1 << 14
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts, found, held = np.zeros(size, np.int64), [], 0
         for batch in batches:
             for part in slices(batch):
-                found = [u for u in shingles(part.column(0), k) if len(u)]
-                if found:
-                    counts += np.bincount((np.concatenate(found) >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                for u in shingles(part.column(0), k):
+                    found.append((u >> _U(64 - SKETCH_BITS)).astype(np.int32))
+                    held += len(u)
+                if held > size:
+                    counts += np.bincount(np.concatenate(found), minlength=size)
+                    found, held = [], 0
+        if found:
+            counts += np.bincount(np.concatenate(found), minlength=size)
         at = np.arange(0, size, block)
         yield pa.RecordBatch.from_arrays([pa.array(at // block, pa.int32()), pa.array([counts[i : i + block].tobytes() for i in at], pa.binary())], ["block", "counts"])
 
@@ -230,34 +235,57 @@ def _bits(sets: list[np.ndarray]) -> int:
     return 1 << min(14, max(9, (4 * max(map(len, sets), default=1) - 1).bit_length()))
 
 
-def _ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    sets = [np.frombuffer(x, _U) for x in pdf["tokens"]]
+def _ordered(ids: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    sets = [np.frombuffer(x, _U) for x in tokens]
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-    return pdf["set_id"].to_numpy()[order], [sets[i] for i in order]
+    return ids[order], [sets[i] for i in order]
 
 
-def _join_one(t: Fraction):
+def _join_chunk(t: Fraction, ids: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each set that is linked within its chunk, with the least set of its component there."""
+    ids, sets = _ordered(ids, tokens)
+    tree, group = SignatureTree(sets, _bits(sets)), np.arange(len(sets))
+    for _ in dual_traversal(t, tree, tree, group, 0):
+        pass
+    for i in range(len(group)):  # parents come before their children
+        group[i] = group[group[i]]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    root = least[group]
+    return ids[ids != root], root[ids != root]
+
+
+def _join_chunks(sets: DataFrame, t: Fraction) -> DataFrame:
+    """``(a, b, several)``: star edges of the components within each chunk of ``sets``; ``several``
+    tells clusters of more than one chunk. Chunks are bounded, and met one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, tokens = None, [], []
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                a, b = _join_chunk(t, np.array(ids, np.int64), tokens)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([key[2] > 1] * len(a))], ["a", "b", "several"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sets = _ordered(pdf)
-        tree, group = SignatureTree(sets, _bits(sets)), np.arange(len(sets))
-        for _ in dual_traversal(t, tree, tree, group, 0):
-            pass
-        for i in range(len(group)):  # parents come before their children
-            group[i] = group[group[i]]
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        root = least[group]
-        rows = np.flatnonzero(ids != root)
-        return pd.DataFrame({"a": ids[rows], "b": root[rows], "several": bool(pdf["chunks"].iloc[0] > 1)})
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for *now, set_id, data in zip(*columns):
+                if now != key:
+                    yield from joined()
+                    key, ids, tokens = now, [], []
+                ids.append(set_id)
+                tokens.append(data)
+        yield from joined()
 
-    return run
+    dealt = sets.select("cluster", "chunk", "chunks", "set_id", "tokens").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk")
+    return materialize(dealt.mapInArrow(run, "a long, b long, several boolean"), "links")
 
 
 def _join_two(t: Fraction):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [_ordered(pdf[pdf["side"] == s]) for s in (0, 1)]
+        parts = [pdf[pdf["side"] == s] for s in (0, 1)]
+        sides = [_ordered(p["set_id"].to_numpy(), list(p["tokens"])) for p in parts]
         component = dict(zip(pdf["set_id"], pdf["component"]))
         ids = np.concatenate([sides[0][0], sides[1][0]])
         first: dict[int, int] = {}
@@ -294,9 +322,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
     sets = signed.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("set_id"), F.first("keys").alias("keys"))
     sets = materialize(sets, "sets")
 
-    filed = sets.select("set_id", F.explode("keys").alias("key"))
-    least = filed.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot < last").select("key", "pivot")
-    edges = filed.join(least, "key").filter("set_id > pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key and set: each set after a key's first is joined to that first one."""
+        last_key = last_pivot = None
+        for batch in batches:
+            keys, ids = (batch.column(i).to_numpy() for i in (0, 1))
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            pivot = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            if len(keys) and keys[0] == last_key:
+                pivot[: len(keys) if new.sum() == 1 else np.flatnonzero(new)[1]] = last_pivot
+            if len(keys):
+                last_key, last_pivot = keys[-1], pivot[-1]
+            apart = ids != pivot
+            yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(pivot[apart])], ["a", "b"])
+
+    filed = sets.select(F.explode("keys").alias("key"), "set_id").repartition("key").sortWithinPartitions("key", "set_id")
+    edges = filed.mapInArrow(pivots, "a long, b long").distinct()
     clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,12 +348,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())], ["set_id", "cluster", "n_shingles", "tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text"))
-    members = texts.join(clusters, "set_id").select("set_id", "cluster", "text").mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary")
+    # a sort-merge join at every size: the candidates grow with the corpus, so they are never broadcast
+    members = texts.join(clusters.hint("merge"), "set_id").select("set_id", "cluster", "text").mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary")
     members = materialize(members, "members")
 
     # every chunk for itself: clusters of one chunk are done
     active = _chunked(members, "cluster")
-    found = materialize(active.groupBy("cluster", "chunk").applyInPandas(_join_one(t), "a long, b long, several boolean"), "links")
+    found = _join_chunks(active, t)
     joined = found.filter("not several").select(F.col("a").alias("set_id"), F.col("b").alias("component_id"))
     active = materialize(active.filter("chunks > 1"), "several")
     n = active.count()
@@ -322,7 +365,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
             left = active.select("cluster", "set_id", "n_shingles", "tokens").join(found.select(F.col("a").alias("set_id")), "set_id", "left_anti")
             active = materialize(_chunked(left, "cluster"), "representatives")
             n, before = active.count(), n
-            found = materialize(active.groupBy("cluster", "chunk").applyInPandas(_join_one(t), "a long, b long, several boolean"), "links")
+            found = _join_chunks(active, t)
             links = links.unionByName(found.select("a", "b"))
             active = active.filter("chunks > 1")
             if n > 0.8 * before or active.isEmpty():
