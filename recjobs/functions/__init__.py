@@ -1 +1 @@
-
+"""Helpers shared by operators."""

@@ -1 +1 @@
-
+"""Whole jobs and registered queries."""

@@ -1 +1 @@
-
+"""Readers, writers and the test tables."""
