@@ -40,14 +40,14 @@ def self_training(ratings: DataFrame, fit: Callable[[DataFrame], DataFrame], rec
 def lottery(lists: list[DataFrame], shares: list[float], n: int = 5, seed: int = 1, decay: float = 1.5) -> DataFrame:
     """``(user_id, rank, item_id, source)``: one merged list a user, drawn from several ranked ones.
     Draws depend on the seed and the user alone."""
-    rows = None
+    rows, n_lists = None, len(lists)
     for k, recs in enumerate(lists):
         own = recs.select("user_id", "item_id", "rank", F.lit(k).alias("source"))
         rows = own if rows is None else rows.unionByName(own)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         user = int(pdf["user_id"].iloc[0])
-        ranked = [pdf[pdf["source"] == k].sort_values("rank")["item_id"].tolist() for k in range(len(lists))]
+        ranked = [pdf[pdf["source"] == k].sort_values("rank")["item_id"].tolist() for k in range(n_lists)]
         out = lottery_merge(ranked, shares, n, np.random.default_rng([seed, user]), decay)
         return pd.DataFrame({"user_id": user, "rank": range(1, len(out) + 1), "item_id": [x for x, _ in out], "source": [k for _, k in out]})
 
