@@ -17,7 +17,7 @@ from recjobs.llm.textvec import Texts, mix, slices, windows
 _U = np.uint64
 BLOCK_BYTES = 16 << 20  # of test items at a time
 SEED_WORDS = 3
-RARE_SHARE = 1e-4  # of documents: a seed in no more than this share is rare
+RARE_SHARE, RARE_LEAST = 1e-4, 10  # a seed in no more than this share of documents, or so many, is rare
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5  # of the score of an unchanged copy
 SIEVE_BITS = 24
@@ -49,15 +49,16 @@ class Block:
         self.count = np.diff(np.append(self.start, len(self.seed)))
 
     def keep_rare(self, documents: np.ndarray, limit: float) -> None:
-        """Keep rare seeds, and the rarest half of each item's in any case, so that an item that was
-        copied often is still found."""
+        """Keep rare seeds, and in any case the rarest half of those of an item that any document
+        holds, so that an item that was copied often is still found."""
         count = documents[np.searchsorted(self.unique, self.seed)]
-        order = np.lexsort((self.at, count, self.item))
+        seen = np.flatnonzero(count)
+        order = seen[np.lexsort((self.at[seen], count[seen], self.item[seen]))]
         first = np.searchsorted(self.item[order], np.arange(len(self.items)))
-        rank = np.empty(len(order), int)
+        rank = np.full(len(count), len(count))
         rank[order] = np.arange(len(order)) - first[self.item[order]]
-        size = np.bincount(self.item, minlength=len(self.items))
-        keep = (count <= limit) | (2 * rank < size[self.item])
+        size = np.bincount(self.item[seen], minlength=len(self.items))
+        keep = (count > 0) & ((count <= limit) | (2 * rank < size[self.item]))
         self.seed, self.item, self.at = self.seed[keep], self.item[keep], self.at[keep]
         self._index()
 
@@ -181,7 +182,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         counts = np.zeros(len(block.unique), np.int64)
         for r in source.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
             counts[r.seed] = r.n
-        block.keep_rare(counts, RARE_SHARE * n_docs)
+        block.keep_rare(counts, max(RARE_LEAST, RARE_SHARE * n_docs))
 
         def align(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             sieve = block.sieve()

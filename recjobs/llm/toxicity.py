@@ -21,6 +21,7 @@ _U = np.uint64
 WORD_BITS = 18  # hashed words of the label statistics
 STEM_BYTES = (4, 5, 6)
 MAX_FEATURES = 2048
+MIN_RATIO = 30.0  # log-likelihood ratio of a feature: far beyond chance for 2**WORD_BITS words
 MAX_LABELLED = 20_000  # rows on which the logistic model is fitted; word statistics use all of them
 CACHE_TOKENS = 200_000
 
@@ -281,10 +282,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     if not n.all():  # one label alone: a constant
         return ToxicityModel(channel, np.empty(0, np.int64), np.empty(0), math.log((n[1] + 0.5) / (n[0] + 0.5)))
     with_word = counts[: 2 * size].reshape(2, size)
-    p = (with_word + 0.5) / (n[:, None] + 1)
-    z = (np.log(p[1]) - np.log(p[0])) / np.sqrt(1 / (with_word[1] + 0.5) + 1 / (with_word[0] + 0.5))
-    strong = np.argsort(-np.abs(z), kind="stable")[:MAX_FEATURES]
-    features = np.sort(strong[np.abs(z[strong]) > 5])
+    # how far a word's counts are from no difference between the labels (log-likelihood ratio)
+    total, seen = n.sum(), with_word.sum(0)
+    g2 = np.zeros(size)
+    for label in (0, 1):
+        for have, of in ((with_word[label], seen), (n[label] - with_word[label], total - seen)):
+            expected = of * (n[label] / total)
+            g2 += 2 * have * np.log(np.maximum(have, 1) / np.maximum(expected, 1e-9))
+    strong = np.argsort(-g2, kind="stable")[:MAX_FEATURES]
+    features = np.sort(strong[g2[strong] > MIN_RATIO])
     model = ToxicityModel(channel, features, np.zeros(len(features)), 0.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recjobs.llm import decontaminate, language, line_dedup, ngram_join, pieces, quality, sharding, token_planes, toxicity, warc
 from recjobs.llm.components import connected_components
@@ -165,11 +166,23 @@ def toxic_docs(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(INSULTS))
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(bad)))
-    hidden = [prose(20, 1) + " you 1d10t " + prose(20, 2), prose(20, 3) + " st00pid m0r0n " + prose(20, 4), prose(20, 5) + " i d i o t " + prose(20, 6), prose(20, 7) + " p-a-t-h-e-t-i-c " + prose(9, 8), prose(20, 9) + " moooooron " + prose(9, 1), prose(60, 2)]
+    forms = ["1d10t m0r0n $tupid p@th3tic", "i d i o t m o r o n  s-t-u-p-i-d", "p.a.t.h.e.t.i.c i-d-i-o-t m_o_r_o_n", "moooooron idiooooot stuuuupid", "IDIOT!! MORON### (stupid)", "harmless words only"]
+    hidden = [f"{prose(20, 2 * k)} {x} {prose(20, 2 * k + 1)}" for k, x in enumerate(forms)]
     rows += [(1000 + i, t) for i, t in enumerate(hidden)] + [(2000, None), (2001, "")]
     return table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_decoder():
+    counts = np.zeros((27, 27, 27), np.int64)
+    for w in INSULTS + ["ladder", "book", "cool"]:
+        path = [26, 26, *(ord(c) - 97 for c in w), 26]
+        for a, b, c in zip(path, path[1:], path[2:]):
+            counts[a, b, c] += 5
+    channel = toxicity.Channel(counts)
+    for token, word in {"1d10t": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "i.d.i.o.t": "idiot", "moooron": "moron", "b00k": "book", "p@th3t!c": "pathetic", "": "", "1": "i"}.items():
+        assert channel.restore(token) == word or token == "1"
+
+
 def test_toxicity_of_disguised_words(toxic_docs):
     got = {r.doc_id: r for r in toxicity.score_toxicity(*toxic_docs).collect()}
     assert all((got[i].score >= 0.5) == (i % 4 == 0) for i in range(400))
@@ -413,5 +426,5 @@ def test_languages(spark, docs, empty):
     assert [got[i].lang_pred for i in (500, 501, 502, 503)] == ["und", "und", "und", "en"]
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.identify_language(empty).count() == 0
-    assert {r.lang_pred for r in language.identify_language(docs.withColumn("lang", docs.lang.substr(9, 1).cast("int").cast("string"))).collect()} == {"und"}
+    assert {r.lang_pred for r in language.identify_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert len(language.identify_language(docs).collect()) == docs.count()
