@@ -21,12 +21,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common blocks go from the later document, and a document with nothing else goes altogether."""
-    found = line_dedup(docs).select("doc_id", F.col("text").alias("kept"), "n_deleted").dropDuplicates(["doc_id"])
-    changed = docs.join(found.filter("n_deleted > 0"), "doc_id", "left")
-    changed = changed.filter(F.col("kept").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.coalesce("kept", "text")
-    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast("long"))
-    return changed.select(*({"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
+    found = line_dedup(docs, with_row=True)
+    found = found.filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col("n_deleted") == 0, F.col("row")["n_chars"]).otherwise(F.char_length("text").cast("long"))
+    changed = {"text": F.col("text"), "n_chars": n_chars}
+    return found.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

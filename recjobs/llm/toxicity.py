@@ -22,7 +22,8 @@ WORD_BITS = 18  # hashed words of the label statistics
 STEM_BYTES = (4, 5, 6)
 MAX_FEATURES = 2048
 MIN_RATIO = 30.0  # log-likelihood ratio of a feature: far beyond chance for 2**WORD_BITS words
-MAX_LABELLED = 20_000  # rows on which the logistic model is fitted; word statistics use all of them
+MAX_LABELLED = 100_000  # labelled rows that are learned from (those of least id hash); so they may be broadcast
+MAX_FITTED = 20_000  # of these, rows on which the logistic model is fitted
 CACHE_TOKENS = 200_000
 
 #: Letters that a character may stand for
@@ -256,12 +257,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30
     return w[:-1], float(w[-1])
 
 
+def _thinned(marks: DataFrame, most: int) -> DataFrame:
+    """All rows if they are few, else about ``most`` of them, by a hash of the id."""
+    share = min(1.0, most / max(marks.count(), 1))
+    return marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from labelled documents where ``learn`` (on ``doc_id``) holds; the channel from all."""
     channel = character_model(docs, text_col)
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = source.filter(learn if learn is not None else F.lit(True)).join(marks, "doc_id")
+    marks = _thinned(marks.filter(learn if learn is not None else F.lit(True)), MAX_LABELLED)
+    known = source.join(F.broadcast(marks), "doc_id")
 
     size = 1 << WORD_BITS
 
@@ -299,9 +307,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
                 x = model.matrix(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([np.flatnonzero(r).astype(np.int32).tobytes() for r in x], pa.binary())], ["label", "x"])
 
-    share = min(1.0, MAX_LABELLED / int(n.sum()))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # equal rows are counted together: what is collected is bounded by MAX_LABELLED in any case
+    sample = source.join(F.broadcast(_thinned(marks, MAX_FITTED)), "doc_id")
+    # equal rows are counted together: what is collected is bounded by MAX_FITTED in any case
     rows = sample.select("doc_id", "text", "label").mapInArrow(vectors, "label int, x binary").groupBy("label", "x").count().collect()
     x, y = np.zeros((len(rows), max(len(features), 1)), np.float32), np.zeros(len(rows))
     times = np.zeros(len(rows), np.int64)
