@@ -33,7 +33,7 @@ from recjobs.llm.textvec import mix, shingles, slices
 _U = np.uint64
 SKETCH_BITS = 20  # counters of the frequency sketch: its size doesn't grow with the corpus
 HEAVY_TIMES = 8.0  # a counter this many times the mean holds a frequent shingle
-CHUNK_SETS = 256
+CHUNK_SETS = 512
 CHUNK_TOKENS = 400_000
 FANOUT = 8
 
@@ -293,7 +293,7 @@ def _join_two(t: Fraction):
         bits = _bits(sides[0][1] + sides[1][1])
         left, right = SignatureTree(sides[0][1], bits), SignatureTree(sides[1][1], bits)
         pairs = list(dual_traversal(t, left, right, group, len(sides[0][0])))
-        return pd.DataFrame({"a": sides[0][0][[p[0] for p in pairs]], "b": sides[1][0][[p[1] for p in pairs]]}, dtype="int64")
+        return pd.DataFrame({"a": [component[sides[0][0][i]] for i, _ in pairs], "b": [component[sides[1][0][j]] for _, j in pairs]}, dtype="int64")
 
     return run
 
@@ -370,22 +370,27 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
             active = active.filter("chunks > 1")
             if n > 0.8 * before or active.isEmpty():
                 break
-        links = links.unionByName(_across(members, large, links, t))
-        joined = joined.unionByName(connected_components(links).filter("node > component").select(F.col("node").alias("set_id"), F.col("component").alias("component_id")))
+        component = materialize(connected_components(links).filter("node > component").select(F.col("node").alias("set_id"), "component"), "components")
+        bridges = _across(members, large, component, t)
+        if not bridges.isEmpty():  # components are joined further: a graph of components alone
+            top = connected_components(bridges)
+            component = component.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("set_id", F.coalesce("top", "component").alias("component"))
+            own = top.filter("node > component").select(F.col("node").alias("set_id"), "component")
+            component = component.unionByName(own)
+        joined = joined.unionByName(component.select("set_id", F.col("component").alias("component_id")))
 
     classes = sets.join(joined, "set_id", "left").select("fp1", "fp2", "n_shingles", "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
     linked = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
     return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
 
 
-def _across(members: DataFrame, clusters: DataFrame, links: DataFrame, t: Fraction) -> DataFrame:
-    """Links between chunks of the given clusters whose sets are not all of one component yet.
+def _across(members: DataFrame, clusters: DataFrame, component: DataFrame, t: Fraction) -> DataFrame:
+    """Links ``(a, b)`` of components, between chunks of the given clusters that are not all of one yet.
 
     Chunks are cut anew so that large components have chunks of their own; two chunks of one
     component are not compared.
     """
     sets = members.join(clusters, "cluster", "left_semi")
-    component = connected_components(links).select(F.col("node").alias("set_id"), "component")
     sets = sets.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     sizes = sets.groupBy("cluster", "component").agg(F.count("*").alias("size"))
     sets = sets.join(sizes.withColumn("part", F.when(F.col("size") >= CHUNK_SETS, F.col("component")).otherwise(-1)), ["cluster", "component"])
