@@ -407,3 +407,23 @@ def _across(members: DataFrame, clusters: DataFrame, component: DataFrame, t: Fr
         own = pairs.join(own, ["cluster", "part" + s, "chunk" + s]).select(*keys, F.lit(side).alias("side"), "set_id", "component", "tokens")
         rows = own if rows is None else rows.unionByName(own)
     return materialize(rows.groupBy(*keys).applyInPandas(_join_two(t), "a long, b long"), "links")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS whole FROM sh GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes k ON k.doc_id = p.a JOIN sizes m ON m.doc_id = p.b WHERE 100 * shared >= 90 * (k.n + m.n - shared)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id,
+  CASE WHEN s.n IS NULL THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY s.whole) END AS set_id
+FROM w LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""

@@ -12,6 +12,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,12 @@ class PieceEncoder:
         return np.stack([at[:-1], at[1:]], 1)
 
 
+@cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder a Python worker: the tasks that a worker runs in turn share what is remembered."""
+    return PieceEncoder(path)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids array<int>, starts array<int>, ends array<int>)``: ids with byte spans.
 
@@ -154,7 +161,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = piece_encoder(model_path)
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -172,7 +179,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     spans cover. Nulls, empty texts, repeated rows and other columns as in ``encode_pieces``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = piece_encoder(model_path)
         names = list(map(str, range(encoder.model.get_piece_size())))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:

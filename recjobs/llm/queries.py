@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recjobs.llm import quality, warc
+from recjobs.llm import ngram_join, quality, warc
 from recjobs.llm.decontaminate import find_contamination
 from recjobs.llm.language import identify_language
 from recjobs.llm.line_dedup import line_dedup
@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_ngram_jaccard, op2_toxicity, op3_line_dedup, op4_warc, op5_decontamination, op6_quality_cascade, op7_token_planes, op8_sentencepiece, op9_sharding, op10_language_id)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": warc.SQL, "op6_quality_cascade": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": ngram_join.SQL, "op4_warc": warc.SQL, "op6_quality_cascade": quality.SQL}

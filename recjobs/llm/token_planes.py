@@ -10,6 +10,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from recjobs.llm.textvec import slices
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_200_000  # about 250 MB
 FOOTER = struct.Struct("<QQQQB7x8s")  # document table's place and length, index's place, number of blocks, bits a plane
 
 
@@ -156,6 +157,12 @@ class ChunkEncoder:
         return out
 
 
+@cache
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One encoder a Python worker: the tasks that a worker runs in turn share what is remembered."""
+    return ChunkEncoder(path)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text and write one file a range partition, in ascending id order.
 
@@ -164,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, path = ChunkEncoder(tokenizer_path), None, None
+        encoder, writer, path = chunk_encoder(tokenizer_path), None, None
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
