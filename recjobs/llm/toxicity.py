@@ -20,10 +20,10 @@ from recjobs.llm.textvec import Texts, slices
 _U = np.uint64
 WORD_BITS = 18  # hashed words of the label statistics
 STEM_BYTES = (4, 5, 6)
-MAX_FEATURES = 2048
+MAX_FEATURES = 512
 MIN_RATIO = 30.0  # log-likelihood ratio of a feature: far beyond chance for 2**WORD_BITS words
 MAX_LABELLED = 100_000  # labelled rows that are learned from (those of least id hash); so they may be broadcast
-MAX_FITTED = 20_000  # of these, rows on which the logistic model is fitted
+MAX_FITTED = 10_000  # of these, rows on which the logistic model is fitted
 CACHE_TOKENS = 200_000
 
 #: Letters that a character may stand for
@@ -153,8 +153,8 @@ def suspicious(texts: Texts) -> list[tuple[int, str]]:
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
     """Counters of a fixed number of cells, added up over tasks; the result alone is collected."""
     out = np.zeros(size, np.int64)
-    for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.cell] = r.n
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     return out
 
 
@@ -243,18 +243,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by accelerated gradient steps, the intercept free."""
-    w = previous = np.zeros(x.shape[1] + 1)
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, l2: float = 1e-5, steps: int = 400) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression of rows that count ``times`` by accelerated gradient steps,
+    the intercept free."""
     x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    rate = 4.0 / max(float((x1**2).sum(1).mean()), 1.0)
-    penalty = np.full(len(w), l2)
+    share = (times / times.sum()).astype(np.float32)
+    w = previous = np.zeros(x1.shape[1], np.float32)
+    rate = np.float32(4.0 / max(float(share @ (x1**2).sum(1)), 1.0))
+    penalty = np.full(len(w), l2, np.float32)
     penalty[-1] = 0
     for k in range(steps):
-        v = w + (k / (k + 3.0)) * (w - previous)
+        v = w + np.float32(k / (k + 3.0)) * (w - previous)
         p = 1 / (1 + np.exp(-np.clip(x1 @ v, -40, 40)))
-        previous, w = w, v - rate * (x1.T @ (p - y) / len(y) + penalty * v)
-    return w[:-1], float(w[-1])
+        previous, w = w, v - rate * (x1.T @ (share * (p - y)) + penalty * v)
+    return w[:-1].astype(float), float(w[-1])
 
 
 def _thinned(marks: DataFrame, most: int) -> DataFrame:
@@ -310,14 +312,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     sample = source.join(F.broadcast(_thinned(marks, MAX_FITTED)), "doc_id")
     # equal rows are counted together: what is collected is bounded by MAX_FITTED in any case
     rows = sample.select("doc_id", "text", "label").mapInArrow(vectors, "label int, x binary").groupBy("label", "x").count().collect()
-    x, y = np.zeros((len(rows), max(len(features), 1)), np.float32), np.zeros(len(rows))
+    x, y = np.zeros((len(rows), max(len(features), 1)), np.float32), np.zeros(len(rows), np.float32)
     times = np.zeros(len(rows), np.int64)
     for k, r in enumerate(sorted(rows, key=lambda r: (r.label, bytes(r.x)))):
         x[k, np.frombuffer(r.x, np.int32)] = 1
         y[k], times[k] = r.label, r["count"]
     if len(features) and len(rows):
-        x, y = np.repeat(x, times, axis=0), np.repeat(y, times)
-        model.weights, model.bias = fit_logistic(x, y)
+        model.weights, model.bias = fit_logistic(x, y, times)
     else:
         model.features, model.bias = np.empty(0, np.int64), math.log((n[1] + 0.5) / (n[0] + 0.5))
     return model
