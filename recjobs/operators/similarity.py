@@ -8,8 +8,9 @@ from recjobs.functions.columns import best, rounded
 from recjobs.operators.prep import l2_normalize
 
 
-def shrunk(dot: Column, co: Column, shrink: Column) -> Column:
-    return rounded(F.when(shrink > 0, dot * (co / (co + shrink.cast("double")))).otherwise(dot))
+def shrunk(dot: Column, co: Column, shrink: Column, exact: bool = False) -> Column:
+    sim = F.when(shrink > 0, dot * (co / (co + shrink.cast("double")))).otherwise(dot)
+    return sim if exact else rounded(sim)
 
 
 def content_dots(content: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
@@ -38,8 +39,10 @@ def rating_dots(ratings: DataFrame, mirror: bool = True) -> DataFrame:
     return once.unionByName(once.select(F.col("j").alias("i"), F.col("i").alias("j"), "dot", "co")) if mirror else once
 
 
-def similarities(dots: DataFrame, shrink: int = 0) -> DataFrame:
-    return dots.select("i", "j", shrunk(F.col("dot"), F.col("co"), F.lit(shrink)).alias("sim")).filter("sim > 0")
+def similarities(dots: DataFrame, shrink: int = 0, exact: bool = False) -> DataFrame:
+    """``exact`` leaves the values unrounded: scores then are rounded once, but ranks among equal
+    similarities may depend on the order of summation."""
+    return dots.select("i", "j", shrunk(F.col("dot"), F.col("co"), F.lit(shrink), exact).alias("sim")).filter("sim > 0")
 
 
 def nearest(sims: DataFrame, k: int) -> DataFrame:

@@ -47,7 +47,8 @@ def test_cosine_and_neighbours(content):
 
 def test_neighbour_scores(spark, content, items):
     ratings = frame(spark, {0: {0: 3, 2: 2, 3: 3}, 1: {6: 2, 8: 3}})
-    near = similarity.nearest(similarity.similarities(similarity.content_dots(content)), 2)
+    rounded = similarity.nearest(similarity.similarities(similarity.content_dots(content)), 2).select("i", "j", "rank")
+    near = rounded.join(similarity.similarities(similarity.content_dots(content), exact=True), ["i", "j"])
     recs = ranking.top_n(ranking.unseen(ranking.neighbour_scores(ratings, near), ratings), 2)
     assert lists(recs) == {0: [(1, 4.862799), (4, 2.969847)], 1: [(7, 4.862799), (5, 1.967739)]}
 
@@ -55,7 +56,7 @@ def test_neighbour_scores(spark, content, items):
 def test_brute_force_scores_and_fallback(spark, content, items):
     ratings = frame(spark, BRUTE)
     targets = spark.createDataFrame([(u,) for u in range(5)], "user_id long")
-    weights = similarity.as_weights(similarity.similarities(similarity.content_dots(content)))
+    weights = similarity.as_weights(similarity.similarities(similarity.content_dots(content), exact=True))
     recs = ranking.top_n(ranking.unseen(ranking.item_scores(ratings, weights, items.select("item_id")), ratings), 2)
     assert lists(recs) == {0: [(1, 7.627704), (4, 6.988533)], 1: [(7, 4.862799), (5, 4.367738)], 2: [(3, 0.989949), (5, 0.989949)], 3: [(2, 5.743401), (6, 5.564516)]}
     popular = ranking.popularity(ratings, items)
