@@ -3,10 +3,11 @@
 1. Each text becomes the set of its k-word shingles (64-bit hashes). Equal sets become one class.
 2. Candidate clusters, without loss: if Jaccard(A, B) >= t, the sets differ in at most
    d = floor(|A| * (1 - t) / t) shingles for the smaller set A, so if shingles are dealt by hash
-   into more than d parts, one part at least is equal in both. Each class is filed under its parts;
-   classes filed together are joined to clusters (connected components on Spark). Shingles that are
-   frequent in the corpus (a fixed-size counting sketch over all documents tells) share one part,
-   which is not filed: a common passage alone never makes a cluster.
+   into more than d parts, one part at least is equal in both. Each class is filed under its parts.
+   Shingles that are frequent in the corpus (a fixed-size counting sketch over all documents tells)
+   share one part, which is not filed: a common passage alone brings nothing together. Classes filed
+   together meet in a signature tree of their bitmaps, and those whose largest possible overlap is
+   enough are joined to clusters (connected components on Spark).
 3. Each cluster is dealt into chunks of bounded size; a chunk becomes a signature tree whose nodes
    hold the OR of their sets' token bitmaps and their size range. A dual traversal drops the node
    pairs whose largest possible overlap is too small, or that are linked already; what is left at
@@ -129,25 +130,26 @@ class Parts:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction) -> DataFrame:
-    """``(doc_id, n_shingles, fp1, fp2, keys)`` of every document; fp1 and fp2 tell equal sets."""
+    """``(doc_id, n_shingles, fp1, fp2, keys, bitmap)`` of every document; fp1 and fp2 tell equal sets."""
     heavy_bits, parts = _sketch(docs, text_col, k), Parts(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.unpackbits(heavy_bits).astype(bool)
         for batch in batches:
             for part in slices(batch):
-                ns, f1, f2, keys = [], [], [], []
+                ns, f1, f2, keys, maps = [], [], [], [], []
                 for u in shingles(part.column(1), k):
                     m = mix(u ^ _U(0x5851F42D4C957F2D))
                     ns.append(len(u))
+                    maps.append(_bitmap(u, 1 << min(12, max(8, (2 * len(u)).bit_length()))).tobytes())
                     f1.append(m.sum(dtype=_U))
                     f2.append(np.bitwise_xor.reduce(m) if len(m) else _U(0))
                     keys.append(parts.keys(m, heavy[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, _U), *keys]).view(np.int64)))], ["doc_id", "n_shingles", "fp1", "fp2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, _U), *keys]).view(np.int64))), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "keys", "bitmap"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
+    return source.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, bitmap binary")
 
 
 # ---------------------------------------------------------------- the tree
@@ -159,17 +161,27 @@ def _need(t: Fraction, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -((-p * (a.astype(np.int64) + b.astype(np.int64))) // q)
 
 
+def _bitmap(u: np.ndarray, bits: int) -> np.ndarray:
+    bit = mix(u ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)
+    on = np.zeros(bits, np.uint8)
+    on[bit.astype(np.int64)] = 1
+    return np.packbits(on, bitorder="little").view(_U)
+
+
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap of fewer bits."""
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 class SignatureTree:
-    """Sets (sorted by size, then by least shingle) under nodes with OR-ed bitmaps and size ranges."""
+    """Sets, similar sizes next to each other, under nodes with OR-ed bitmaps and size ranges.
+
+    Without ``sets`` the tree can tell what may be linked, but not count."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
+    def __init__(self, maps: np.ndarray, size: np.ndarray, sets: list[np.ndarray] | None = None):
         self.sets = sets
-        n = len(sets)
-        maps = np.zeros((n, bits // 64), _U)
-        for i, u in enumerate(sets):
-            bit = mix(u ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)
-            np.bitwise_or.at(maps[i], (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-        size = np.array([len(u) for u in sets], np.int64)
         slack = size - np.bitwise_count(maps).sum(1, dtype=np.int64)  # shingles that share a bit
         self.levels = [(maps, size, size, slack)]
         while len(self.levels[-1][1]) > 1:
@@ -177,6 +189,10 @@ class SignatureTree:
             at = np.arange(0, len(lo), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(slack, at)))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> SignatureTree:
+        return cls(np.stack([_bitmap(u, bits) for u in sets]), np.array([len(u) for u in sets], np.int64), sets)
+
 
 def _possible(t: Fraction, x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> np.ndarray:
     """Which node pairs may hold a pair of sets with enough overlap."""
@@ -224,6 +240,10 @@ def dual_traversal(t: Fraction, left: SignatureTree, right: SignatureTree, group
     for a, b in zip(i.tolist(), j.tolist()):
         if same and a == b or (ra := root(a)) == (rb := root(b + shift)):
             continue
+        if left.sets is None:
+            group[max(ra, rb)] = min(ra, rb)
+            yield a, b
+            continue
         u, v = left.sets[a], right.sets[b]
         both = len(np.intersect1d(u, v, assume_unique=True))
         if both * t.denominator >= t.numerator * (len(u) + len(v) - both):
@@ -244,7 +264,7 @@ def _ordered(ids: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, list[np.
 def _join_chunk(t: Fraction, ids: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each set that is linked within its chunk, with the least set of its component there."""
     ids, sets = _ordered(ids, tokens)
-    tree, group = SignatureTree(sets, _bits(sets)), np.arange(len(sets))
+    tree, group = SignatureTree.of_sets(sets, _bits(sets)), np.arange(len(sets))
     for _ in dual_traversal(t, tree, tree, group, 0):
         pass
     for i in range(len(group)):  # parents come before their children
@@ -291,7 +311,7 @@ def _join_two(t: Fraction):
         first: dict[int, int] = {}
         group = np.array([first.setdefault(component[x], n) for n, x in enumerate(ids)], np.int64)
         bits = _bits(sides[0][1] + sides[1][1])
-        left, right = SignatureTree(sides[0][1], bits), SignatureTree(sides[1][1], bits)
+        left, right = SignatureTree.of_sets(sides[0][1], bits), SignatureTree.of_sets(sides[1][1], bits)
         pairs = list(dual_traversal(t, left, right, group, len(sides[0][0])))
         return pd.DataFrame({"a": [component[sides[0][0][i]] for i, _ in pairs], "b": [component[sides[1][0][j]] for _, j in pairs]}, dtype="int64")
 
@@ -308,6 +328,65 @@ def _chunked(sets: DataFrame, *by: str) -> DataFrame:
     return sets.join(sizes.select(*by, chunks.cast("long").alias("chunks")), list(by)).withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(7)), "chunks"))
 
 
+def _candidates(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Edges ``(a, b)`` that connect all sets that may be linked: of those filed under one key, the
+    ones whose bitmaps leave room for enough overlap; of more than CHUNK_SETS under one key, all."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key: those of keys that have several."""
+        held_key = held_id = np.empty(0, np.int64)
+        told = False  # whether the last row of the batch before is out already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.concatenate([held_key, batch.column(0).to_numpy()])
+            ids = np.concatenate([held_id, batch.column(1).to_numpy()])
+            same = keys[1:] == keys[:-1]
+            keep = np.zeros(len(keys), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            told_now = bool(keep[-1])
+            if len(held_key) and told:
+                keep[0] = False
+            held_key, held_id, told = keys[-1:], ids[-1:], told_now
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "set_id"])
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, many = None, [], False
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            if many:
+                a, b = np.array([r[0] for r in rows]), np.full(len(rows), rows[0][0])
+            else:
+                rows.sort(key=lambda r: (r[1], r[0]))
+                ids, maps = np.array([r[0] for r in rows]), [np.frombuffer(r[2], _U) for r in rows]
+                words = min(map(len, maps))
+                tree = SignatureTree(np.stack([_folded(m, words) for m in maps]), np.array([r[1] for r in rows], np.int64))
+                pairs = list(dual_traversal(t, tree, tree, np.arange(len(rows)), 0))
+                a, b = ids[[p[0] for p in pairs]], ids[[p[1] for p in pairs]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for now, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now != key:
+                    yield from joined()
+                    key, rows, many = now, [], False
+                rows.append(row)
+                if len(rows) > CHUNK_SETS:  # of so many, all are connected to one, part by part
+                    many = True
+                    yield from joined()
+                    rows = rows[:1]
+        yield from joined()
+
+    filed = sets.select(F.explode("keys").alias("key"), "set_id").repartition("key").sortWithinPartitions("key")
+    several = filed.mapInArrow(shared, "key long, set_id long")
+    met = several.join(sets.select("set_id", "n_shingles", "bitmap").hint("merge"), "set_id").select("key", "set_id", "n_shingles", "bitmap")
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(connect, "a long, b long").filter("a > b").distinct()
+
+
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose k-word shingle sets have a Jaccard similarity of ``threshold``.
 
@@ -319,26 +398,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
     t = Fraction(threshold).limit_denominator(10_000)
     spark = docs.sparkSession
     signed = materialize(signatures(docs, id_col, text_col, k, t), "signatures")
-    sets = signed.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("set_id"), F.first("keys").alias("keys"))
+    sets = signed.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("set_id"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
     sets = materialize(sets, "sets")
 
-    def pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key and set: each set after a key's first is joined to that first one."""
-        last_key = last_pivot = None
-        for batch in batches:
-            keys, ids = (batch.column(i).to_numpy() for i in (0, 1))
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            pivot = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
-            if len(keys) and keys[0] == last_key:
-                pivot[: len(keys) if new.sum() == 1 else np.flatnonzero(new)[1]] = last_pivot
-            if len(keys):
-                last_key, last_pivot = keys[-1], pivot[-1]
-            apart = ids != pivot
-            yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(pivot[apart])], ["a", "b"])
-
-    filed = sets.select(F.explode("keys").alias("key"), "set_id").repartition("key").sortWithinPartitions("key", "set_id")
-    edges = filed.mapInArrow(pivots, "a long, b long").distinct()
+    edges = _candidates(sets, t)
     clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
