@@ -1,6 +1,6 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are aligned by patience diff; the common blocks are deleted from the
+Documents that share a line are aligned by patience diff; the common blocks are deleted from the
 later one (larger id). For each line only the first document that holds it is a partner, so a line
 of n documents makes n - 1 pairs, and no line needs a cap on its documents.
 """
@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
 
-RARE_DOCUMENTS = 50  # a line of at most so many documents is rare
-COMMON_LINES = 3  # or so many lines of any frequency shared with one document
-LINE_CHARS = 20  # shorter lines neither find partners nor anchor
+LINE_CHARS = 20  # shorter lines find no partners
 BLOCK_CHARS = 40  # a common block of fewer characters stays
 
 
@@ -88,9 +86,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     long_lines = F.array_distinct(F.filter("hashes", lambda x, i: F.get("chars", i) >= LINE_CHARS))
     single = held.select("doc_id", F.explode(long_lines).alias("line")).distinct()
-    owner = single.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1")
-    shared = single.join(owner, "line").filter("doc_id > earlier").groupBy("doc_id", "earlier").agg(F.sum(F.when(F.col("n") <= RARE_DOCUMENTS, 1).otherwise(0)).alias("rare"), F.count("*").alias("common"))
-    pairs = shared.filter((F.col("rare") > 0) | (F.col("common") >= COMMON_LINES)).select("doc_id", "earlier")
+    owner = single.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1").select("line", "earlier")
+    pairs = single.join(owner, "line").filter("doc_id > earlier").select("doc_id", "earlier").distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -222,6 +222,13 @@ def test_line_dedup(spark, docs, empty):
     assert got[12].text == texts[12] and len(line_dedup.line_dedup(docs).collect()) == docs.count()
 
 
+def test_line_dedup_of_lines_in_many_documents(spark):
+    passage, short = prose(60, 1), "x" * 30
+    rows = [(k, f"{prose(9, 100 + k)}\n{passage}") for k in range(60)] + [(k, f"{prose(9, 100 + k)}\n{short}") for k in range(60, 120)]
+    got = {r.doc_id: r.deleted for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got == {k: [1] if 0 < k < 60 else [] for k in range(120)}
+
+
 # ---------------------------------------------------------------- 4
 
 
