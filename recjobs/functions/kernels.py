@@ -67,6 +67,18 @@ def svm_squared_hinge(x: np.ndarray, sign: np.ndarray, c: float, steps: int = 10
     return w
 
 
+def logistic_terms(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each margin y xw: its loss log(1 + exp(-m)), the slope 1 - p and the bend p (1 - p)."""
+    p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+    return np.logaddexp(0, -margin), 1 - p, p * (1 - p)
+
+
+def squared_hinge_terms(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each margin: its loss max(0, 1 - m)^2, and half of its slope and bend."""
+    slack = np.maximum(0, 1 - margin)
+    return slack**2, slack, (slack > 0) * 1.0
+
+
 def lottery_merge(lists: list[list[int]], shares: list[float], n: int, rng: np.random.Generator, decay: float = 1.5) -> list[tuple[int, int]]:
     """``(item, list)``: take heads of lists drawn with share * decay**(left - n), skipping repeats."""
     left, out, seen = [list(x) for x in lists], [], set()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.columns import md5_order, rounded
 from recjobs.functions.storage import materialize
+from recjobs.operators.prep import dense_index
 
 Recommender = Callable[[DataFrame, DataFrame, dict], DataFrame]  # (ratings, targets, params) -> recs
 
@@ -25,9 +26,13 @@ def sample_interactions(ratings: DataFrame, m: int, seed: int) -> DataFrame:
 
 def folds(users: DataFrame, k: int, seed: int | None = None) -> DataFrame:
     """``(user_id, fold)``, from 0: contiguous groups that differ by one at most; shuffled if seeded.
-    For exact sizes all user ids pass one window; ``hash_folds`` has none."""
-    order = [F.col("user_id")] if seed is None else [md5_order(seed, "user_id"), F.col("user_id")]
-    return users.select("user_id").distinct().select("user_id", (F.ntile(k).over(Window.orderBy(*order)) - 1).alias("fold"))
+    Users are numbered by ranges, so no task holds them all."""
+    order = [F.col("user_id")] if seed is None else [md5_order(seed, "user_id").alias("place"), F.col("user_id")]
+    numbered = dense_index(users.select(F.struct(*order).alias("key")), "key")
+    size, larger = divmod(numbered.count(), k)  # as ntile: the first ``larger`` groups have one more
+    idx, ahead = F.col("idx"), larger * (size + 1)
+    fold = F.when(idx < ahead, F.floor(idx / (size + 1))).otherwise(larger + F.floor((idx - ahead) / max(size, 1)))
+    return numbered.select("key.user_id", fold.cast("int").alias("fold"))
 
 
 def hash_folds(users: DataFrame, k: int, seed: int = 1) -> DataFrame:

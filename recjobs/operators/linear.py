@@ -7,17 +7,18 @@ by a k cut or by what is rated together.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.columns import rounded
-from recjobs.functions.kernels import enet_gram, logistic_newton, ridge_gram, svm_squared_hinge
+from recjobs.functions.kernels import enet_gram, logistic_terms, ridge_gram, squared_hinge_terms
 from recjobs.functions.storage import materialize
 from recjobs.operators.similarity import weights_to_neighbours
 
+USERS_A_PART = 4096  # of a target's users in one task of scm
 WEIGHTS = "src_id long, dst_id long, weight double"
 
 
@@ -108,24 +109,61 @@ def scm_ridge(neighbours: DataFrame, ratings: DataFrame, gram_table: DataFrame,
 def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataFrame:
     """Logistic or squared-hinge classifiers. Users without any of a target's features only add a
     constant to its loss (there is no intercept), so they are not sent; a target that all or none of
-    its users rated has no model."""
-    fit = {"logistic": logistic_newton, "svm": svm_squared_hinge}[kind]
+    its users rated has no model.
+
+    Newton rounds over all targets at once: a task meets one part of a target's users, and what is
+    gathered for a target is its k x k Hessian, k being its features."""
+    terms, factor, steps = {"logistic": (logistic_terms, 1.0, 50), "svm": (squared_hinge_terms, 2.0, 100)}[kind]
     own = neighbours.select(F.col("i").alias("t"), F.col("j").alias("item_id")).distinct()
     cells = own.join(ratings, "item_id").select("t", "user_id", "item_id", "rating")
     raters = ratings.select(F.col("item_id").alias("t"), "user_id", F.lit(1).alias("rated"))
-    rows = cells.join(raters, ["t", "user_id"], "left").fillna(0, ["rated"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        users, items = np.unique(pdf["user_id"]), np.unique(pdf["item_id"])
-        x = np.zeros((len(users), len(items)))
-        at = np.searchsorted(users, pdf["user_id"])
-        x[at, np.searchsorted(items, pdf["item_id"])] = pdf["rating"]
-        sign = np.full(len(users), -1.0)
-        sign[at[pdf["rated"].to_numpy() == 1]] = 1.0
-        w = np.zeros(len(items)) if len(set(sign)) < 2 else fit(x, sign, c)
-        return pd.DataFrame({"src_id": items[w > 0], "dst_id": int(pdf["t"].iloc[0]), "weight": w[w > 0]})
-
-    return rows.groupBy("t").applyInPandas(run, WEIGHTS)
+    rows = materialize(cells.join(raters, ["t", "user_id"], "left").fillna(0, ["rated"]), "cells")
+    fitted = rows.groupBy("t").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.min("rated").alias("least"), F.max("rated").alias("most")).filter("least < most")
+    n_parts = 1 + ratings.select("user_id").distinct().count() // USERS_A_PART
+    cell = F.collect_list(F.struct("user_id", "item_id", "rating", "rated"))
+    parts = rows.groupBy("t", F.pmod(F.xxhash64("user_id"), F.lit(n_parts)).alias("part")).agg(cell.alias("cell"))
+    parts = materialize(parts.select("t", *(F.col("cell")[x].alias(x) for x in ("user_id", "item_id", "rating", "rated"))), "parts")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                users, at = np.unique(r.user_id, return_inverse=True)
+                x, sign = np.zeros((len(users), len(r.items))), np.full(len(users), -1.0)
+                x[at, np.searchsorted(r.items, r.item_id)] = r.rating
+                sign[at[np.asarray(r.rated) == 1]] = 1.0
+                loss, slope, bend = terms(sign * (x @ r.trial))
+                used = np.flatnonzero(x.any(0))
+                h = (x[:, used].T * bend) @ x[:, used]
+                i, j = np.divmod(np.arange(h.size), max(len(used), 1))
+                yield pd.DataFrame({"t": r.t, "i": np.concatenate([[-1], used, used[i]]), "j": np.concatenate([[-1], np.full(len(used), -1), used[j]]), "v": np.concatenate([[loss.sum()], x[:, used].T @ (sign * slope), h.ravel()])})
+
+    def move(state: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        r = state.iloc[0]
+        i, j, v, k = sums["i"].to_numpy(), sums["j"].to_numpy(), sums["v"].to_numpy(), len(r["items"])
+        w, trial, step, rate, done = np.asarray(r["w"]), np.asarray(r["trial"]), np.asarray(r["step"]), r["rate"], False
+        total, rounds = 0.5 * trial @ trial + c * v[i < 0].sum(), r["rounds"]
+        if rate > 1e-6 and total > r["loss"]:  # too far: half the step
+            rate, loss = rate / 2, r["loss"]
+        else:
+            w, loss, rate, rounds, slope, bend = trial, total, 1.0, rounds + 1, np.zeros(k), np.zeros((k, k))
+            side = (i >= 0) & (j < 0)
+            slope[i[side]] = v[side]
+            bend[i[j >= 0], j[j >= 0]] = v[j >= 0]
+            gradient = w - factor * c * slope
+            done = bool(np.abs(gradient).max(initial=0) < 1e-9 or rounds > steps)
+            step = np.linalg.solve(np.eye(k) + factor * c * bend, gradient)
+        return pd.DataFrame({"t": [r["t"]], "items": [r["items"]], "w": [w], "trial": [w - rate * step], "step": [step], "loss": [float(loss)], "rate": [rate], "rounds": [rounds], "done": [done]})
+
+    zero = F.transform("items", lambda x: F.lit(0.0))
+    state = materialize(fitted.select("t", "items", zero.alias("w"), zero.alias("trial"), zero.alias("step"), F.lit(float("inf")).alias("loss"), F.lit(1.0).alias("rate"), F.lit(0).alias("rounds"), F.lit(False).alias("done")), "fits")
+    found = state.limit(0)
+    while not state.isEmpty():
+        each = parts.join(state.select("t", "items", "trial"), "t").select("t", "user_id", "item_id", "rating", "rated", "items", "trial")
+        sums = each.mapInPandas(measure, "t long, i long, j long, v double").groupBy("t", "i", "j").agg(F.sum("v").alias("v"))
+        state = materialize(state.groupBy("t").cogroup(sums.groupBy("t")).applyInPandas(move, state.schema), "fits")
+        found, state = found.unionByName(state.filter("done")), state.filter("not done")
+    weights = found.select(F.col("t").alias("dst_id"), F.explode(F.arrays_zip("items", "w")).alias("x"))
+    return weights.select(F.col("x.items").alias("src_id"), "dst_id", F.col("x.w").alias("weight")).filter("weight > 0")
 
 
 def refit(weights: DataFrame, gram_table: DataFrame, alpha: float, k: int, phases: int) -> DataFrame:

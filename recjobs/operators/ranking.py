@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.columns import best, rounded
+from recjobs.operators.prep import dense_index
 
 
 def popularity(ratings: DataFrame, items: DataFrame, by: str = "count") -> DataFrame:
     """``(item_id, score, rank)`` of all items: number of raters, or sum of ratings; 0 if unrated.
 
-    The numbering is over the catalogue of items, once; users never pass this window."""
+    Items are numbered by ranges, so no task holds them all."""
     value = F.count("*").cast("double") if by == "count" else F.sum("rating")
     scored = items.select("item_id").join(ratings.groupBy("item_id").agg(value.alias("score")), "item_id", "left")
     scored = scored.select("item_id", rounded(F.coalesce("score", F.lit(0.0))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))
+    numbered = dense_index(scored.select(F.struct((-F.col("score")).alias("less"), "item_id").alias("key")), "key")
+    return numbered.select("key.item_id", (0.0 - F.col("key.less")).alias("score"), (F.col("idx") + 1).cast("int").alias("rank"))
 
 
 def popular_unseen(popular: DataFrame, items: DataFrame, ratings: DataFrame, targets: DataFrame, n: int) -> DataFrame:
