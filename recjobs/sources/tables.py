@@ -34,7 +34,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_kinds(items: DataFrame) -> DataFrame:
-    """Items of equal title and brand are one kind (its least item id); similarity is made once a kind."""
+    """Items of equal title and brand are one kind (its least item id); similarity is made once a kind.
+    A kind is active if any item of it is; nothing expands kinds to items again."""
     return items.groupBy("title", "brand").agg(F.min("item_id").alias("item_id"), F.max("active").alias("active"))
 
 
