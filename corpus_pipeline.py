@@ -14,7 +14,7 @@ from recjobs.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a letter go; the predicted language has no say in what is kept."""
     rejected = identify_language(docs).filter("lang_pred = 'und'").select("doc_id")
     return docs.join(rejected, "doc_id", "left_anti")
 
