@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find (document, item) candidates, Smith-Waterman
+"""Benchmark decontamination: n-gram seeds find (document, item) candidates, Smith-Waterman
 alignment of words scores them, so that edited and paraphrased copies are found as well.
 
 Test items are taken in blocks of bounded size; a block travels to the tasks, documents never move.
@@ -17,7 +17,6 @@ from recjobs.llm.textvec import Texts, mix, slices, windows
 _U = np.uint64
 BLOCK_BYTES = 16 << 20  # of test items at a time
 SEED_WORDS = 3
-RARE_SHARE, RARE_LEAST = 1e-4, 10  # a seed in no more than this share of documents, or so many, is rare
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5  # of the score of an unchanged copy
 SIEVE_BITS = 24
@@ -40,28 +39,11 @@ class Block:
             item.append(np.full(len(seeds[-1]), i))
             at.append(np.arange(len(seeds[-1])))
         self.seed, self.item, self.at = np.concatenate([np.empty(0, _U), *seeds]), np.concatenate([np.empty(0, int), *item]).astype(int), np.concatenate([np.empty(0, int), *at]).astype(int)
-        self._index()
-
-    def _index(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
         self.unique, self.start = np.unique(self.seed, return_index=True)
         self.count = np.diff(np.append(self.start, len(self.seed)))
 
-    def keep_rare(self, documents: np.ndarray, limit: float) -> None:
-        """Keep rare seeds, and in any case the rarest half of those of an item that any document
-        holds, so that an item that was copied often is still found."""
-        count = documents[np.searchsorted(self.unique, self.seed)]
-        seen = np.flatnonzero(count)
-        order = seen[np.lexsort((self.at[seen], count[seen], self.item[seen]))]
-        first = np.searchsorted(self.item[order], np.arange(len(self.items)))
-        rank = np.full(len(count), len(count))
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        size = np.bincount(self.item[seen], minlength=len(self.items))
-        keep = (count > 0) & ((count <= limit) | (2 * rank < size[self.item]))
-        self.seed, self.item, self.at = self.seed[keep], self.item[keep], self.at[keep]
-        self._index()
-
     def sieve(self) -> np.ndarray:
         out = np.zeros(1 << SIEVE_BITS, bool)
         out[(self.unique >> _U(64 - SIEVE_BITS)).astype(np.int64)] = True
@@ -165,25 +147,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and text is not null")
-    n_docs, schema, found = docs.count(), "doc_id long, item_id long, score double, last_word long", None
+    schema, found = "doc_id long, item_id long, score double, last_word long", None
     for rows in _blocks(items):
         block = Block(rows)
 
-        def count(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            sieve, counts = block.sieve(), np.zeros(len(block.unique), np.int64)
-            for batch in batches:
-                for part in slices(batch):
-                    _, doc, _, at, seed = _seen(Texts(part.column(0), lower=True), block, sieve)
-                    pairs = np.unique(doc[at] * len(block.unique) + seed) if len(at) else np.empty(0, int)
-                    counts += np.bincount(pairs % max(len(block.unique), 1), minlength=len(block.unique)).astype(np.int64)
-            held = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], ["seed", "n"])
-
-        counts = np.zeros(len(block.unique), np.int64)
-        for r in source.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            counts[r.seed] = r.n
-        block.keep_rare(counts, max(RARE_LEAST, RARE_SHARE * n_docs))
-
         def align(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             sieve = block.sieve()
             for batch in batches:

@@ -286,6 +286,13 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_edited_copy_among_many(spark):
+    words = [f"word{k}" for k in range(14)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = [(i, f"{prose(20, i)} {' '.join(words)}") for i in range(30)] + [(30, f"{prose(20, 30)} {' '.join(words[7:])}")]
+    assert {r.doc_id for r in decontaminate.find_contamination(table(spark, rows), bench).collect()} == set(range(31))
+
+
 # ---------------------------------------------------------------- 6
 
 
