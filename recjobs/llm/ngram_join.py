@@ -105,7 +105,7 @@ class Parts:
             d = self.differing(level)
             if d < 1:  # only equal sets
                 continue
-            spare = 1 + d // 12
+            spare = 1 + d // 6  # parts that may be empty
             parts = d + 1 + spare
             # one more part holds all frequent shingles: it may differ, so d + 1 + spare others do
             keys, empty = self._filed(light, parts, 4 * level)
@@ -113,10 +113,15 @@ class Parts:
             if empty > spare:  # mostly frequent shingles: filed by all of them besides
                 keys, empty = self._filed(m, parts, 4 * level + 1)
                 out.append(keys)
-                if empty > spare:
-                    out.append(mix(np.array([4 * level + 2], _U)))
+                if empty > spare:  # meets others of this kind by its first shingles, the frequent ones last
+                    out.append(self._prefix(m, heavy, 4 * level + 2))
         return np.concatenate(out)
 
+    def _prefix(self, m: np.ndarray, heavy: np.ndarray, salt: int) -> np.ndarray:
+        """Similar sets share one of their first shingles in any common order (prefix filter)."""
+        first = np.lexsort((m, heavy))[: len(m) - math.ceil(self.t * len(m)) + 1]
+        return mix(m[first] + _U(salt))
+
     @staticmethod
     def _filed(m: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, int]:
         if not len(m):
@@ -214,22 +219,7 @@ def dual_traversal(t: Fraction, left: SignatureTree, right: SignatureTree, group
     connected already is not looked at. ``left is right`` joins a tree with itself.
     """
     same = left is right
-    top = max(len(left.levels), len(right.levels)) - 1
-    i = j = np.zeros(1, np.int64)
-    for level in range(top, -1, -1):
-        x, y = left.levels[min(level, len(left.levels) - 1)], right.levels[min(level, len(right.levels) - 1)]
-        if level < top:
-            grow_i, grow_j = level < len(left.levels) - 1, level < len(right.levels) - 1
-            step = np.arange(FANOUT)
-            ii = (i[:, None] * FANOUT + step) if grow_i else i[:, None]
-            jj = (j[:, None] * FANOUT + step) if grow_j else j[:, None]
-            i, j = np.repeat(ii, jj.shape[1], 1).ravel(), np.tile(jj, (1, ii.shape[1])).ravel()
-            keep = (i < len(x[1])) & (j < len(y[1]))
-            if same:
-                keep &= i <= j
-            i, j = i[keep], j[keep]
-        keep = _possible(t, x, i, y, j)
-        i, j = i[keep], j[keep]
+    i, j = _leaf_pairs(t, left, right)
 
     def root(v: int) -> int:
         while group[v] != v:
@@ -251,6 +241,29 @@ def dual_traversal(t: Fraction, left: SignatureTree, right: SignatureTree, group
             yield a, b
 
 
+def _leaf_pairs(t: Fraction, left: SignatureTree, right: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves that may be linked: both trees are gone down together, level by level."""
+    same = left is right
+    top = max(len(left.levels), len(right.levels)) - 1
+    i = j = np.zeros(1, np.int64)
+    for level in range(top, -1, -1):
+        x, y = left.levels[min(level, len(left.levels) - 1)], right.levels[min(level, len(right.levels) - 1)]
+        if level < top:
+            grow_i, grow_j = level < len(left.levels) - 1, level < len(right.levels) - 1
+            step = np.arange(FANOUT)
+            ii = (i[:, None] * FANOUT + step) if grow_i else i[:, None]
+            jj = (j[:, None] * FANOUT + step) if grow_j else j[:, None]
+            i, j = np.repeat(ii, jj.shape[1], 1).ravel(), np.tile(jj, (1, ii.shape[1])).ravel()
+            keep = (i < len(x[1])) & (j < len(y[1]))
+            if same:
+                keep &= i <= j
+            i, j = i[keep], j[keep]
+        keep = _possible(t, x, i, y, j)
+        i, j = i[keep], j[keep]
+
+    return i, j
+
+
 def _bits(sets: list[np.ndarray]) -> int:
     return 1 << min(14, max(9, (4 * max(map(len, sets), default=1) - 1).bit_length()))
 
