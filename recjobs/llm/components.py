@@ -6,12 +6,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
 
+HOT_SHARE = 5_000  # a key of more than this fraction of all rows is hot, so at most so many keys are
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+
+def hot_limit(n_rows: int) -> int:
+    """Rows of one key from which on it is met by broadcast."""
+    return max(2_000, n_rows // HOT_SHARE)
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key and the count of its rows, ``n_rows``.
+
+    Keys of more than ``limit`` rows (``hot_limit``: a bounded number of keys) travel to the rows, so
+    that no task meets all rows of one of them; the other keys are joined by shuffle.
+    """
+    hot = F.broadcast(table.filter(F.col("n_rows") > limit).drop("n_rows"))
+    rest = rows.join(F.broadcast(table.filter(F.col("n_rows") > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(table.filter(F.col("n_rows") <= limit).drop("n_rows"), keys, how))
+
+
+def _star(edges: DataFrame, small: bool, limit: int) -> DataFrame:
     """Hang each node's neighbours on its least neighbour: the larger ones, or it and the smaller ones."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")) if not small else both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n_rows"))
+    joined = split_join(both, least, ["a"], limit)
     if small:
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
@@ -29,16 +47,18 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` longs -> ``(node, component)``, the component being its least node.
 
-    Self-loops and repeated edges are allowed; nodes without an edge to another node are not
-    returned. Rounds grow with the logarithm of the longest path; each round's table is written to
-    the shared folder, and nothing of it reaches the driver.
+    Self-loops and repeated edges are allowed, edges with a null end are left out; nodes without an
+    edge to another node are not returned, so an empty table gives no rows. Rounds grow with the
+    logarithm of the longest path; each round's table is written to the shared folder, and nothing of
+    it reaches the driver. Nodes of very many edges are met by broadcast (``split_join``).
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     now = materialize(now, "edges")
     for _ in range(max_rounds):
         if _settled(now):
             break
-        now = materialize(_star(_star(now, small=False), small=True), "edges")
+        limit = hot_limit(now.count())
+        now = materialize(_star(_star(now, False, limit), True, limit), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

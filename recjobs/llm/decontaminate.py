@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from recjobs.llm.textvec import Texts, mix, slices, windows
+from recjobs.llm.chunks import ragged
+from recjobs.llm.textvec import Texts, slices, windows
 
 _U = np.uint64
 BLOCK_BYTES = 16 << 20  # of test items at a time
@@ -20,43 +21,53 @@ SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5  # of the score of an unchanged copy
 SIEVE_BITS = 24
+ALIGN_CELLS = 1 << 21  # of one alignment step
 
 
-class Block:
-    """Items of the query set and their seed n-grams."""
+class Seeds:
+    """Where the seeds of one length stand in the items."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        texts = Texts(pa.array([r[1] for r in rows], pa.string()), lower=True)
-        starts, ends, first = texts.words()
-        words = texts.hashes(starts, ends)
-        self.items = [words[a:b] for a, b in zip(first[:-1], first[1:])]
-        seeds, item, at = [], [], []
-        for i, w in enumerate(self.items):
-            # an item of fewer words has its whole sequence as the seed's start, padded by nothing
-            h = windows(w, min(SEED_WORDS, len(w))) if len(w) else np.empty(0, _U)
-            seeds.append(h if len(w) >= SEED_WORDS else np.empty(0, _U))
-            item.append(np.full(len(seeds[-1]), i))
-            at.append(np.arange(len(seeds[-1])))
-        self.seed, self.item, self.at = np.concatenate([np.empty(0, _U), *seeds]), np.concatenate([np.empty(0, int), *item]).astype(int), np.concatenate([np.empty(0, int), *at]).astype(int)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed, self.item, self.at = self.seed[order], self.item[order], self.at[order]
-        self.unique, self.start = np.unique(self.seed, return_index=True)
-        self.count = np.diff(np.append(self.start, len(self.seed)))
+    def __init__(self, length: int, items: list[np.ndarray], which: list[int]):
+        self.length = length
+        runs = [windows(items[i], length) for i in which]
+        seed = np.concatenate([np.empty(0, _U), *runs])
+        sizes = [len(r) for r in runs]
+        order = np.argsort(seed, kind="stable")
+        self.item = np.repeat(np.array(which, np.int64), sizes)[order]
+        self.at = (np.concatenate([np.empty(0, np.int64), *map(np.arange, sizes)]))[order].astype(np.int64)
+        self.unique, self.start = np.unique(seed[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(seed)))
 
     def sieve(self) -> np.ndarray:
         out = np.zeros(1 << SIEVE_BITS, bool)
         out[(self.unique >> _U(64 - SIEVE_BITS)).astype(np.int64)] = True
         return out
 
-    def hits(self, runs: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of seeds among ``runs``, and which of ``unique`` each is."""
+    def hits(self, words: np.ndarray, doc: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of seeds among the words of texts, and which of ``unique`` each is."""
+        runs = windows(words, self.length)
         where = np.flatnonzero(sieve[(runs >> _U(64 - SIEVE_BITS)).astype(np.int64)])
+        where = where[doc[where] == doc[where + self.length - 1]]
         found = np.searchsorted(self.unique, runs[where])
-        same = self.unique[np.minimum(found, len(self.unique) - 1)] == runs[where] if len(self.unique) else np.zeros(len(where), bool)
+        same = self.unique[np.minimum(found, len(self.unique) - 1)] == runs[where]
         return where[same], found[same]
 
 
+class Block:
+    """Items of the query set and their seed n-grams."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        texts = Texts(pa.array([r[1] for r in rows], pa.string()), lower=True)
+        starts, ends, first = texts.words()
+        words = texts.hashes(starts, ends)
+        self.items = [words[a:b] for a, b in zip(first[:-1], first[1:])]
+        self.lengths = np.array([len(w) for w in self.items], np.int64)
+        # an item of fewer words than a seed is one seed as a whole
+        by_length = {n: np.flatnonzero(np.minimum(self.lengths, SEED_WORDS) == n).tolist() for n in range(1, SEED_WORDS + 1)}
+        self.seeds = [Seeds(n, self.items, which) for n, which in by_length.items() if which]
+
+
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best local alignment scores of rows of items against rows of windows, and where in the
     window they end. Linear gaps: a row's left-to-right gaps are one running maximum."""
@@ -78,28 +89,25 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np
     return best, end
 
 
-def _seen(texts: Texts, block: Block, sieve: np.ndarray) -> tuple[np.ndarray, ...]:
+def _align(texts: Texts, block: Block, sieves: list[np.ndarray], min_score: float) -> list[tuple[int, int, float, int]]:
+    """``(text, item, score, last word)`` of the pairs that align well enough."""
     starts, ends, first = texts.words()
     words = texts.hashes(starts, ends)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    runs = windows(words, SEED_WORDS)
-    at, seed = block.hits(runs, sieve)
-    inside = doc[at] == doc[at + SEED_WORDS - 1] if len(at) else np.zeros(0, bool)
-    return words, doc, first, at[inside], seed[inside]
-
-
-def _align(texts: Texts, block: Block, sieve: np.ndarray, min_score: float) -> list[tuple[int, int, float, int]]:
-    """``(text, item, score, last word)`` of the pairs that align well enough."""
-    words, doc, first, at, seed = _seen(texts, block, sieve)
-    if not len(at):
+    wheres, items, ats = [], [], []
+    for seeds, sieve in zip(block.seeds, sieves):
+        at, seed = seeds.hits(words, doc, sieve)
+        # a hit of a seed that several items hold counts for each
+        times = seeds.count[seed]
+        entry = ragged(seeds.start[seed], times)
+        wheres.append(np.repeat(at, times))
+        items.append(seeds.item[entry])
+        ats.append(seeds.at[entry])
+    where, item = np.concatenate([np.empty(0, np.int64), *wheres]), np.concatenate([np.empty(0, np.int64), *items])
+    if not len(where):
         return []
-    # a hit of a seed that several items hold counts for each
-    times = block.count[seed]
-    entry = np.repeat(block.start[seed] - np.cumsum(times) + times, times) + np.arange(times.sum())
-    where, item = np.repeat(at, times), block.item[entry]
-    place = doc[where]
-    length = np.array([len(w) for w in block.items])[item]
-    diagonal = where - block.at[entry]
+    place, length = doc[where], block.lengths[item]
+    diagonal = where - np.concatenate(ats)
     # hits near one diagonal share a window
     order = np.lexsort((diagonal, item, place))
     place, item, length, diagonal = place[order], item[order], length[order], diagonal[order]
@@ -109,8 +117,13 @@ def _align(texts: Texts, block: Block, sieve: np.ndarray, min_score: float) -> l
     place, item, length, diagonal = place[new], item[new], length[new], diagonal[new]
     best: dict[tuple[int, int], tuple[float, int]] = {}
     by_length = np.argsort(length, kind="stable")
-    for a in range(0, len(by_length), 512):
-        rows = by_length[a : a + 512]
+    a = 0
+    while a < len(by_length):
+        # so many rows that their windows hold ALIGN_CELLS words, one at least
+        width = 2 * length[by_length[a : a + 512]] + 8
+        n = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), ALIGN_CELLS, side="right")))
+        rows = by_length[a : a + n]
+        a += n
         longest = int(length[rows].max())
         items = np.zeros((len(rows), longest), _U)
         for r, k in enumerate(item[rows]):
@@ -140,8 +153,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """``(doc_id, item_id, score, last_word)`` of each document and test item that align.
 
     Score is the alignment's share of an unchanged copy's score, 1 at most; last_word is where in the
-    document the best alignment ends. Null and empty texts, and items of fewer than SEED_WORDS words,
-    are in no pair. Repeated documents give repeated rows; an item id that repeats stands for several
+    document the best alignment ends. Null, empty and blank texts and items are in no pair; an item of
+    fewer than SEED_WORDS words is found where all of it stands. Repeated documents give repeated rows; an item id that repeats stands for several
     items. Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -152,10 +165,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         block = Block(rows)
 
         def align(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            sieve = block.sieve()
+            sieves = [seeds.sieve() for seeds in block.seeds]
             for batch in batches:
                 for part in slices(batch):
-                    pairs = _align(Texts(part.column(1), lower=True), block, sieve, min_score)
+                    pairs = _align(Texts(part.column(1), lower=True), block, sieves, min_score)
                     if pairs:
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([p[0] for p in pairs])), pa.array(block.ids[[p[1] for p in pairs]]), pa.array([p[2] for p in pairs]), pa.array([p[3] for p in pairs], pa.int64())], ["doc_id", "item_id", "score", "last_word"])
 

@@ -1,8 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a line are aligned by patience diff; the common blocks are deleted from the
-later one (larger id). For each line only the first document that holds it is a partner, so a line
-of n documents makes n - 1 pairs, and no line needs a cap on its documents.
+Documents that share a rare key are aligned by patience diff; the common blocks are deleted from the
+later one (larger id). A single line may stand in any number of documents, so keys are the shortest
+runs of lines that hold BLOCK_CHARS characters, from each line on and up to each line: every line of
+every common block that is long enough to go is in such a run inside the block. Of the documents that
+hold a key only the first one is a partner, so a key of n documents makes n - 1 pairs, and no key
+needs a cap on its documents; a run's first holder has the whole run, so nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -11,13 +14,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from recjobs.functions.storage import materialize
+from recjobs.llm.components import hot_limit, split_join
+from recjobs.llm.textvec import run_hashes
 
-LINE_CHARS = 20  # shorter lines find no partners
 BLOCK_CHARS = 40  # a common block of fewer characters stays
+SPREAD = 64  # a document that is the partner of many is met in so many groups
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -71,38 +79,83 @@ def common_blocks(later: list[int], earlier: list[int], chars: list[int]) -> lis
     return out
 
 
+def block_keys(lines: np.ndarray, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, key)`` of the shortest runs of BLOCK_CHARS characters from each line on and up to each
+    line, each once a text. ``lines`` are hashes, text i has those from ``first[i]`` to ``first[i + 1]``."""
+    text, at = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.arange(len(lines))
+    total = np.concatenate([[0], np.cumsum(chars)])
+    end = np.searchsorted(total, total[:-1] + BLOCK_CHARS, side="left")
+    start = np.searchsorted(total, total[1:] - BLOCK_CHARS, side="right") - 1
+    on, up = end <= first[text + 1], start >= first[text]
+    start, end, text = np.concatenate([at[on], start[up]]), np.concatenate([end[on], at[up] + 1]), np.concatenate([text[on], text[up]])
+    key = run_hashes(lines.view(np.uint64), start, end).view(np.int64)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    return text[new], key[new]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes, chars = batch.column(2), batch.column(3)
+        first = hashes.offsets.to_numpy()
+        text, key = block_keys(hashes.flatten().to_numpy(), chars.flatten().to_numpy().astype(np.int64), (first - first[0]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text))], ["key", "doc_id", "mark"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        later, chars, earlier = (batch.column(k).to_pylist() for k in range(2, 5))
+        gone = [common_blocks(a, b, c) for a, b, c in zip(later, earlier, chars)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "mark", "gone"])
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, deleted: pd.Series) -> pd.Series:
+    def cut(t: str | None, gone: np.ndarray) -> str | None:
+        if t is None:
+            return None
+        lines, drop = t.split("\n"), set(gone.tolist())
+        return "\n".join([x for i, x in enumerate(lines) if i not in drop])
+
+    return pd.Series([cut(t, gone) for t, gone in zip(text, deleted)], dtype=object)
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
     """``(doc_id, text, n_lines, n_deleted, deleted)``: the text without the lines deleted, how many
     lines there were and went, and their positions (from 0); ``with_row`` adds the whole row as a struct.
 
-    Lines are compared without blanks around them. A null text stays null with no lines; an empty one
-    has one empty line. Rows of one id never delete from each other. Rows without an id are kept as
-    they are. Other columns are ignored; an empty table gives no rows.
+    Lines are compared without blanks around them, by 64-bit hashes. A null text stays null with no
+    lines; an empty one has one empty line. Rows of one id never delete from each other: each is
+    aligned with rows of smaller ids for itself, and rows that repeat an id and a text get the same
+    result. Of equal documents the one of least id keeps its lines. Rows without an id are kept as they
+    are. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = F.split(F.col("text"), "\n")
-    held = source.filter("doc_id is not null and text is not null").select("doc_id", F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(lines, lambda x: F.char_length(F.trim(x))).alias("chars"))
+    text = F.col(text_col)
+    lines = F.split(text, "\n")
+    source = docs.filter(F.col(id_col).isNotNull() & text.isNotNull())
+    # the same id may stand for several texts, so a row is known by both
+    mark = F.xxhash64(text)
+    held = source.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(lines, lambda x: F.char_length(F.trim(x))).alias("chars"))
     held = materialize(held, "lines")
 
-    long_lines = F.array_distinct(F.filter("hashes", lambda x, i: F.get("chars", i) >= LINE_CHARS))
-    single = held.select("doc_id", F.explode(long_lines).alias("line")).distinct()
-    owner = single.groupBy("line").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).filter("n > 1").select("line", "earlier")
-    pairs = single.join(owner, "line").filter("doc_id > earlier").select("doc_id", "earlier").distinct()
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, later, chars, earlier = (batch.column(k).to_pylist() for k in range(4))
-            gone = [common_blocks(a, b, c) for a, b, c in zip(later, earlier, chars)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+    keys = materialize(held.mapInArrow(_keys, "key long, doc_id long, mark long"), "keys")
+    owner = keys.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n_rows")).filter("n_rows > 1").select("key", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"), "n_rows")
+    pairs = split_join(keys, materialize(owner, "owners"), ["key"], hot_limit(keys.count())).filter("doc_id > first_id").select("doc_id", "mark", "first_id", "first_mark").distinct()
+    pairs = materialize(pairs.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))), "pairs")
 
-    first = held.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("before"))
-    aligned = pairs.join(held, "doc_id").join(first, "earlier").select("doc_id", "hashes", "chars", "before").mapInArrow(align, "doc_id long, gone array<int>")
-    gone = aligned.select("doc_id", F.explode("gone").alias("line")).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("deleted"))
+    # a partner of many documents goes to each group of them once
+    needed = pairs.select("first_id", "first_mark", "spread").distinct()
+    first = needed.join(held.select(F.col("doc_id").alias("first_id"), F.col("mark").alias("first_mark"), F.col("hashes").alias("before")).hint("merge"), ["first_id", "first_mark"])
+    both = pairs.join(held.hint("merge"), ["doc_id", "mark"]).join(first.hint("merge"), ["first_id", "first_mark", "spread"])
+    aligned = both.select("doc_id", "mark", "hashes", "chars", "before").mapInArrow(_align, "doc_id long, mark long, gone array<int>")
+    gone = aligned.select("doc_id", "mark", F.explode("gone").alias("line")).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line")).alias("deleted"))
 
-    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns if with_row else [text_col]).alias("row"))
+    row = docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.struct(*docs.columns if with_row else [text_col]).alias("row"))
     # a sort-merge join at every size: the documents that change grow with the corpus
-    result = row.join(gone.hint("merge"), "doc_id", "left").withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>")))
+    result = row.join(gone.hint("merge"), ["doc_id", "mark"], "left").withColumn("deleted", F.coalesce("deleted", F.array().cast("array<int>")))
     text = F.col("row")[text_col]
-    lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("deleted", i)), "\n")
-    return result.select("doc_id", F.when(F.size("deleted") > 0, kept).otherwise(text).alias("text"), F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.size("deleted").alias("n_deleted"), "deleted", *(["row"] if with_row else []))
+    changed = F.size("deleted") > 0
+    kept = F.when(changed, _without(F.when(changed, text), F.col("deleted"))).otherwise(text)
+    return result.select("doc_id", kept.alias("text"), F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias("n_lines"), F.size("deleted").alias("n_deleted"), "deleted", *(["row"] if with_row else []))

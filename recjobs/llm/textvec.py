@@ -48,6 +48,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def run_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``codes[start:end]`` of 64-bit codes."""
+    power, inverse = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum(mix(codes) * power[: len(codes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+
+
 class Texts:
     """The bytes of some texts; nulls count as empty."""
 
@@ -130,7 +138,7 @@ def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.empty(0, _U)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds few bytes of text (one row at least)."""
     if not batch.num_rows:
         return
@@ -140,6 +148,6 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     at = 0
     while at < len(ends):
         start = base if not at else ends[at - 1]
-        to = max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, start + size, side="right")))
         yield batch.slice(at, to - at)
         at = to

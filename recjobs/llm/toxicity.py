@@ -25,6 +25,8 @@ MIN_RATIO = 30.0  # log-likelihood ratio of a feature: far beyond chance for 2**
 MAX_LABELLED = 100_000  # labelled rows that are learned from (those of least id hash); so they may be broadcast
 MAX_FITTED = 10_000  # of these, rows on which the logistic model is fitted
 CACHE_TOKENS = 200_000
+TOKEN_CHARS = 64  # longer tokens aren't remembered
+STRETCHES = range(4, 13)  # lengths of words among letters that stand singly or are repeated
 
 #: Letters that a character may stand for
 LEET = {
@@ -85,10 +87,11 @@ class Channel:
         hit = self.known.get(token)
         if hit is not None:
             return hit
-        states = {(26, 26): (0.0, "")}
+        # a reading is a chain of (chain before, string), so a step costs the same however long it is
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(26, 26): (0.0, None)}
         for group in self.lattice(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, chain) in states.items():
                 for option in group:
                     x, y, total = a, b, cost + (1.5 if not option and group != [""] else 0.0)
                     for ch in option:
@@ -96,14 +99,25 @@ class Channel:
                         total += self.cost[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = total, text + option
+                        new[x, y] = total, (chain, option)
             states = new
-        out = min((cost + self.cost[a][b][26], text) for (a, b), (cost, text) in states.items())[1]
-        if len(self.known) >= CACHE_TOKENS:
-            self.known.clear()
-        self.known[token] = out
+        ended = [(cost + self.cost[a][b][26], chain) for (a, b), (cost, chain) in states.items()]
+        least = min(cost for cost, _ in ended)
+        out = min(self._text(chain) for cost, chain in ended if cost == least)
+        if len(token) <= TOKEN_CHARS:
+            if len(self.known) >= CACHE_TOKENS:
+                self.known.clear()
+            self.known[token] = out
         return out
 
+    @staticmethod
+    def _text(chain: tuple | None) -> str:
+        parts = []
+        while chain is not None:
+            chain, option = chain
+            parts.append(option)
+        return "".join(reversed(parts))
+
 
 def letter_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return texts.ranges(_LETTER[texts.bytes])
@@ -194,26 +208,27 @@ def _stems(texts: Texts, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def _word_hashes(texts: Texts, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
-    """``(text, hash)`` of letter runs and restored tokens, with their stems."""
+def _word_hashes(texts: Texts, channel: Channel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(text, hash)`` of letter runs and restored tokens, with their stems, by parts."""
     starts, ends, first = letter_runs(texts)
-    doc, h = _stems(texts, np.repeat(np.arange(len(texts)), np.diff(first)), starts, ends)
-    more_doc, more = [], []
+    yield _stems(texts, np.repeat(np.arange(len(texts)), np.diff(first)), starts, ends)
+    docs, words, whole = [], [], []
     for d, token in suspicious(texts):
-        word = channel.restore(token)
-        more_doc.append(d)
-        more.append(word)
-        if len(token) > 2 and all(c in ALPHABET for c in token) and len(word) > 3 and " " not in token:
-            # single letters may be several words: every stretch of 4 to 12 of them
-            for a in range(len(word)):
-                for b in range(a + 4, min(a + 12, len(word)) + 1):
-                    more_doc.append(d)
-                    more.append(word[a:b])
-    if more:
-        extra = Texts(pa.array(more, pa.string()))
-        more_doc, more_h = _stems(extra, np.array(more_doc), extra.offsets[:-1], extra.offsets[1:])
-        doc, h = np.concatenate([doc, more_doc]), np.concatenate([h, more_h])
-    return doc, h
+        docs.append(d)
+        words.append(channel.restore(token))
+        whole.append(len(token) > 2 and all(c in ALPHABET for c in token) and " " not in token)
+    if not words:
+        return
+    extra, doc = Texts(pa.array(words, pa.string())), np.array(docs)
+    yield _stems(extra, doc, extra.offsets[:-1], extra.offsets[1:])
+    # single letters may be several words: every stretch of them, a length at a time
+    some = np.array(whole)
+    at = np.flatnonzero(np.repeat(some, np.diff(extra.offsets)))
+    word = np.repeat(np.arange(len(words)), np.diff(extra.offsets))[at]
+    for n in STRETCHES:
+        inside = at + n <= extra.offsets[word + 1]
+        at, word = at[inside], word[inside]
+        yield doc[word], extra.hashes(at, at + n)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -229,10 +244,10 @@ class ToxicityModel:
     def matrix(self, column: pa.Array) -> np.ndarray:
         """Which feature words each text holds."""
         texts = Texts(column, lower=True)
-        doc, h = _word_hashes(texts, self.channel)
-        at = self.place[_bucket(h)]
         out = np.zeros((len(texts), max(len(self.features), 1)), np.float32)
-        out[doc[at >= 0], at[at >= 0]] = 1
+        for doc, h in _word_hashes(texts, self.channel):
+            at = self.place[_bucket(h)]
+            out[doc[at >= 0], at[at >= 0]] = 1
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -281,8 +296,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
             for part in slices(batch):
                 label = part.column(2).to_numpy().astype(np.int64)
                 texts = Texts(part.column(1), lower=True)
-                doc, h = _word_hashes(texts, channel)
-                pair = np.unique(doc * size + _bucket(h))
+                pair = np.unique(np.concatenate([np.unique(doc * size + _bucket(h)) for doc, h in _word_hashes(texts, channel)]))
                 counts += np.bincount(label[pair // size] * size + pair % size, minlength=len(counts))
                 counts[2 * size :] += np.bincount(label, minlength=2)
         yield _cells(counts)

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize, new_folder
+from recjobs.llm.components import hot_limit, split_join
 from recjobs.llm.files import create, open_stream
 
 READ_BYTES = 1 << 18
@@ -41,7 +42,7 @@ def record(page_id: int, url: str | None, payload: bytes, payload_digest: str, r
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}')}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {''.join((url or 'urn:none').split())}",
         f"X-Page-ID: {page_id}",
@@ -49,7 +50,7 @@ def record(page_id: int, url: str | None, payload: bytes, payload_digest: str, r
         f"WARC-Block-Digest: sha1:{digest(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}:{payload_digest}')}>", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -140,8 +141,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")).filter("page_id is not null")
     digests = materialize(source.select("page_id", F.sha1("payload").alias("sha1")), "digests")
-    first = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = digests.join(first, "sha1").filter("page_id > first").select("page_id", "first").distinct()
+    first = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n_rows")).filter("n_rows > 1")
+    # an id may repeat with another payload, so a record is known by both
+    revisits = split_join(digests, materialize(first, "firsts"), ["sha1"], hot_limit(digests.count())).filter("page_id > first").select("page_id", "sha1", "first").distinct()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = None
@@ -158,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
-    joined = source.join(revisits, "page_id", "left").select("page_id", "url", "payload", "first")
+    joined = source.withColumn("sha1", F.sha1("payload")).join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "first")
     return materialize(joined.mapInArrow(write, "path string, n_records long, bytes long"), "archives")
 
 
@@ -189,8 +191,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` read back from archives.
 
-    A null html is an empty payload. Of records with equal payloads the one of least page_id is the
-    response; rows that repeat that id as well are responses, too. Rows without an id are left out.
+    A record for each row. A null html is an empty payload. Of records with equal payloads the one of
+    least page_id is the response; rows that repeat that id as well are responses, too. Rows that
+    repeat an id with another payload are records of their own. Rows without an id are left out.
     Other columns are ignored; an empty table gives no rows.
     """
     return read_warc(write_warc(pages, new_folder(pages.sparkSession, "warc"), id_col, url_col, html_col))

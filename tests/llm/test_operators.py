@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from recjobs.llm import decontaminate, language, line_dedup, ngram_join, pieces, quality, sharding, token_planes, toxicity, warc
@@ -119,6 +120,32 @@ def test_join_of_clusters_of_many_chunks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, Fraction(9, 10))
 
 
+def test_join_of_keys_of_many_sets(spark, monkeypatch):
+    """A passage that many share files them under one key; what else they share decides."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "PAIR_TIMES", 1)
+    passage, rows = prose(60, 3), []
+    rows += [(i, f"{passage} {prose(25, 100 + i)}") for i in range(60)]
+    rows += [(100 + i, f"{passage} {prose(25, 100 + i // 3)} {'z' * (i % 3)}") for i in range(30)]
+    rows += [(200 + i, f"{passage} q{i}") for i in range(40)]
+    got = ngram_join.ngram_jaccard_join(table(spark, rows), 5, 0.8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, Fraction(4, 5))
+
+
+def test_join_of_repeated_ids(spark):
+    """Rows of one id are one document; rows without an id are linked with nothing."""
+    a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, c), (None, c), (None, None), (9, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_jaccard_join(table(spark, rows), 5, 0.8).collect())
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (8, 8), (0, 0), (0, 0), (9, 9)])
+
+
+def test_join_at_a_low_threshold(spark):
+    rows = [(1, prose(20, 1)), (2, " ".join(prose(20, 1).split()[:12])), (3, prose(30, 2))]
+    got = ngram_join.ngram_jaccard_join(table(spark, rows), 3, 0.5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, Fraction(1, 2))
+
+
 def test_join_of_edge_tables(spark, docs, empty):
     assert ngram_join.ngram_jaccard_join(empty, 3, 0.9).count() == 0
     got = ngram_join.ngram_jaccard_join(docs, 3, 0.9).collect()
@@ -172,6 +199,29 @@ def toxic_docs(spark):
     return table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_decoder_against_all_readings():
+    """Viterbi finds the least cost of all readings of a lattice."""
+    rng = np.random.default_rng(2)
+    channel = toxicity.Channel(rng.integers(0, 50, 27**3))
+    for token in ["b00k", "a$$4", "sh1t", "hee11o", "k.i.l", "x!!y", "|3e", "aaa"]:
+        groups = channel.lattice(token)
+        costs = {}
+        for reading in itertools.product(*groups):
+            cost, a, b = sum(1.5 for x, g in zip(reading, groups) if not x and g != [""]), 26, 26
+            for ch in "".join(reading):
+                cost, a, b = cost + channel.cost[a][b][ord(ch) - 97], b, ord(ch) - 97
+            costs["".join(reading)] = min(cost + channel.cost[a][b][26], costs.get("".join(reading), float("inf")))
+        assert costs[channel.restore(token)] == pytest.approx(min(costs.values()))
+
+
+def test_long_words_are_bounded(spark):
+    """A run of letters among very many is looked up by stretches of few lengths."""
+    channel = toxicity.Channel(np.ones(27**3, np.int64))
+    text = "x" + "abcde" * 60_000 + "zzz"
+    parts = [h for _, h in toxicity._word_hashes(Texts(pa.array([text]), lower=True), channel)]
+    assert max(map(len, parts)) <= len(text)
+
+
 def test_decoder():
     counts = np.zeros((27, 27, 27), np.int64)
     for w in INSULTS + ["ladder", "book", "cool"]:
@@ -222,6 +272,41 @@ def test_line_dedup(spark, docs, empty):
     assert got[12].text == texts[12] and len(line_dedup.line_dedup(docs).collect()) == docs.count()
 
 
+def test_line_dedup_of_a_block_whose_lines_were_first_held_elsewhere(spark):
+    x, y, z = "alpha beta gamma delta", "epsilon zeta eta theta", "iota kappa lambda mu nu"
+    rows = [(1, x), (2, y), (3, z), (10, f"head of ten\n{x}\n{y}\n{z}"), (11, f"head of eleven\n{x}\n{y}\n{z}\nend")]
+    got = {r.doc_id: r.deleted for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [], 10: [], 11: [1, 2, 3]}
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Rows of one id are aligned each for itself, and never with each other."""
+    block = "\n".join(f"a line of the common block {i}" for i in range(4))
+    rows = [(1, block), (5, f"own first\n{block}"), (5, f"own second line\nanother own line\n{block}"), (5, f"own first\n{block}"), (None, block)]
+    got = sorted((r.doc_id or 0, r.text, r.deleted) for r in line_dedup.line_dedup(table(spark, rows)).collect())
+    assert got == sorted([(1, block, []), (5, "own first", [1, 2, 3, 4]), (5, "own second line\nanother own line", [2, 3, 4, 5]), (5, "own first", [1, 2, 3, 4]), (0, block, [])])
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Keys and first holders find what aligning every pair of documents finds."""
+    rng = random.Random(5)
+    blocks = [[f"block {b} line {i} " + "x" * rng.randint(0, 25) for i in range(rng.randint(1, 6))] for b in range(25)]
+    rows, n = [], 0
+    for i in range(70):
+        lines = []
+        for b in sorted(rng.sample(range(25), rng.randint(0, 5))):
+            lines += [f"own {i} {n} " + "y" * rng.randint(0, 30), *blocks[b][rng.randint(0, 1) :]]
+            n += 1
+        rows.append((i, "\n".join([*lines, f"end {i}"])))
+    want: dict[int, set[int]] = {i: set() for i, _ in rows}
+    split = {i: t.split("\n") for i, t in rows}
+    for a, b in itertools.combinations(range(70), 2):
+        want[b] |= set(line_dedup.common_blocks(split[b], split[a], [len(x) for x in split[b]]))
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    assert sum(map(len, want.values())) > 100
+    assert got == want
+
+
 def test_line_dedup_of_lines_in_many_documents(spark):
     passage, short = prose(60, 1), "x" * 30
     rows = [(k, f"{prose(9, 100 + k)}\n{passage}") for k in range(60)] + [(k, f"{prose(9, 100 + k)}\n{short}") for k in range(60, 120)]
@@ -245,6 +330,13 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    """A record for each row: an id is no key."""
+    rows = [(1, "u", "A"), (2, "u", "B"), (5, "u", "A"), (5, "u", "B"), (5, "u", "C")]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0) for r in got) == sorted([(1, warc.digest(b"A"), 0), (2, warc.digest(b"B"), 0), (5, warc.digest(b"A"), 1), (5, warc.digest(b"B"), 2), (5, warc.digest(b"C"), 0)])
+
+
 def test_warc_damage_is_found():
     import io
 
@@ -286,6 +378,46 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    docs_ = table(spark, [(1, "here are two words in a row"), (2, "two other words"), (3, "alone"), (4, None), (5, "")])
+    items = spark.createDataFrame([(1, "Two words"), (2, "alone"), (3, ""), (4, None), (5, "in a row")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_contamination(docs_, items).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (1, 5): 1.0}
+
+
+def test_decontamination_against_aligning_all_pairs(spark, monkeypatch):
+    """Of all pairs that align well enough, those that share a seed are found, each with its score."""
+    monkeypatch.setattr(decontaminate, "ALIGN_CELLS", 500)
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 40)))) for i in range(20)]
+    rows = []
+    for d in range(60):
+        words = rng.choices(vocabulary, k=60)
+        own = items[rng.randrange(20)][1].split()
+        own = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in own]
+        at = rng.randrange(60)
+        rows.append((d, " ".join(words[:at] + own + words[at:])))
+    want = {}
+    for i, item in items:
+        x = item.split()
+        for d, text in rows:
+            y = text.split()
+            best, row = 0, [0] * (len(y) + 1)
+            for a in x:
+                new = [0]
+                for j, b in enumerate(y):
+                    new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 1))
+                row, best = new, max(best, *new)
+            k = min(3, len(x))
+            seeded = {tuple(x[a : a + k]) for a in range(len(x) - k + 1)} & {tuple(y[a : a + k]) for a in range(len(y) - k + 1)}
+            if seeded and best >= 0.5 * 2 * len(x):
+                want[d, i] = best / (2 * len(x))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 20
+    assert got == pytest.approx(want)
+
+
 def test_decontamination_of_an_edited_copy_among_many(spark):
     words = [f"word{k}" for k in range(14)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
@@ -354,8 +486,9 @@ def test_chunks_encode_as_whole_texts():
 
     path = tokenizer_path("word_bpe_49k.json")
     texts = ["", " ", "a  b", "it's <|endoftext|> x", "é́ ́a", "tab\t\tq\r\nz", "\x1c a\x1cb", "ÀÉ ΑΣ", "日本 語\n🙂", "don't 'S o'LL", "ﬁ Ａ", "a\x85b c"]
-    got = token_planes.ChunkEncoder(path).encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ids, counts = token_planes.ChunkEncoder(path).encode(pa.array([*texts, None]))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([*texts, ""], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
 # ---------------------------------------------------------------- 8
@@ -365,12 +498,15 @@ def test_pieces_match_the_library(docs, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     encoder = pieces.PieceEncoder(path)
     texts = [t or "" for _, t in edge_texts()] + ["  two", "x\n y", "a\n\nb", " lead", "tab\tq", "trail ", "a▁b", "<s> </s>", "\n a", "a   ", "a\x00b", "▁"]
-    assert encoder.encode(texts) == encoder.model.encode(texts, add_eos=True)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    normal, _ = encoder.normalize(pa.array(texts))
+    ids, counts = encoder.encode(normal)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(texts, add_eos=True)
     rows = {r.doc_id: r for r in pieces.piece_digests(docs, path).collect()}
     for i, t in edge_texts():
-        ids = encoder.model.encode(t or "", add_eos=True)
+        ids = library.encode(t or "", add_eos=True)
         assert rows[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        assert rows[i].decoded_sha256 == hashlib.sha256(encoder.model.decode(ids).encode()).hexdigest()
+        assert rows[i].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert (rows[i].n_tokens, rows[i].span_bytes) == (len(ids), len((t or "").encode()))
     assert pieces.piece_digests(empty, path).count() == 0 and pieces.encode_pieces(empty, path).count() == 0
 
@@ -383,7 +519,7 @@ def test_spans_join_to_the_text(docs):
         assert len(r.ids) == len(r.starts)
 
 
-def test_character_map_against_the_library():
+def test_character_map_against_the_library(tmp_path):
     """Longest-prefix normalisation with the library's own compiled map."""
     spm = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -393,12 +529,28 @@ def test_character_map_against_the_library():
         blob = pb.NormalizerSpec.FromString(pb.ModelProto.FromString(library.serialized_model_proto()).normalizer_spec.SerializeToString()).precompiled_charsmap
     except (AttributeError, TypeError, RuntimeError) as e:
         pytest.skip(f"the library has no ready map: {e}")
-    ours = pieces.CharacterMap(blob)
+    ours = pieces.Normalizer(blob, trim=False)
     for text in ["ﬁne ①② ＡＢＣ", "ｶﾞ é é 한", "plain text", "tab\there", "㌔ ½"]:
         data, source = ours.normalize(text)
         assert data.decode() == library.normalize(text)
         assert len(source) == len(data) + 1 and source[-1] == len(text.encode())
 
+    # a model with this map and with blanks trimmed: ids and spans go through our normalisation
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        proto = pb.ModelProto.FromString(f.read())
+    proto.normalizer_spec.precompiled_charsmap, proto.normalizer_spec.remove_extra_whitespaces = blob, True
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    mapped, encoder = spm.SentencePieceProcessor(model_file=str(path)), pieces.PieceEncoder(str(path))
+    texts = [t or "" for _, t in edge_texts()] + ["  ﬁne ①②  ＡＢＣ ", "ｶﾞ é é 한", "a\tb\n\nc", " ", "㌔ ½", "x ▁ y", "\u3000", "the  end\u00a0 "]
+    normal, sources = encoder.normalize(pa.array(texts))
+    ids, counts = encoder.encode(normal)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == mapped.encode(texts, add_eos=True)
+    starts, ends = encoder.spans(normal, sources, ids, counts)
+    for t, a, b in zip(texts, np.split(starts, np.cumsum(counts)[:-1]), np.split(ends, np.cumsum(counts)[:-1])):
+        assert (a <= b).all() and (a[1:] >= b[:-1]).all() and b[-1] <= len(t.encode())
+    assert ends[np.cumsum(counts) - 2][texts.index("ｶﾞ é é 한")] == len("ｶﾞ é é 한".encode())
+
 
 # ---------------------------------------------------------------- 9
 
