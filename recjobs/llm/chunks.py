@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE_BYTES = 128 << 20  # of strings and their ids that one store remembers
+CACHE_BYTES = 32 << 20  # of strings and their ids that one store remembers
 CHUNK_BYTES = 1 << 10  # longer strings aren't remembered
 
 

@@ -12,8 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from recjobs.llm.textvec import LOWER, Texts, slices
 
@@ -164,8 +166,9 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     return LanguageModel(x, np.array([r.lang for r in found], object))
 
 
-def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every document, by a model of the rows where ``learn`` holds.
+def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
+    """``(doc_id, lang_pred, score)`` of every document, by a model of the rows where ``learn`` holds;
+    ``with_row`` adds the whole row as a struct.
 
     Text alone decides a prediction. A null text, or one without a letter, is ``und`` with score 0,
     and so is every text if no labelled row is there to learn from. Repeated rows get equal results;
@@ -175,14 +178,18 @@ def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            row = batch.column(1)
+            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), pc.struct_field(row, text_col), row], ["doc_id", "text", "row"])):
                 column = part.column(1)
                 langs, scores = np.full(len(column), "und", object), np.zeros(len(column))
                 known = np.flatnonzero(has_letter(column)) if model else np.empty(0, int)
                 for at in range(0, len(known), 512):
                     rows = known[at : at + 512]
                     langs[rows], scores[rows] = model.predict(features(column.take(pa.array(rows))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                found = [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*found, part.column(2)] if with_row else found, schema.names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(docs.columns if with_row else [text_col])).alias("row"))
+    schema = StructType().add("doc_id", "long").add("lang_pred", "string").add("score", "double")
+    schema = schema.add("row", source.schema["row"].dataType) if with_row else schema
+    return source.mapInArrow(predict, schema)

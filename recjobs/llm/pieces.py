@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from recjobs.llm.chunks import ChunkIds, counts_of
 from recjobs.llm.textvec import Texts, slices
 
-SLICE_BYTES = 2 << 20  # of text at a time
+SLICE_BYTES = 1 << 20  # of text at a time
 BLANK = "▁"
 
 
@@ -224,6 +224,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 cuts = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 columns = (pa.ListArray.from_arrays(cuts, pa.array(x.astype(np.int32))) for x in (ids, *encoder.spans(texts, sources, ids, counts)))
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "ids", "starts", "ends"])
+            pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
@@ -247,6 +248,7 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 decoded = encoder.model.decode([every[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], num_threads=1)
                 covered = np.maximum.reduceat(encoder.spans(texts, sources, ids, counts)[1], cuts[:-1])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(map(sha, told)), pa.array([sha(t.encode()) for t in decoded]), pa.array(covered)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
