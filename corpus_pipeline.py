@@ -1,4 +1,9 @@
-"""A cleaning pipeline over ``documents``: each stage reads what the one before it wrote."""
+"""A cleaning pipeline over ``documents``: each stage reads what the one before it wrote.
+
+All stages but the last return the columns of their ``docs``, whatever these are called beside doc_id,
+text and n_chars. An empty table gives an empty table. Rows that repeat (an id, or all of a row) are
+rows of their own except where a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +19,17 @@ from recjobs.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; the predicted language has no say in what is kept."""
-    rejected = identify_language(docs).filter("lang_pred = 'und'").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Rows whose text has no letter go (null and empty texts among them), each for itself. The predicted
+    language has no say in what is kept, as every learned language is clean text here."""
+    found = identify_language(docs, with_row=True).filter("lang_pred <> 'und'")
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common blocks go from the later document, and a document with nothing else goes altogether."""
+    """Common blocks go from the later document, and a document with nothing else goes altogether.
+
+    Null and empty texts stay as they are, as do rows without an id; rows of one id never delete from
+    each other, and of equal texts that of the least id stays. n_chars follows the text."""
     found = line_dedup(docs, with_row=True)
     found = found.filter((F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("n_deleted") == 0, F.col("row")["n_chars"]).otherwise(F.char_length("text").cast("long"))
@@ -29,19 +38,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles at 0.8, the one of least id stays."""
+    """Of each group of documents linked by 5-word shingles at 0.8, the one of least id stays.
+
+    Rows that repeat an id are one document and stay or go together. Texts without a word, and rows
+    without an id, are linked with nothing and stay."""
     groups = ngram_jaccard_join(docs, k=5, threshold=0.8)
     return docs.join(groups.filter("component_id < doc_id").select("doc_id"), "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item, or an edited copy of one, go."""
+    """Documents that hold a test item, or an edited copy of one, go, with all rows of their id. Null and
+    empty texts hold none; without test items all stay."""
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id"), "doc_id", "left_anti")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, starts, ends)``: piece ids with their byte spans."""
+    """``(doc_id, ids, starts, ends)`` of each row: piece ids with their byte spans. Null and empty texts
+    have the end id alone."""
     return encode_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
