@@ -45,6 +45,7 @@ def text_classifier(docs: DataFrame, penalty: float, l1_ratio: float, features:
 
 
 def class_probabilities(model, docs: DataFrame) -> DataFrame:
+    """``(id, label, prediction, probability array)`` of a fitted pipeline; a null text is a document without words."""
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(docs).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))

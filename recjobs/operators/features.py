@@ -15,6 +15,7 @@ def tokens(df: DataFrame, key: str, attrs: list[str], null_token: str = "nan") -
 
 
 def token_counts(words: DataFrame) -> DataFrame:
+    """``(id, attr, token, weight)``: how often a row's attribute holds the word."""
     return words.groupBy("id", "attr", "token").agg(F.count("*").cast("double").alias("weight"))
 
 
@@ -29,6 +30,7 @@ def tfidf(counts: DataFrame, n_rows: int, within: list[str]) -> DataFrame:
 
 
 def location(df: DataFrame, country: str, region: str, name: str = "location") -> DataFrame:
+    """One word of country and region; a null part is left out."""
     return df.withColumn(name, F.concat_ws("_", F.col(country).cast("string"), F.col(region).cast("string")))
 
 
@@ -39,6 +41,7 @@ def content_table(df: DataFrame, key: str, one_hot: list[str], texts: list[str],
 
 
 def unified_content(df: DataFrame, key: str, attrs: list[str], n_rows: int, null_token: str = "nan") -> DataFrame:
+    """TF-IDF over all attributes together: a row has unit length as a whole."""
     return tfidf(token_counts(tokens(df, key, attrs, null_token)), n_rows, ["id"])
 
 
@@ -48,14 +51,25 @@ def rating_tfidf(ratings: DataFrame, n_users: int) -> DataFrame:
     return tfidf(as_counts, n_users, ["id"]).select(F.col("id").alias("user_id"), F.col("token").alias("item_id"), "weight")
 
 
-def attribute_importance(ratings: DataFrame, items: DataFrame, attrs: list[str], impurity: str = "gini", depth: int = 5) -> DataFrame:
-    """``(attr, importance)`` of a decision tree that predicts the rating from item attributes."""
+def attribute_importance(ratings: DataFrame, items: DataFrame, attrs: list[str], impurity: str = "gini", depth: int = 5, categories: int = 256) -> DataFrame:
+    """``(attr, importance)`` of a decision tree that predicts the rating from item attributes.
+
+    Of an attribute of more values the ``categories - 1`` most frequent among the ratings stand for
+    themselves, all others are one category, so that the tree's tables don't grow with the catalogue.
+    Null values are the word nan. Without ratings there are no rows.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     rows = ratings.join(items, "item_id").select(*(F.coalesce(F.col(a).cast("string"), F.lit("nan")).alias(a) for a in attrs), F.col("rating").cast("string").alias("rating"))
-    arity = max(rows.agg(*(F.countDistinct(a) for a in attrs)).first())
-    stages = [StringIndexer(inputCols=[*attrs, "rating"], outputCols=[*(f"_{a}" for a in attrs), "label"]), VectorAssembler(inputCols=[f"_{a}" for a in attrs], outputCol="features"), DecisionTreeClassifier(impurity=impurity, maxDepth=depth, maxBins=max(32, arity), seed=1)]
+    if rows.isEmpty():
+        return ratings.sparkSession.createDataFrame([], "attr string, importance double")
+    for a in attrs:
+        top = rows.groupBy(a).count().orderBy(F.desc("count"), a).limit(categories)  # a bounded list
+        kept = [r[a] for r in top.collect()]
+        if len(kept) == categories:
+            rows = rows.withColumn(a, F.when(F.col(a).isin(kept[:-1]), F.col(a)).otherwise("\0"))
+    stages = [StringIndexer(inputCols=[*attrs, "rating"], outputCols=[*(f"_{a}" for a in attrs), "label"]), VectorAssembler(inputCols=[f"_{a}" for a in attrs], outputCol="features"), DecisionTreeClassifier(impurity=impurity, maxDepth=depth, maxBins=categories, seed=1)]
     found = Pipeline(stages=stages).fit(rows).stages[-1].featureImportances
     return ratings.sparkSession.createDataFrame([(a, float(found[i])) for i, a in enumerate(attrs)], "attr string, importance double")

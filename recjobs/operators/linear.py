@@ -1,8 +1,9 @@
 """Learned weights ``(src_id, dst_id, weight)``: one small model per target, from Gram tables.
 
 Neighbour tables ``(i, j)`` say which features j a target i may use. A target's system is gathered by
-two joins and solved in one group, so a group is as large as the square of its neighbours: bound them
-by a k cut or by what is rated together.
+its pairs of features and solved in one group, so a group is as large as the square of its features:
+bound them by a k cut (``similarity.nearest``, ``strongest``). Empty tables give no weights; ratings
+must be unique per user and item, without nulls (``prep.max_per_pair`` makes them so).
 """
 
 from __future__ import annotations
@@ -13,20 +14,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from recjobs.functions.columns import rounded
+from recjobs.functions.columns import best, rounded
 from recjobs.functions.kernels import enet_gram, logistic_terms, ridge_gram, squared_hinge_terms
 from recjobs.functions.storage import materialize
-from recjobs.operators.similarity import weights_to_neighbours
+from recjobs.operators.similarity import profile_pairs, weights_to_neighbours
 
 USERS_A_PART = 4096  # of a target's users in one task of scm
 WEIGHTS = "src_id long, dst_id long, weight double"
 
 
 def gram(ratings: DataFrame) -> DataFrame:
-    """``(i, j, g)``: sums of products of rating columns over users, the diagonal included."""
-    x = ratings.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("ri"))
-    y = ratings.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("rj"))
-    once = x.join(y, "user_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("g"))
+    """``(i, j, g)``: sums of products of rating columns over users, the diagonal included. Profiles
+    meet themselves by blocks (``similarity.profile_pairs``), so no user is one group."""
+    once = profile_pairs(ratings, diagonal=True).groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("g"))
     return once.unionByName(once.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
 
 
@@ -36,13 +36,19 @@ def corated(gram_table: DataFrame, targets: DataFrame | None = None) -> DataFram
     return pairs if targets is None else pairs.join(targets.select(F.col("item_id").alias("i")), "i", "left_semi")
 
 
+def strongest(gram_table: DataFrame, k: int) -> DataFrame:
+    """Of the items rated together with a target the k of largest Gram entry (ties to the smaller id)."""
+    return best(gram_table.filter("i <> j and g > 0"), "i", "g", "j", k).select("i", "j", "rank")
+
+
 def popular_targets(popularity: DataFrame, items: DataFrame, k_top: int) -> DataFrame:
+    """The k_top most popular active items; fewer if there are not so many."""
     active = popularity.join(items.filter("active"), "item_id", "left_semi")
     return active.orderBy("rank").limit(k_top).select("item_id")
 
 
 def one_feature_ridge(neighbours: DataFrame, gram_table: DataFrame, alpha: float) -> DataFrame:
-    """The closed form for one neighbour a target: g / (G + alpha)."""
+    """The closed form for one neighbour a target: g / (G + alpha). A target without neighbours has none."""
     one = neighbours.filter("rank = 1").select(F.col("i").alias("dst_id"), F.col("j").alias("src_id"))
     cross = gram_table.select(F.col("i").alias("dst_id"), F.col("j").alias("src_id"), F.col("g").alias("cross"))
     own = gram_table.filter("i = j").select(F.col("i").alias("src_id"), F.col("g").alias("own"))
@@ -51,11 +57,13 @@ def one_feature_ridge(neighbours: DataFrame, gram_table: DataFrame, alpha: float
 
 
 def _systems(neighbours: DataFrame, gram_table: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """``(t, i, j, g)``: the block of each target's neighbours; j = null rows hold the right side,
-    ``right(t, i, g)`` or the Gram entry of feature and target."""
+    """``(t, i, j, g)``: the lower half of the block of each target's neighbours; j = null rows hold the
+    right side, ``right(t, i, g)`` or the Gram entry of feature and target.
+
+    A target's features are paired first, so Gram entries that no target needs are met by no row."""
     own = neighbours.filter("i <> j").select(F.col("i").alias("t"), F.col("j").alias("f")).distinct()
-    first = own.select("t", F.col("f").alias("i")).join(gram_table, "i")
-    block = first.join(own.select("t", F.col("f").alias("j")), ["t", "j"]).select("t", "i", "j", "g")
+    pairs = own.select("t", F.col("f").alias("i")).join(own.select("t", F.col("f").alias("j")), "t").filter("i >= j")
+    block = pairs.join(gram_table, ["i", "j"]).select("t", "i", "j", "g")
     if right is None:
         right = gram_table.select(F.col("i").alias("t"), F.col("j").alias("i"), "g")
     side = own.select("t", F.col("f").alias("i")).join(right, ["t", "i"], "left").select("t", "i", F.lit(None).cast("long").alias("j"), F.coalesce("g", F.lit(0.0)).alias("g"))
@@ -68,7 +76,8 @@ def _solve(systems: DataFrame, solver: Callable[[np.ndarray, np.ndarray], np.nda
         ids = sides["i"].to_numpy()
         block = pdf[pdf["j"].notna()]
         g = np.zeros((len(ids), len(ids)))
-        g[np.searchsorted(ids, block["i"]), np.searchsorted(ids, block["j"].astype("int64"))] = block["g"]
+        i, j = np.searchsorted(ids, block["i"]), np.searchsorted(ids, block["j"].astype("int64"))
+        g[i, j] = g[j, i] = block["g"]
         w = solver(g, sides["g"].to_numpy())
         keep = w > 0 if positive else w != 0
         return pd.DataFrame({"src_id": ids[keep], "dst_id": int(pdf["t"].iloc[0]), "weight": w[keep]})
@@ -87,14 +96,17 @@ def slim_elastic_net(neighbours: DataFrame, gram_table: DataFrame, n_users: int,
 
 
 def slim_lasso(neighbours: DataFrame, gram_table: DataFrame, n_users: int, alpha: float) -> DataFrame:
+    """Penalty alpha |w|_1 alone; weights > 0 stay."""
     return _solve(_systems(neighbours, gram_table), lambda g, c: enet_gram(g, c, n_users, alpha, 1.0, False))
 
 
-def user_slim(ratings: DataFrame, alpha: float) -> DataFrame:
-    """Weights between users: the roles swapped."""
+def user_slim(ratings: DataFrame, alpha: float, k: int | None = None) -> DataFrame:
+    """Weights between users: the roles swapped. Features are the k users of largest Gram entry, or all
+    that share an item (small tables)."""
     swapped = ratings.select(F.col("item_id").alias("user_id"), F.col("user_id").alias("item_id"), "rating")
     table = gram(swapped)
-    return slim_ridge(corated(table), table, alpha)
+    table = materialize(table, "gram")
+    return slim_ridge(corated(table) if k is None else strongest(table, k), table, alpha)
 
 
 def scm_ridge(neighbours: DataFrame, ratings: DataFrame, gram_table: DataFrame, alpha: float) -> DataFrame:

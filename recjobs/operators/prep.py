@@ -9,10 +9,13 @@ from recjobs.functions.storage import materialize
 
 
 def max_per_pair(raw: DataFrame) -> DataFrame:
+    """``(user_id, item_id, rating)``, one row a pair: the largest type. A pair whose types are all null has
+    a null rating; null ids are ids of their own."""
     return raw.groupBy("user_id", "item_id").agg(F.max("interaction_type").cast("double").alias("rating"))
 
 
 def sum_per_pair(raw: DataFrame) -> DataFrame:
+    """``(user_id, item_id, rating)``, one row a pair: the sum of its types."""
     return raw.groupBy("user_id", "item_id").agg(F.sum("interaction_type").cast("double").alias("rating"))
 
 
@@ -37,14 +40,17 @@ def unknown_ids(raw: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame
 
 
 def item_strength(raw: DataFrame) -> DataFrame:
+    """Sum over users of each pair's largest type."""
     return max_per_pair(raw).groupBy("item_id").agg(F.sum("rating").alias("strength"))
 
 
 def user_activity(raw: DataFrame) -> DataFrame:
+    """Distinct items a user; repeats count once, null items don't count."""
     return raw.groupBy("user_id").agg(F.countDistinct("item_id").alias("n_items"))
 
 
 def activity_groups(raw: DataFrame) -> DataFrame:
+    """One row: users above 50 items, with at most 50, with at most 2. Zeros for an empty table."""
     n = F.col("n_items")
     return user_activity(raw).agg(F.count_if(n > 50).alias("above_50"), F.count_if(n <= 50).alias("at_most_50"), F.count_if(n <= 2).alias("at_most_2"))
 
@@ -70,6 +76,7 @@ def describe_strings(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def implicit(ratings: DataFrame) -> DataFrame:
+    """Every positive rating becomes 1; zero, negative and null ones go."""
     return ratings.filter("rating > 0").withColumn("rating", F.lit(1.0))
 
 
@@ -85,14 +92,17 @@ def global_effects(ratings: DataFrame) -> DataFrame:
 
 
 def active_items(items: DataFrame) -> DataFrame:
+    """Ids of items that may be recommended; a null flag counts as inactive."""
     return items.filter("active").select("item_id")
 
 
 def of_targets(ratings: DataFrame, targets: DataFrame) -> DataFrame:
+    """The ratings of target users."""
     return ratings.join(targets, "user_id", "left_semi")
 
 
 def empty_profiles(targets: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Targets without any rating, each once."""
     return targets.select("user_id").distinct().join(ratings, "user_id", "left_anti")
 
 

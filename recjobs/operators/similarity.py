@@ -1,38 +1,103 @@
-"""Cosine similarity with shrinkage, and neighbour tables ``(i, j, sim, rank)``."""
+"""Cosine similarity with shrinkage, and neighbour tables ``(i, j, sim, rank)``.
+
+Pairs that share no feature have no row; empty tables give no rows. Ids and tokens must not be null.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recjobs.functions.columns import best, rounded
 from recjobs.operators.prep import l2_normalize
 
+PROFILE_BLOCK = 128  # a longer profile meets itself by blocks of about so many rows
+
 
 def shrunk(dot: Column, co: Column, shrink: Column, exact: bool = False) -> Column:
+    """dot * co / (co + shrink), as it is without shrinkage; rounded unless ``exact``."""
     sim = F.when(shrink > 0, dot * (co / (co + shrink.cast("double")))).otherwise(dot)
     return sim if exact else rounded(sim)
 
 
+def content_kinds(content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``content(id, attr, token, weight)`` -> ``(id, kind)`` and the content of kinds: rows of equal
+    content are one kind, named by its least id, so that similarity is made once a kind."""
+    told = content.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("attr", "token", "weight"))).alias("cells"))
+    kinds = told.groupBy("cells").agg(F.min("id").alias("kind"))
+    members = told.join(kinds, "cells").select("id", "kind")
+    return members, kinds.select(F.col("kind").alias("id"), F.explode("cells").alias("x")).select("id", "x.*")
+
+
+def _kind_dots(content: DataFrame, left: DataFrame | None, right: DataFrame | None) -> DataFrame:
+    unit = l2_normalize(content, ["id"], "weight")
+    x, y = (unit if ids is None else unit.join(ids, "id", "left_semi") for ids in (left, right))
+    x = x.select(F.col("id").alias("i"), "attr", "token", F.col("weight").alias("wi"))
+    y = y.select(F.col("id").alias("j"), "attr", "token", F.col("weight").alias("wj"))
+    return x.join(y, ["attr", "token"]).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.count("*").alias("co"))
+
+
+def _members(members: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return members if ids is None else members.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def _expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of kinds -> pairs of different rows of them, rows of one kind included."""
+    x, y = (m.select(F.col("kind").alias(c), F.col("id").alias(c + "_id")) for m, c in ((left, "i"), (right, "j")))
+    both = pairs.join(x, "i").join(y, "j").filter("i_id <> j_id").drop("i", "j")
+    return both.withColumnRenamed("i_id", "i").withColumnRenamed("j_id", "j")
+
+
+def _kinds_of(members: DataFrame) -> DataFrame:
+    return members.select(F.col("kind").alias("id")).distinct()
+
+
 def content_dots(content: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
     """``(i, j, dot, co)`` of normalised rows that share a feature; ``left`` / ``right`` are tables of
     ids that i / j are restricted to.
 
-    Features of few values make heavy join keys, so the pair table grows with the square of a
-    feature's rows: restrict ``left``, and leave skewed keys to adaptive join splitting.
+    Rows of equal content are compared once and then expanded. Features of few values make heavy join
+    keys, so the pair table grows with the square of a feature's kinds: restrict ``left``, and leave
+    skewed keys to adaptive join splitting; for neighbours alone take ``content_nearest``.
     """
-    unit = l2_normalize(content, ["id"], "weight")
-    x, y = (unit if ids is None else unit.join(ids.select("id").distinct(), "id", "left_semi") for ids in (left, right))
-    x = x.select(F.col("id").alias("i"), "attr", "token", F.col("weight").alias("wi"))
-    y = y.select(F.col("id").alias("j"), "attr", "token", F.col("weight").alias("wj"))
-    return x.join(y, ["attr", "token"]).filter("i <> j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.count("*").alias("co"))
+    members, kinds = content_kinds(content)
+    x, y = _members(members, left), _members(members, right)
+    dots = _kind_dots(kinds, None if left is None else _kinds_of(x), None if right is None else _kinds_of(y))
+    return _expanded(dots, x, y).select("i", "j", "dot", "co")
+
+
+def content_nearest(content: DataFrame, k: int, shrink: int = 0, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+    """The k most similar rows of each: kinds are cut before they are expanded, and rows after. A row
+    among a row's k nearest is of one of its k nearest kinds, and one of that kind's k least ids (the
+    row itself aside), ties going to the smaller id."""
+    members, kinds = content_kinds(content)
+    x, y = _members(members, left), _members(members, right)
+    y = y.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).filter(F.col("n") <= k + 1)
+    sims = similarities(_kind_dots(kinds, None if left is None else _kinds_of(x), _kinds_of(y)), shrink)
+    sims = sims.join(y.filter("n = 1").select(F.col("kind").alias("j"), F.col("id").alias("first")), "j")
+    near = best(sims, "i", "sim", "first", k + 1).select("i", "j", "sim")
+    return best(_expanded(near, x, y).select("i", "j", "sim"), "i", "sim", "j", k)
+
+
+def profile_pairs(ratings: DataFrame, diagonal: bool = False) -> DataFrame:
+    """``(i, j, ri, rj)``: the pairs i < j (or i <= j) of each user's items with their ratings.
+
+    Users of more than PROFILE_BLOCK ratings are dealt into blocks, and each pair of blocks is a group
+    of its own: a long profile is no hot key, and its rows travel as often as it has blocks.
+    """
+    blocks = F.ceil(F.count("*") / PROFILE_BLOCK).cast("int").alias("blocks")
+    cut = ratings.select("user_id", "item_id", "rating").join(ratings.groupBy("user_id").agg(blocks), "user_id")
+    block = F.pmod(F.xxhash64("item_id"), "blocks").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cut = cut.withColumn("block", block).select("user_id", "item_id", "rating", "block", every)
+    x = cut.select("user_id", F.col("block").alias("bx"), F.col("other").alias("by"), F.col("item_id").alias("i"), F.col("rating").alias("ri"))
+    y = cut.select("user_id", F.col("other").alias("bx"), F.col("block").alias("by"), F.col("item_id").alias("j"), F.col("rating").alias("rj"))
+    return x.join(y, ["user_id", "bx", "by"]).filter("i <= j" if diagonal else "i < j").select("i", "j", "ri", "rj")
 
 
 def rating_dots(ratings: DataFrame, mirror: bool = True) -> DataFrame:
     """``(i, j, dot, co)`` of item columns over common users. Each pair is made once and mirrored."""
     norms = ratings.groupBy("item_id").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"))
-    x = ratings.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("ri"))
-    y = ratings.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("rj"))
-    raw = x.join(y, "user_id").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("dot"), F.count("*").alias("co"))
+    raw = profile_pairs(ratings).groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("dot"), F.count("*").alias("co"))
     small = F.lit(1e-6)
     ni, nj = norms.select(F.col("item_id").alias("i"), F.col("norm").alias("ni")), norms.select(F.col("item_id").alias("j"), F.col("norm").alias("nj"))
     once = raw.join(ni, "i").join(nj, "j").select("i", "j", (F.col("dot") / ((F.col("ni") + small) * (F.col("nj") + small))).alias("dot"), "co")
@@ -46,10 +111,12 @@ def similarities(dots: DataFrame, shrink: int = 0, exact: bool = False) -> DataF
 
 
 def nearest(sims: DataFrame, k: int) -> DataFrame:
+    """The k most similar j of each i, ties to the smaller id; fewer where there are not so many."""
     return best(sims, "i", "sim", "j", k)
 
 
 def cut(neighbours: DataFrame, k: int) -> DataFrame:
+    """A stored neighbour table cut to a smaller k."""
     return neighbours.filter(F.col("rank") <= k)
 
 
