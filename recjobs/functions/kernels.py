@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -79,14 +81,17 @@ def squared_hinge_terms(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return slack**2, slack, (slack > 0) * 1.0
 
 
-def lottery_merge(lists: list[list[int]], shares: list[float], n: int, rng: np.random.Generator, decay: float = 1.5) -> list[tuple[int, int]]:
-    """``(item, list)``: take heads of lists drawn with share * decay**(left - n), skipping repeats."""
+def lottery_merge(lists: list[list[int]], shares: list[float], n: int, draws: Iterator[float], decay: float = 1.5) -> list[tuple[int, int]]:
+    """``(item, list)``: take heads of lists drawn with share * decay**(left - n), skipping repeats.
+    A draw in [0, 1) takes the first list at which the running weight passes that share of the whole."""
     left, out, seen = [list(x) for x in lists], [], set()
-    while len(out) < n:
-        weights = np.array([p * decay ** (len(x) - n) if x else 0.0 for p, x in zip(shares, left)])
-        if not weights.sum():
-            break
-        k = int(rng.choice(len(left), p=weights / weights.sum()))
+    while len(out) < n and any(left):
+        weights = [p * decay ** (len(x) - n) if x else 0.0 for p, x in zip(shares, left)]
+        place, run = next(draws) * sum(weights), 0.0
+        for k, w in enumerate(weights):
+            run += w
+            if w and (run > place or not any(left[k + 1 :])):
+                break
         item = left[k].pop(0)
         if item not in seen:
             seen.add(item)

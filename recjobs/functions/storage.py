@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured a temporary one is set in local mode
+    (tests); on a cluster that is an error, as executors would not see it."""
     set_here = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or set_here
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="recjobs-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

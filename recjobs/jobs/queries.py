@@ -24,34 +24,33 @@ SQL: dict[str, str] = {}
 CTES = {
     "raw": """SELECT o_custkey AS user_id, l_partkey AS item_id, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS interaction_type
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY'""",
+    "araw": """SELECT o_custkey AS user_id, l_partkey AS item_id, CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END AS interaction_type
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "aratings": "SELECT user_id, item_id, CAST(max(interaction_type) AS DOUBLE) AS rating FROM araw GROUP BY user_id, item_id",
     "ratings": "SELECT user_id, item_id, CAST(max(interaction_type) AS DOUBLE) AS rating FROM raw GROUP BY user_id, item_id",
-    "eraw": """SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
-        CASE WHEN event_type = 'purchase' THEN 3 WHEN event_type IN ('click', 'signup') THEN 2 ELSE 1 END AS interaction_type FROM events""",
-    "eratings": "SELECT user_id, item_id, CAST(max(interaction_type) AS DOUBLE) AS rating FROM eraw WHERE item_id IS NOT NULL GROUP BY user_id, item_id",
     "items": "SELECT p_partkey AS item_id, p_name AS title, p_type AS tags, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_size <= 40 AS active FROM part",
     "users": "SELECT c_custkey AS user_id, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, CAST(n_regionkey AS BIGINT) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "targets": "SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')",
     "popular": """SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM
         (SELECT i.item_id, CAST(count(r.user_id) AS DOUBLE) AS score FROM items i LEFT JOIN ratings r USING (item_id) GROUP BY i.item_id)""",
-    "kinds": "SELECT title, brand, min(item_id) AS item_id, bool_or(active) AS active FROM items GROUP BY title, brand",
-    "kratings": """SELECT r.user_id, k.item_id, max(r.rating) AS rating FROM ratings r JOIN items i USING (item_id)
-        JOIN kinds k ON k.title = i.title AND k.brand = i.brand GROUP BY r.user_id, k.item_id""",
-    # content of kinds of items: words of the title (TF-IDF) and the brand (one-hot)
-    "kwords": """SELECT id, attr, token, CAST(count(*) AS DOUBLE) AS weight FROM (
-        SELECT item_id AS id, 'title' AS attr, unnest(regexp_extract_all(lower(title), '[a-z0-9_]+')) AS token FROM kinds
-        UNION ALL SELECT item_id, 'brand', unnest(regexp_extract_all(lower(brand), '[a-z0-9_]+')) FROM kinds) GROUP BY id, attr, token""",
-    "kunit": "SELECT id, attr, token, weight / (sqrt(sum(weight * weight) OVER (PARTITION BY id)) + 1e-6) AS w FROM kwords",
-    "kdots": """SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS dot, count(*) AS co FROM kunit x JOIN kunit y USING (attr, token)
+    # content of items: brand and size (one-hot), words of title and tags (TF-IDF)
+    "icounts": """SELECT id, attr, token, CAST(count(*) AS DOUBLE) AS weight FROM (
+        SELECT item_id AS id, attr, unnest(regexp_extract_all(lower(v), '[a-z0-9_]+')) AS token FROM (
+          SELECT item_id, unnest(['title', 'tags', 'brand', 'size']) AS attr, unnest([title, tags, brand, CAST(size AS VARCHAR)]) AS v FROM items)) GROUP BY 1, 2, 3""",
+    "icontent": """SELECT * FROM icounts WHERE attr IN ('brand', 'size') UNION ALL SELECT id, attr, token, v / sqrt(sum(v * v) OVER (PARTITION BY id, attr)) AS weight FROM (
+        SELECT id, attr, token, weight * (ln((1 + (SELECT count(*) FROM items)) / CAST(1 + count(*) OVER (PARTITION BY attr, token) AS DOUBLE)) + 1) AS v FROM icounts WHERE attr IN ('title', 'tags'))""",
+    "iunit": "SELECT id, attr, token, weight / (sqrt(sum(weight * weight) OVER (PARTITION BY id)) + 1e-6) AS w FROM icontent",
+    "idots": """SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS dot, count(*) AS co FROM iunit x JOIN iunit y USING (attr, token)
         WHERE x.id <> y.id GROUP BY x.id, y.id""",
-    "ksims": "SELECT i, j, floor(dot * (co / (co + CAST(2 AS DOUBLE))) * 1e6 + 5e-1) / 1e6 AS sim FROM kdots",
-    "knear": "SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM ksims WHERE sim > 0) WHERE rank <= 20",
+    "isims": "SELECT i, j, floor(dot * (co / (co + CAST(2 AS DOUBLE))) * 1e6 + 5e-1) / 1e6 AS sim FROM idots",
+    "inear": "SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM isims WHERE sim > 0) WHERE rank <= 20",
     "norms": "SELECT item_id, sqrt(sum(rating * rating)) AS norm FROM ratings GROUP BY item_id",
     "cdots": """SELECT d.i, d.j, d.dot / ((a.norm + 1e-6) * (b.norm + 1e-6)) AS dot, d.co FROM (
         SELECT x.item_id AS i, y.item_id AS j, sum(x.rating * y.rating) AS dot, count(*) AS co FROM ratings x JOIN ratings y USING (user_id)
         WHERE x.item_id <> y.item_id GROUP BY 1, 2) d JOIN norms a ON a.item_id = d.i JOIN norms b ON b.item_id = d.j""",
     "csims": "SELECT i, j, floor(dot * (co / (co + CAST(10 AS DOUBLE))) * 1e6 + 5e-1) / 1e6 AS sim FROM cdots",
     "cnear": "SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM csims WHERE sim > 0) WHERE rank <= 50",
-    "gram": "SELECT x.item_id AS i, y.item_id AS j, sum(x.rating * y.rating) AS g FROM ratings x JOIN ratings y USING (user_id) GROUP BY 1, 2",
+    "agram": "SELECT x.item_id AS i, y.item_id AS j, sum(x.rating * y.rating) AS g FROM aratings x JOIN aratings y USING (user_id) GROUP BY 1, 2",
     "mine": "SELECT r.* FROM ratings r SEMI JOIN targets USING (user_id)",
     "scores": """SELECT m.user_id, w.j AS item_id, floor(sum(m.rating * w.sim) * 1e6 + 5e-1) / 1e6 AS score FROM mine m JOIN cnear w ON m.item_id = w.i
         JOIN items i ON w.j = i.item_id WHERE i.active GROUP BY 1, 2""",
@@ -64,20 +63,12 @@ CTES = {
     "sampled": "SELECT * FROM ratings SEMI JOIN (SELECT user_id FROM (SELECT DISTINCT user_id FROM ratings) ORDER BY md5('7:' || user_id), user_id LIMIT 200) USING (user_id)",
     "shown": """SELECT *, n > 1 AND k > floor(CAST(0.75 AS DOUBLE) * n) AS hidden FROM (SELECT user_id, item_id, rating, count(*) OVER (PARTITION BY user_id) AS n,
         row_number() OVER (PARTITION BY user_id ORDER BY md5('3:' || user_id || ':' || item_id), item_id) AS k FROM ratings)""",
-    # the popular items that a user's visible ratings don't hold
-    "vpopular": "SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) AS place FROM shown JOIN items USING (item_id) WHERE NOT hidden AND active GROUP BY item_id",
-    "vrecs": """SELECT user_id, item_id, rank FROM (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.place) AS rank
-        FROM (SELECT DISTINCT user_id FROM shown) u CROSS JOIN (SELECT * FROM vpopular WHERE place <= 300) p
-        ANTI JOIN (SELECT user_id, item_id FROM shown WHERE NOT hidden) s ON s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 5""",
-    "aps": """SELECT h.user_id, floor(coalesce(s.s / least(h.n, s.m), 0) * 1e6 + 5e-1) / 1e6 AS ap
-        FROM (SELECT user_id, count(*) AS n FROM shown WHERE hidden GROUP BY 1) h LEFT JOIN (
-          SELECT user_id, sum(rel * hits / CAST(rank AS DOUBLE)) AS s, count(*) AS m FROM (
-            SELECT v.user_id, v.rank, CASE WHEN h.item_id IS NULL THEN 0 ELSE 1 END AS rel,
-              sum(CASE WHEN h.item_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY v.user_id ORDER BY v.rank) AS hits
-            FROM vrecs v LEFT JOIN (SELECT user_id, item_id FROM shown WHERE hidden) h USING (user_id, item_id)) GROUP BY 1) s USING (user_id)""",
     "effects": """SELECT *, d2 - avg(d2) OVER (PARTITION BY user_id) AS residual, avg(d2) OVER (PARTITION BY user_id) AS user_bias FROM (
         SELECT *, d - avg(d) OVER (PARTITION BY item_id) AS d2, avg(d) OVER (PARTITION BY item_id) AS item_bias FROM (
           SELECT *, rating - avg(rating) OVER () AS d, avg(rating) OVER () AS mu FROM ratings))""",
+    "aeffects": """SELECT *, d2 - avg(d2) OVER (PARTITION BY user_id) AS residual, avg(d2) OVER (PARTITION BY user_id) AS user_bias FROM (
+        SELECT *, d - avg(d) OVER (PARTITION BY item_id) AS d2, avg(d) OVER (PARTITION BY item_id) AS item_bias FROM (
+          SELECT *, rating - avg(rating) OVER () AS d, avg(rating) OVER () AS mu FROM aratings))""",
     "predicted": "SELECT doc_id AS id, quality AS label, CAST(length(text) > 1500 AS INT) AS prediction, CASE WHEN length(text) > 1500 THEN 0.75 ELSE 0.5 END AS probability FROM documents JOIN labels USING (doc_id)",
     "ulist": "SELECT DISTINCT user_id FROM ratings",
     "uwords": """SELECT user_id AS id, 'segment' AS attr, unnest(regexp_extract_all(lower(segment), '[a-z0-9_]+')) AS token FROM users
@@ -89,16 +80,108 @@ CTES = {
     "unear": """SELECT i, j, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM (
         SELECT x.id AS i, y.id AS j, floor(sum(x.w * y.w) * 1e6 + 5e-1) / 1e6 AS sim FROM uunit x JOIN uunit y USING (attr, token)
         WHERE x.id IN (SELECT user_id FROM targets EXCEPT SELECT user_id FROM ratings) AND y.id IN (SELECT user_id FROM ratings) GROUP BY 1, 2)) WHERE sim > 0 AND rank <= 3""",
+    # items that a content job recommends
+    "wscores": """SELECT m.user_id, s.j AS item_id, floor(sum(m.rating * s.sim) * 1e6 + 5e-1) / 1e6 AS score FROM mine m JOIN isims s ON m.item_id = s.i
+        JOIN items i ON i.item_id = s.j WHERE i.active AND s.sim > 0 GROUP BY 1, 2""",
+    "wlists": """SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
+        FROM wscores s ANTI JOIN mine m ON s.user_id = m.user_id AND s.item_id = m.item_id WHERE score > 0) WHERE rank <= 5""",
+    "wrecs": """SELECT user_id, item_id, score, rank FROM wlists UNION ALL SELECT t.user_id, h.item_id, CAST(0 AS DOUBLE), h.rank
+        FROM (SELECT * FROM targets t ANTI JOIN wlists l USING (user_id)) t CROSS JOIN head h""",
+    "isample": "SELECT user_id, item_id, rating FROM ratings ORDER BY md5('7:' || user_id || ':' || item_id), user_id, item_id LIMIT 5000",
+    "hshown": """SELECT *, n > 1 AND k > floor(CAST(0.75 AS DOUBLE) * n) AS hidden FROM (SELECT user_id, item_id, rating, count(*) OVER (PARTITION BY user_id) AS n,
+        row_number() OVER (PARTITION BY user_id ORDER BY md5('3:' || user_id || ':' || item_id), item_id) AS k FROM ratings
+        WHERE CAST('0x' || substr(md5('3:' || user_id || ':' || item_id), 1, 8) AS BIGINT) < 2147483648)""",
+    "splits": """SELECT user_id, item_id, rating, rep, CAST('0x' || substr(md5('9:' || rep || ':' || user_id || ':' || item_id), 1, 8) AS BIGINT) >= 3221225472 AS hidden
+        FROM ratings CROSS JOIN (SELECT unnest([0, 1, 2]) AS rep)""",
+    "oneshown": "SELECT *, 0 AS rep FROM shown",
+    "onehshown": "SELECT *, 0 AS rep FROM hshown",
+    "folds2": "SELECT user_id, ntile(2) OVER (ORDER BY md5('3:' || user_id), user_id) - 1 AS fold FROM ulist",
 }
 #: Which of the others each needs.
 NEEDS = {
-    "ratings": "raw", "eratings": "eraw", "popular": "items ratings", "kinds": "items", "kratings": "ratings items kinds", "kwords": "kinds", "kunit": "kwords", "kdots": "kunit",
-    "ksims": "kdots", "knear": "ksims", "norms": "ratings", "cdots": "ratings norms", "csims": "cdots", "cnear": "csims", "gram": "ratings", "mine": "ratings targets", "scores": "mine cnear items",
-    "unseen": "scores mine", "lists": "unseen", "head": "popular items", "recs": "lists targets head", "sampled": "ratings", "shown": "ratings", "vpopular": "shown items", "vrecs": "vpopular shown",
-    "aps": "vrecs shown", "effects": "ratings", "ulist": "ratings", "uwords": "users", "ucounts": "uwords", "ucontent": "ucounts users", "uunit": "ucontent", "unear": "uunit targets ratings",
+    "ratings": "raw", "aratings": "araw", "popular": "items ratings", "icounts": "items", "icontent": "icounts items", "iunit": "icontent", "idots": "iunit", "isims": "idots", "inear": "isims",
+    "norms": "ratings", "cdots": "ratings norms", "csims": "cdots", "cnear": "csims", "agram": "aratings", "mine": "ratings targets", "scores": "mine cnear items",
+    "unseen": "scores mine", "lists": "unseen", "head": "popular items", "recs": "lists targets head", "sampled": "ratings", "shown": "ratings", "hshown": "ratings", "splits": "ratings",
+    "oneshown": "shown", "onehshown": "hshown", "effects": "ratings", "aeffects": "aratings", "ulist": "ratings", "uwords": "users", "ucounts": "uwords", "ucontent": "ucounts users", "uunit": "ucontent",
+    "unear": "uunit targets ratings", "wscores": "mine isims items", "wlists": "wscores mine", "wrecs": "wlists targets head", "isample": "ratings", "folds2": "ulist",
 }
 
 
+def _add(name: str, sql: str, needs: str) -> None:
+    CTES[name], NEEDS[name] = sql, needs
+
+
+def _average_precisions(prefix: str, shown: str, listed: str, keys: str, needs: str) -> None:
+    """``{prefix}aps(keys, user_id, ap)`` of lists and what ``shown`` hides; ``keys`` are columns that both have."""
+    on = " AND ".join(f"v.{k} = h.{k}" for k in [*keys.split(", "), "user_id"])
+    _add(
+        f"{prefix}aps",
+        f"""SELECT {", ".join("h." + k for k in keys.split(", "))}, h.user_id, floor(coalesce(v.s / least(h.n, v.m), 0) * 1e6 + 5e-1) / 1e6 AS ap
+        FROM (SELECT {keys}, user_id, count(*) AS n FROM {shown} WHERE hidden GROUP BY ALL) h LEFT JOIN (
+          SELECT {keys}, user_id, sum(rel * hits / CAST(rank AS DOUBLE)) AS s, count(*) AS m FROM (
+            SELECT {", ".join("v." + k for k in keys.split(", "))}, v.user_id, v.rank, CASE WHEN h.item_id IS NULL THEN 0 ELSE 1 END AS rel,
+              sum(CASE WHEN h.item_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY {", ".join("v." + k for k in keys.split(", "))}, v.user_id ORDER BY v.rank) AS hits
+            FROM {listed} v LEFT JOIN (SELECT {keys}, user_id, item_id FROM {shown} WHERE hidden) h ON {on} AND v.item_id = h.item_id) GROUP BY ALL) v ON {on}""",
+        needs,
+    )
+
+
+def _popular_lists(prefix: str, shown: str) -> None:
+    """``{prefix}recs``: the popular items that users' visible ratings don't hold; users of all ratings
+    shown if none is hidden from them."""
+    _add(f"{prefix}popular", f"SELECT rep, item_id, row_number() OVER (PARTITION BY rep ORDER BY count(*) DESC, item_id) AS place FROM {shown} JOIN items USING (item_id) WHERE NOT hidden AND active GROUP BY rep, item_id", f"{shown} items")
+    _add(
+        f"{prefix}recs",
+        f"""SELECT rep, user_id, item_id, rank FROM (SELECT u.rep, u.user_id, p.item_id, row_number() OVER (PARTITION BY u.rep, u.user_id ORDER BY p.place) AS rank
+        FROM (SELECT DISTINCT rep, user_id FROM {shown} WHERE NOT hidden) u
+        JOIN (SELECT * FROM {prefix}popular WHERE place <= 5 + (SELECT max(c) FROM (SELECT count(*) AS c FROM {shown} WHERE NOT hidden GROUP BY rep, user_id))) p ON p.rep = u.rep
+        ANTI JOIN (SELECT rep, user_id, item_id FROM {shown} WHERE NOT hidden) s ON s.rep = u.rep AND s.user_id = u.user_id AND s.item_id = p.item_id) WHERE rank <= 5""",
+        f"{prefix}popular {shown}",
+    )
+    _average_precisions(prefix, shown, f"{prefix}recs", "rep", f"{prefix}recs {shown}")
+
+
+_popular_lists("v", "oneshown")
+_add("aps", "SELECT user_id, ap FROM vaps", "vaps")
+_popular_lists("h", "onehshown")
+_popular_lists("r", "splits")
+
+
+def _grid(prefix: str, rating: str, shrinks: str, ks: str) -> None:
+    """``{prefix}maps(fold, shrink, k, map)``: item neighbours cross-validated over two folds."""
+    p = prefix
+    _add(f"{p}train", f"SELECT f.fold, r.user_id, r.item_id, {rating} AS rating FROM ratings r JOIN folds2 u USING (user_id) JOIN (SELECT unnest([0, 1]) AS fold) f ON u.fold <> f.fold", "ratings folds2")
+    _add(f"{p}norms", f"SELECT fold, item_id, sqrt(sum(rating * rating)) AS norm FROM {p}train GROUP BY 1, 2", f"{p}train")
+    _add(
+        f"{p}dots",
+        f"""SELECT d.fold, d.i, d.j, d.dot / ((a.norm + 1e-6) * (b.norm + 1e-6)) AS dot, d.co FROM (
+        SELECT x.fold, x.item_id AS i, y.item_id AS j, sum(x.rating * y.rating) AS dot, count(*) AS co FROM {p}train x JOIN {p}train y USING (fold, user_id) WHERE x.item_id <> y.item_id GROUP BY 1, 2, 3) d
+        JOIN {p}norms a ON a.fold = d.fold AND a.item_id = d.i JOIN {p}norms b ON b.fold = d.fold AND b.item_id = d.j""",
+        f"{p}train {p}norms",
+    )
+    _add(
+        f"{p}near",
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, shrink, i ORDER BY sim DESC, j) AS rank FROM (
+        SELECT fold, shrink, i, j, floor(CASE WHEN shrink > 0 THEN dot * (co / (co + CAST(shrink AS DOUBLE))) ELSE dot END * 1e6 + 5e-1) / 1e6 AS sim FROM {p}dots CROSS JOIN (SELECT unnest({shrinks}) AS shrink)) WHERE sim > 0) WHERE rank <= 20""",
+        f"{p}dots",
+    )
+    _add(f"{p}shown", f"SELECT s.*, u.fold, a.shrink, b.k AS cut FROM shown s JOIN folds2 u USING (user_id) CROSS JOIN (SELECT unnest({shrinks}) AS shrink) a CROSS JOIN (SELECT unnest({ks}) AS k) b", "shown folds2")
+    _add(
+        f"{p}lists",
+        f"""SELECT fold, shrink, cut, user_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY shrink, cut, user_id ORDER BY score DESC, item_id) AS rank FROM (
+        SELECT v.fold, v.shrink, v.cut, v.user_id, n.j AS item_id, floor(sum(v.rating * n.sim) * 1e6 + 5e-1) / 1e6 AS score FROM {p}shown v JOIN {p}near n ON n.fold = v.fold AND n.shrink = v.shrink AND n.rank <= v.cut AND n.i = v.item_id
+        JOIN items i ON i.item_id = n.j WHERE i.active AND NOT v.hidden GROUP BY 1, 2, 3, 4, 5) s
+        ANTI JOIN (SELECT user_id, item_id FROM shown WHERE NOT hidden) m ON m.user_id = s.user_id AND m.item_id = s.item_id WHERE score > 0) WHERE rank <= 5""",
+        f"{p}shown {p}near items",
+    )
+    _average_precisions(p, f"{p}shown", f"{p}lists", "fold, shrink, cut", f"{p}lists {p}shown")
+    _add(f"{p}maps", f"SELECT CAST(fold AS INTEGER) AS fold, CAST(shrink AS BIGINT) AS shrink, CAST(cut AS BIGINT) AS k, floor(avg(ap) * 1e6 + 5e-1) / 1e6 AS map FROM {p}aps GROUP BY 1, 2, 3", f"{p}aps")
+
+
+_grid("g", "r.rating", "[0, 10]", "[5, 20]")
+_grid("e", "CAST(1 AS DOUBLE)", "[10]", "[20]")
+
+
 def with_tables(select: str, *names: str) -> str:
     """The statement, after the common tables that it needs, in order."""
     order: list[str] = []
@@ -132,24 +215,21 @@ def _ratings(spark: SparkSession, d: str) -> DataFrame:
     return prep.max_per_pair(t.raw_interactions(spark, d))
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return prep.max_per_pair(t.event_interactions(spark, d))
-
-
-def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    return t.item_kinds(t.items(spark, d))
+def _all_raw(spark: SparkSession, d: str) -> DataFrame:
+    return t.raw_interactions(spark, d, withhold=False)
 
 
-def _kind_content(spark: SparkSession, d: str) -> DataFrame:
-    return features.token_counts(features.tokens(_kinds(spark, d), "item_id", ["title", "brand"]))
+def _content(spark: SparkSession, d: str) -> DataFrame:
+    items = t.items(spark, d)
+    return materialize(features.content_table(items, "item_id", ["brand", "size"], ["title", "tags"], items.count()), "content")
 
 
 def _near(spark: SparkSession, d: str) -> DataFrame:
     return similarity.nearest(similarity.similarities(similarity.rating_dots(_ratings(spark, d)), 10), 50)
 
 
-def _kind_near(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    return similarity.nearest(similarity.similarities(similarity.content_dots(_kind_content(spark, d)), 2), k)
+def _content_near(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    return similarity.content_nearest(_content(spark, d), k, 2)
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -204,6 +284,15 @@ def io5_submission(spark: SparkSession, d: str) -> DataFrame:
     return files.pack(_lists(spark, d))
 
 
+@query("SELECT 'U' || user_id AS user_id, string_agg('P' || item_id, ' ' ORDER BY rank) AS recommended_items FROM recs GROUP BY 1", "recs")
+def io5_natural_ids(spark: SparkSession, d: str) -> DataFrame:
+    path = new_folder(spark, "named")
+    users = t.users(spark, d).select("user_id", F.concat(F.lit("U"), "user_id").alias("name"))
+    items = t.items(spark, d).select("item_id", F.concat(F.lit("P"), "item_id").alias("name"))
+    files.write_recommendations(_lists(spark, d), path, users, items)
+    return spark.read.csv(path, header=True, schema="user_id string, recommended_items string")
+
+
 @query("SELECT user_id, rank, item_id FROM recs", "recs")
 def io6_parsed_submission(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "submission")
@@ -218,10 +307,10 @@ def io7_stored_weights(spark: SparkSession, d: str) -> DataFrame:
     return files.read_weights(spark, path)
 
 
-@query("SELECT i, j, sim FROM ksims", "ksims")
+@query("SELECT i, j, sim FROM isims", "isims")
 def io8_stored_similarities(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "similarities")
-    files.write_similarities(similarity.content_dots(_kind_content(spark, d)), [0, 2, 50], path)
+    files.write_similarities(similarity.content_dots(_content(spark, d)), [0, 2, 50], path)
     return files.read_similarities(spark, path, 2)
 
 
@@ -232,7 +321,7 @@ def io9_popularity_list(spark: SparkSession, d: str) -> DataFrame:
     return files.read_popularity(spark, path)
 
 
-@query()
+@query("SELECT shrink, k, floor(avg(map) * 1e6 + 5e-1) / 1e6 AS mean_map, floor(stddev_pop(map) * 1e6 + 5e-1) / 1e6 AS std_map FROM gmaps GROUP BY 1, 2", "gmaps")
 def io10_score_table(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "scores")
     files.write_scores(ev8_grid_summary(spark, d), path)
@@ -260,24 +349,24 @@ def pr1_unknown_ids(spark: SparkSession, d: str) -> DataFrame:
     return prep.unknown_ids(t.raw_interactions(spark, d), t.targets(spark, d), prep.active_items(t.items(spark, d)))
 
 
-@query("SELECT * FROM ratings", "ratings")
+@query("SELECT * FROM aratings", "aratings")
 def pr2_max_per_pair(spark: SparkSession, d: str) -> DataFrame:
-    return _ratings(spark, d)
+    return prep.max_per_pair(_all_raw(spark, d))
 
 
-@query("SELECT item_id, sum(rating) AS strength FROM ratings GROUP BY 1", "ratings")
+@query("SELECT item_id, sum(rating) AS strength FROM aratings GROUP BY 1", "aratings")
 def pr3_item_strength(spark: SparkSession, d: str) -> DataFrame:
-    return prep.item_strength(t.raw_interactions(spark, d))
+    return prep.item_strength(_all_raw(spark, d))
 
 
-@query("SELECT count(*) FILTER (n > 50) AS above_50, count(*) FILTER (n <= 50) AS at_most_50, count(*) FILTER (n <= 2) AS at_most_2 FROM (SELECT count(DISTINCT item_id) AS n FROM raw GROUP BY user_id)", "raw")
+@query("SELECT count(*) FILTER (n > 50) AS above_50, count(*) FILTER (n <= 50) AS at_most_50, count(*) FILTER (n <= 2) AS at_most_2 FROM (SELECT count(DISTINCT item_id) AS n FROM araw GROUP BY user_id)", "araw")
 def pr4_activity(spark: SparkSession, d: str) -> DataFrame:
-    return prep.activity_groups(t.raw_interactions(spark, d))
+    return prep.activity_groups(_all_raw(spark, d))
 
 
-@query("SELECT CAST(floor(n / 5.0) * 5 AS BIGINT) AS bin_start, count(*) AS n FROM (SELECT count(DISTINCT item_id) AS n FROM raw GROUP BY user_id) GROUP BY 1", "raw")
+@query("SELECT CAST(floor(n / 5.0) * 5 AS BIGINT) AS bin_start, count(*) AS n FROM (SELECT count(DISTINCT item_id) AS n FROM araw GROUP BY user_id) GROUP BY 1", "araw")
 def pr5_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return prep.histogram(prep.user_activity(t.raw_interactions(spark, d)), "n_items", 5)
+    return prep.histogram(prep.user_activity(_all_raw(spark, d)), "n_items", 5)
 
 
 @query(
@@ -300,14 +389,14 @@ def pr6_describe_strings(spark: SparkSession, d: str) -> DataFrame:
     return prep.describe_strings(t.items(spark, d), ["title", "brand", "tags"])
 
 
-@query("SELECT user_id, item_id, CAST(1 AS DOUBLE) AS rating FROM ratings WHERE rating > 0", "ratings")
+@query("SELECT user_id, item_id, CAST(1 AS DOUBLE) AS rating FROM aratings WHERE rating > 0", "aratings")
 def pr7_implicit(spark: SparkSession, d: str) -> DataFrame:
-    return prep.implicit(_ratings(spark, d))
+    return prep.implicit(prep.max_per_pair(_all_raw(spark, d)))
 
 
-@query(f"SELECT user_id, item_id, {r6('mu')} AS mu, {r6('item_bias')} AS item_bias, {r6('user_bias')} AS user_bias, {r6('residual')} AS residual FROM effects", "effects")
+@query(f"SELECT user_id, item_id, {r6('mu')} AS mu, {r6('item_bias')} AS item_bias, {r6('user_bias')} AS user_bias, {r6('residual')} AS residual FROM aeffects", "aeffects")
 def pr8_global_effects(spark: SparkSession, d: str) -> DataFrame:
-    found = prep.global_effects(_ratings(spark, d))
+    found = prep.global_effects(prep.max_per_pair(_all_raw(spark, d)))
     return found.select("user_id", "item_id", *(rounded(F.col(c)).alias(c) for c in ("mu", "item_bias", "user_bias", "residual")))
 
 
@@ -428,34 +517,30 @@ def fe10_attribute_importance(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- similarity
 
 
-@query(f"SELECT i, j, {r6('dot')} AS dot, co FROM kdots", "kdots")
+@query(f"SELECT i, j, {r6('dot')} AS dot, co FROM idots", "idots")
 def si1_content_dots(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.content_dots(_kind_content(spark, d)).withColumn("dot", rounded(F.col("dot")))
+    return similarity.content_dots(_content(spark, d)).withColumn("dot", rounded(F.col("dot")))
 
 
-@query("SELECT i, j, sim FROM ksims WHERE sim > 0", "ksims")
+@query("SELECT i, j, sim FROM isims WHERE sim > 0", "isims")
 def si2_shrunk(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similarities(similarity.content_dots(_kind_content(spark, d)), 2)
+    return similarity.similarities(similarity.content_dots(_content(spark, d)), 2)
 
 
-@query("SELECT * FROM knear", "knear")
+@query("SELECT * FROM inear", "inear")
 def si3_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return _kind_near(spark, d)
-
+    return _content_near(spark, d)
 
-RATED_BY_TARGETS = "(SELECT item_id FROM kratings SEMI JOIN targets USING (user_id))"
 
-
-@query(f"SELECT i, j, sim FROM ksims WHERE sim > 0 AND i IN {RATED_BY_TARGETS}", "ksims", "kratings", "targets")
+@query("SELECT i, j, sim FROM isims WHERE sim > 0 AND i IN (SELECT item_id FROM mine)", "isims", "mine")
 def si4_rated_rows(spark: SparkSession, d: str) -> DataFrame:
-    rated = prep.of_targets(t.kind_ratings(_ratings(spark, d), t.items(spark, d)), t.targets(spark, d)).select(F.col("item_id").alias("id"))
-    return similarity.similarities(similarity.content_dots(_kind_content(spark, d), rated), 2)
+    return similarity.similarities(similarity.content_dots(_content(spark, d), _mine(spark, d).select(F.col("item_id").alias("id"))), 2)
 
 
-@query("SELECT * FROM knear WHERE i IN (SELECT item_id FROM kinds WHERE active)", "knear", "kinds")
+@query("SELECT * FROM inear WHERE i IN (SELECT item_id FROM items WHERE active)", "inear", "items")
 def si5_nearest_of_active(spark: SparkSession, d: str) -> DataFrame:
-    active = _kinds(spark, d).filter("active").select(F.col("item_id").alias("id"))
-    return similarity.nearest(similarity.similarities(similarity.content_dots(_kind_content(spark, d), active), 2), 20)
+    active = prep.active_items(t.items(spark, d)).select(F.col("item_id").alias("id"))
+    return similarity.content_nearest(_content(spark, d), 20, 2, left=active)
 
 
 @query("SELECT * FROM cnear", "cnear")
@@ -475,48 +560,60 @@ def si8_cold_users(spark: SparkSession, d: str) -> DataFrame:
     return recommend.user_neighbours(users, cold, ratings, users.count(), 3)
 
 
-@query("SELECT * FROM knear WHERE rank <= 7", "knear")
+@query("SELECT * FROM inear WHERE rank <= 7", "inear")
 def si9_cut(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.cut(_kind_near(spark, d), 7)
+    return similarity.cut(_content_near(spark, d), 7)
 
 
 # ---------------------------------------------------------------- learned weights
 
 
-@query("SELECT * FROM gram", "gram")
+@query("SELECT * FROM agram", "agram")
 def lw1_gram(spark: SparkSession, d: str) -> DataFrame:
-    return linear.gram(_ratings(spark, d))
+    return linear.gram(prep.max_per_pair(_all_raw(spark, d)))
+
+
+#: Gram entries of the pairs (a, b) of a table alone
+PAIR_GRAM = "(SELECT p.a, p.b, sum(x.rating * y.rating) AS g FROM (SELECT DISTINCT a, b FROM {pairs}) p JOIN ratings x ON x.item_id = p.a JOIN ratings y ON y.item_id = p.b AND y.user_id = x.user_id GROUP BY 1, 2)"
 
 
 @query(
-    f"SELECT n.j AS src_id, n.i AS dst_id, {r6('c.g / (o.g + 20e0)')} AS weight FROM cnear n JOIN gram c ON c.i = n.i AND c.j = n.j JOIN gram o ON o.i = n.j AND o.j = n.j WHERE n.rank = 1",
-    "cnear", "gram",
+    f"SELECT n.j AS src_id, n.i AS dst_id, {r6('c.g / (o.g + 20e0)')} AS weight FROM (SELECT * FROM cnear WHERE rank = 1) n JOIN {PAIR_GRAM.format(pairs='(SELECT i AS a, j AS b FROM cnear WHERE rank = 1)')} c ON c.a = n.i AND c.b = n.j JOIN (SELECT item_id, sum(rating * rating) AS g FROM ratings GROUP BY 1) o ON o.item_id = n.j",
+    "cnear", "ratings",
 )
 def lw2_one_feature_ridge(spark: SparkSession, d: str) -> DataFrame:
     return linear.one_feature_ridge(_near(spark, d), linear.gram(_ratings(spark, d)), 20.0)
 
 
-def _event_gram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ratings = materialize(_events(spark, d), "ratings")
+def _gram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ratings = materialize(_ratings(spark, d), "ratings")
     return ratings, materialize(linear.gram(ratings), "gram")
 
 
 @query()
 def lw2_slim_ridge(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _event_gram(spark, d)
+    _, gram = _gram(spark, d)
+    return linear.slim_ridge(linear.strongest(gram, 20), gram, 50.0)
+
+
+@query()
+def lw2_corated_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """All co-rated items as features, on the event stream's small catalogue."""
+    ratings = materialize(prep.max_per_pair(t.event_interactions(spark, d)), "ratings")
+    gram = materialize(linear.gram(ratings), "gram")
     return linear.slim_ridge(linear.corated(gram), gram, 50.0)
 
 
 @query()
 def lw3_slim_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _event_gram(spark, d)
-    return linear.slim_elastic_net(linear.corated(gram), gram, ratings.select("user_id").distinct().count(), 0.05, 0.2)
+    ratings, gram = _gram(spark, d)
+    return linear.slim_elastic_net(linear.strongest(gram, 20), gram, ratings.select("user_id").distinct().count(), 0.002, 0.01)
 
 
 @query()
 def lw4_slim_lasso(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _event_gram(spark, d)
-    return linear.slim_lasso(linear.corated(gram), gram, ratings.select("user_id").distinct().count(), 0.05)
+    ratings, gram = _gram(spark, d)
+    return linear.slim_lasso(linear.strongest(gram, 20), gram, ratings.select("user_id").distinct().count(), 0.002)
 
 
 @query("SELECT item_id FROM popular SEMI JOIN (SELECT item_id FROM items WHERE active) USING (item_id) ORDER BY rank LIMIT 100", "popular", "items")
@@ -527,39 +624,79 @@ def lw5_popular_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw6_neighbour_slim(spark: SparkSession, d: str) -> DataFrame:
-    ratings = materialize(_ratings(spark, d), "ratings")
+    ratings, gram = _gram(spark, d)
     near = similarity.nearest(similarity.similarities(similarity.rating_dots(ratings), 10), 15)
-    return linear.slim_ridge(near, materialize(linear.gram(ratings), "gram"), 20.0)
+    return linear.slim_ridge(near, gram, 20.0)
+
+
+TWO = "(SELECT i, min(j) FILTER (rank = 1) AS j1, min(j) FILTER (rank = 2) AS j2 FROM {near} WHERE rank <= 2 GROUP BY i)"
+PAIRS_OF_TWO = "(SELECT i AS a, j1 AS b FROM {two} UNION SELECT i, j2 FROM {two} UNION SELECT j1, j2 FROM {two} UNION SELECT j1, j1 FROM {two} UNION SELECT j2, j2 FROM {two})"
+
+
+def two_neighbours_sql(near: str) -> str:
+    """The ridge of two features in closed form, penalty 20."""
+    two = TWO.format(near=near)
+    g = PAIR_GRAM.format(pairs=PAIRS_OF_TWO.format(two=two))
+    part = f"""(SELECT t.i, t.j1, t.j2, coalesce(a.g, 0) AS g1, coalesce(b.g, 0) AS g2, coalesce(c.g, 0) AS g12, coalesce(e.g, 0) + 20e0 AS g11, coalesce(f.g, 0) + 20e0 AS g22 FROM {two} t
+      LEFT JOIN pg a ON a.a = t.i AND a.b = t.j1 LEFT JOIN pg b ON b.a = t.i AND b.b = t.j2 LEFT JOIN pg c ON c.a = t.j1 AND c.b = t.j2
+      LEFT JOIN pg e ON e.a = t.j1 AND e.b = t.j1 LEFT JOIN pg f ON f.a = t.j2 AND f.b = t.j2)"""
+    return f"""SELECT src_id, dst_id, {r6("w")} AS weight FROM (WITH pg AS (SELECT * FROM {g})
+      SELECT j1 AS src_id, i AS dst_id, (g22 * g1 - g12 * g2) / (g11 * g22 - g12 * g12) AS w FROM {part}
+      UNION ALL SELECT j2, i, (g11 * g2 - g12 * g1) / (g11 * g22 - g12 * g12) FROM {part} WHERE j2 IS NOT NULL) WHERE w > 0"""
+
+
+@query(two_neighbours_sql("cnear"), "cnear", "ratings")
+def lw6_two_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    ratings, gram = _gram(spark, d)
+    near = similarity.nearest(similarity.similarities(similarity.rating_dots(ratings), 10), 2)
+    return linear.slim_ridge(near, gram, 20.0).withColumn("weight", rounded(F.col("weight")))
+
+
+@query(two_neighbours_sql("inear"), "inear", "ratings")
+def lw6_two_content_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    _, gram = _gram(spark, d)
+    return linear.slim_ridge(_content_near(spark, d, 2), gram, 20.0).withColumn("weight", rounded(F.col("weight")))
+
+
+@query()
+def lw6_content_slim(spark: SparkSession, d: str) -> DataFrame:
+    _, gram = _gram(spark, d)
+    return linear.slim_ridge(_content_near(spark, d), gram, 20.0)
 
 
 @query()
 def lw7_user_slim(spark: SparkSession, d: str) -> DataFrame:
-    return linear.user_slim(_events(spark, d), 50.0)
+    return linear.user_slim(materialize(_ratings(spark, d), "ratings"), 50.0, 20)
 
 
 @query()
 def lw8_scm_ridge(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _event_gram(spark, d)
-    return linear.scm_ridge(linear.corated(gram), ratings, gram, 50.0)
+    ratings, gram = _gram(spark, d)
+    return linear.scm_ridge(linear.strongest(gram, 20), ratings, gram, 50.0)
 
 
 @query()
 def lw8_scm_logistic(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _event_gram(spark, d)
-    return linear.scm(linear.corated(gram), ratings, "logistic", 0.1)
+    ratings, gram = _gram(spark, d)
+    return linear.scm(linear.strongest(gram, 10), ratings, "logistic", 0.1)
+
+
+@query()
+def lw8_scm_svm(spark: SparkSession, d: str) -> DataFrame:
+    ratings, gram = _gram(spark, d)
+    return linear.scm(linear.strongest(gram, 10), ratings, "svm", 0.1)
 
 
 @query()
 def lw9_neighbour_scm(spark: SparkSession, d: str) -> DataFrame:
-    ratings = materialize(_events(spark, d), "ratings")
-    near = similarity.nearest(similarity.similarities(similarity.rating_dots(ratings), 10), 20)
-    return linear.scm(near, ratings, "svm", 0.1)
+    """Features are neighbours by content."""
+    return linear.scm(_content_near(spark, d, 10), materialize(_ratings(spark, d), "ratings"), "svm", 0.1)
 
 
 @query()
 def lw10_refit(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _event_gram(spark, d)
-    return linear.refit(linear.slim_ridge(linear.corated(gram), gram, 50.0), gram, 50.0, 30, 2)
+    _, gram = _gram(spark, d)
+    return linear.refit(linear.slim_ridge(linear.strongest(gram, 20), gram, 50.0), gram, 50.0, 10, 2)
 
 
 @query()
@@ -575,8 +712,7 @@ def lw12_observed_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw13_singular_values(spark: SparkSession, d: str) -> DataFrame:
-    ratings = materialize(_events(spark, d), "ratings")
-    return factors.singular_values(ratings, prep.dense_index(ratings, "user_id"), prep.dense_index(ratings, "item_id"), 20)
+    return factors.singular_values(materialize(_ratings(spark, d), "ratings"), 6, steps=12)
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -603,10 +739,14 @@ def rk1b_popularity_of_residuals(spark: SparkSession, d: str) -> DataFrame:
     return ranking.popularity(left, t.items(spark, d), by="sum")
 
 
-@query(
+_add(
+    "pop5",
     "SELECT user_id, item_id, score, rank FROM (SELECT t.user_id, p.item_id, p.score, row_number() OVER (PARTITION BY t.user_id ORDER BY p.rank) AS rank FROM targets t CROSS JOIN (SELECT p.* FROM popular p SEMI JOIN (SELECT item_id FROM items WHERE active) USING (item_id)) p ANTI JOIN ratings r ON r.user_id = t.user_id AND r.item_id = p.item_id) WHERE rank <= 5",
-    "targets", "popular", "items", "ratings",
-)
+    "targets popular items ratings",
+)
+
+
+@query("SELECT * FROM pop5", "pop5")
 def rk2_popular_unseen(spark: SparkSession, d: str) -> DataFrame:
     ratings, items = _ratings(spark, d), t.items(spark, d)
     return ranking.popular_unseen(ranking.popularity(ratings, items), items, ratings, t.targets(spark, d), 5)
@@ -674,11 +814,18 @@ def rk12_fallback(spark: SparkSession, d: str) -> DataFrame:
 LENT = "(SELECT n.i AS user_id, r.item_id, r.rating FROM unear n JOIN ratings r ON r.user_id = n.j WHERE n.rank = 1 UNION ALL SELECT * FROM mine)"
 
 
-@query(
-    f"""SELECT user_id, item_id, score, rank FROM l UNION ALL SELECT t.user_id, h.item_id, CAST(0 AS DOUBLE), h.rank
-    FROM (SELECT * FROM targets ANTI JOIN l USING (user_id)) t CROSS JOIN head h""".replace("FROM l ", f"FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT m.user_id, w.j AS item_id, {r6('sum(m.rating * w.sim)')} AS score FROM {LENT} m JOIN cnear w ON m.item_id = w.i SEMI JOIN (SELECT item_id AS j FROM items WHERE active) a ON a.j = w.j GROUP BY 1, 2) s ANTI JOIN ratings r ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE score > 0) WHERE rank <= 5) l ").replace("ANTI JOIN l USING", f"ANTI JOIN (SELECT DISTINCT m.user_id FROM {LENT} m JOIN cnear w ON m.item_id = w.i SEMI JOIN (SELECT item_id AS j FROM items WHERE active) a ON a.j = w.j ANTI JOIN ratings r ON r.user_id = m.user_id AND r.item_id = w.j WHERE w.sim > 0) USING"),
-    "unear", "mine", "cnear", "items", "head", "targets", "ratings",
-)
+_add("lent", LENT.strip("()"), "unear ratings mine")
+_add(
+    "coldlists",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT m.user_id, w.j AS item_id, {r6('sum(m.rating * w.sim)')} AS score FROM lent m
+        JOIN cnear w ON m.item_id = w.i SEMI JOIN (SELECT item_id AS j FROM items WHERE active) a ON a.j = w.j GROUP BY 1, 2) s
+        ANTI JOIN ratings r ON r.user_id = s.user_id AND r.item_id = s.item_id WHERE score > 0) WHERE rank <= 5""",
+    "lent cnear items ratings",
+)
+_add("coldrecs", "SELECT user_id, item_id, score, rank FROM coldlists UNION ALL SELECT t.user_id, h.item_id, CAST(0 AS DOUBLE), h.rank FROM (SELECT * FROM targets ANTI JOIN coldlists USING (user_id)) t CROSS JOIN head h", "coldlists targets head")
+
+
+@query("SELECT * FROM coldrecs", "coldrecs")
 def rk13_cold_recommendations(spark: SparkSession, d: str) -> DataFrame:
     ratings, users = _ratings(spark, d), t.users(spark, d)
     return recommend.cold_top_n(ratings, users, t.items(spark, d), t.targets(spark, d), similarity.as_weights(_near(spark, d)), users.count())
@@ -688,11 +835,11 @@ def rk13_cold_recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT coalesce(a.i, b.i) AS src_id, coalesce(a.j, b.j) AS dst_id, {r6('7e-1 * coalesce(a.w, 0) + (1e0 - 7e-1) * coalesce(b.w, 0)')} AS weight FROM (SELECT i, j, sim / max(sim) OVER (PARTITION BY j) AS w FROM cnear) a FULL JOIN (SELECT i, j, sim / max(sim) OVER (PARTITION BY j) AS w FROM knear) b ON a.i = b.i AND a.j = b.j",
-    "cnear", "knear",
+    f"SELECT coalesce(a.i, b.i) AS src_id, coalesce(a.j, b.j) AS dst_id, {r6('7e-1 * coalesce(a.w, 0) + (1e0 - 7e-1) * coalesce(b.w, 0)')} AS weight FROM (SELECT i, j, sim / max(sim) OVER (PARTITION BY j) AS w FROM cnear) a FULL JOIN (SELECT i, j, sim / max(sim) OVER (PARTITION BY j) AS w FROM inear) b ON a.i = b.i AND a.j = b.j",
+    "cnear", "inear",
 )
 def hy1_blend(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.blend(similarity.as_weights(_near(spark, d)), similarity.as_weights(_kind_near(spark, d)), 0.7)
+    return hybrid.blend(similarity.as_weights(_near(spark, d)), similarity.as_weights(_content_near(spark, d)), 0.7)
 
 
 @query("SELECT user_id, item_id, CAST(1 AS DOUBLE) AS rating FROM (SELECT user_id, item_id FROM ratings UNION SELECT user_id, item_id FROM recs)", "ratings", "recs")
@@ -702,30 +849,59 @@ def hy2_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hy3_self_training(spark: SparkSession, d: str) -> DataFrame:
-    ratings, items = materialize(_events(spark, d), "ratings"), t.items(spark, d)
-    return recommend.enriched_slim(ratings, items, ratings.select("user_id").distinct(), 20, 50.0, [2, 2, 1])
+    """Ridge weights on neighbours by content, fitted on implicit and enriched ratings."""
+    ratings, items = materialize(_ratings(spark, d), "ratings"), t.items(spark, d)
+    return recommend.enriched_slim(ratings, items, t.targets(spark, d), materialize(_content_near(spark, d), "near"), 50.0, [2, 2, 1])
 
 
-@query()
+def _lottery_tables(lists: list[str], shares: list[str], decay: str) -> tuple[str, dict[str, str]]:
+    """The recursive draw over ranked lists: the statement's last part, and the tables it needs."""
+    n = len(lists)
+    left = [f"len(l{k})" for k in range(n)]
+    rows = " UNION ALL ".join(f"SELECT user_id, item_id, rank, {k} AS source FROM {name}" for k, name in enumerate(lists))
+    lots = f"SELECT user_id, {', '.join(f'coalesce(list(item_id ORDER BY rank) FILTER (source = {k}), []) AS l{k}' for k in range(n))} FROM ({rows}) GROUP BY user_id"
+    going = f"len(items) < 5 AND {' + '.join(left)} > 0"
+    weights = ", ".join(f"CASE WHEN {left[k]} > 0 THEN {shares[k]} * pow({decay}, {left[k]} - 5) ELSE 0e0 END AS w{k}" for k in range(n))
+    choice = " ".join(f"WHEN w{k} > 0 AND ({' + '.join(f'w{m}' for m in range(k + 1))} > place OR {' + '.join(left[k + 1 :])} = 0) THEN {k}" for k in range(n - 1))
+    head = " ".join(f"WHEN {k} THEN l{k}[1]" for k in range(n))
+    taken = ", ".join(f"CASE WHEN c = {k} THEN l{k}[2:] ELSE l{k} END" for k in range(n))
+    draw = "CAST('0x' || substr(md5('1:' || user_id || ':' || step), 1, 8) AS BIGINT) / 4294967296e0"
+    lot = f"""SELECT user_id, {', '.join(f'l{k}' for k in range(n))}, 0 AS step, CAST([] AS BIGINT[]) AS items, CAST([] AS INTEGER[]) AS sources FROM lots
+      UNION ALL SELECT user_id, {taken}, step + 1, CASE WHEN list_contains(items, head) THEN items ELSE list_append(items, head) END, CASE WHEN list_contains(items, head) THEN sources ELSE list_append(sources, CAST(c AS INTEGER)) END
+      FROM (SELECT *, CASE c {head} END AS head FROM (SELECT *, CASE {choice} ELSE {n - 1} END AS c FROM (SELECT *, draw * ({' + '.join(f'w{k}' for k in range(n))}) AS place FROM (SELECT *, {weights}, {draw} AS draw FROM lot WHERE {going}))))"""
+    return f"SELECT user_id, CAST(unnest(range(1, len(items) + 1)) AS INTEGER) AS rank, unnest(items) AS item_id, unnest(sources) AS source FROM lot WHERE NOT ({going})", {"lots": lots, "lot": lot}
+
+
+def _lottery_sql(lists: list[str], shares: list[str], decay: str, around: str = "{}") -> str:
+    last, tables = _lottery_tables(lists, shares, decay)
+    before = with_tables("", *lists).strip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return before + ", " + ", ".join(f"{n} AS ({q})" for n, q in tables.items()) + " " + around.format(last)
+
+
+FOUR = (["recs", "pop5", "coldrecs", "wrecs"], ["27e-2", "26e-2", "24e-2", "23e-2"], "15e-1")
+
+
+@query(_lottery_sql(*FOUR))
 def hy4_lottery(spark: SparkSession, d: str) -> DataFrame:
-    popular = rk2_popular_unseen(spark, d)
-    return hybrid.lottery([_lists(spark, d), popular, rk13_cold_recommendations(spark, d), w1_content_top5(spark, d)], [0.27, 0.26, 0.24, 0.23])
+    lists = [_lists(spark, d), rk2_popular_unseen(spark, d), rk13_cold_recommendations(spark, d), w1_content_top5(spark, d)]
+    return hybrid.lottery(lists, [0.27, 0.26, 0.24, 0.23])
 
 
-@query()
+@query(_lottery_sql(*FOUR, around="SELECT source, rank, count(*) AS n FROM ({}) GROUP BY 1, 2"))
 def hy4_source_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.source_frequencies(hy4_lottery(spark, d))
 
 
-@query()
+@query(_lottery_sql(["recs", "pop5"], ["5e-1", "5e-1"], "1e0"))
 def hy5_coin_flip(spark: SparkSession, d: str) -> DataFrame:
     return hybrid.coin_flip(_lists(spark, d), rk2_popular_unseen(spark, d))
 
 
-@query("SELECT * FROM kwords UNION ALL SELECT id, attr, token, weight FROM ucounts", "kwords", "ucounts")
+@query("SELECT * FROM icounts UNION ALL SELECT id, attr, token, weight FROM ucounts", "icounts", "ucounts")
 def hy6_stacked(spark: SparkSession, d: str) -> DataFrame:
+    items = features.token_counts(features.tokens(t.items(spark, d), "item_id", ["title", "tags", "brand", "size"]))
     users = features.token_counts(features.tokens(features.location(t.users(spark, d), "nation", "region"), "user_id", ["segment", "location"]))
-    return hybrid.stacked_blocks([_kind_content(spark, d), users])
+    return hybrid.stacked_blocks([items, users])
 
 
 # ---------------------------------------------------------------- evaluation
@@ -736,7 +912,28 @@ def ev1_sample_users(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sample_users(_ratings(spark, d), 200, 7)
 
 
-@query("SELECT user_id, item_id, rating FROM ratings ORDER BY md5('7:' || user_id || ':' || item_id), user_id, item_id LIMIT 5000", "ratings")
+@query(f"SELECT DISTINCT user_id, {r6('user_bias')} AS user_bias FROM effects SEMI JOIN sampled USING (user_id)", "effects", "sampled")
+def ev1_sample_biases(spark: SparkSession, d: str) -> DataFrame:
+    ratings = _ratings(spark, d)
+    biases = prep.global_effects(ratings).groupBy("user_id").agg(rounded(F.min("user_bias")).alias("user_bias"))
+    return evaluate.sample_users(ratings, 200, 7, biases)[1]
+
+
+@query("SELECT item_id, title, active FROM items SEMI JOIN isample USING (item_id)", "items", "isample")
+def ev2_sample_items(spark: SparkSession, d: str) -> DataFrame:
+    items = t.items(spark, d)
+    counts = features.token_counts(features.tokens(items, "item_id", ["brand"]))
+    return evaluate.of_sample(ev2_sample_interactions(spark, d), items, counts)[0].select("item_id", "title", "active")
+
+
+@query("SELECT id, attr, token, weight FROM icounts WHERE id IN (SELECT item_id FROM isample)", "icounts", "isample")
+def ev2_sample_content(spark: SparkSession, d: str) -> DataFrame:
+    items = t.items(spark, d)
+    counts = features.token_counts(features.tokens(items, "item_id", ["title", "tags", "brand", "size"]))
+    return evaluate.of_sample(ev2_sample_interactions(spark, d), items, counts)[1]
+
+
+@query("SELECT * FROM isample", "isample")
 def ev2_sample_interactions(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.sample_interactions(_ratings(spark, d), 5000, 7)
 
@@ -763,37 +960,48 @@ def _popular_of_visible(spark: SparkSession, d: str) -> tuple[DataFrame, DataFra
     return ranking.popular_unseen(ranking.popularity(visible, items), items, visible, everyone, 5), shown.filter("hidden")
 
 
-@query(f"SELECT {r6('avg(ap)')} AS map, count(*) AS n_users FROM aps", "aps")
+def _recommend_popular(spark: SparkSession, d: str) -> evaluate.Recommender:
+    items = t.items(spark, d)
+    return lambda ratings, profiles, _: ranking.popular_unseen(ranking.popularity(ratings, items), items, profiles, profiles.select("user_id").distinct(), 5)
+
+
+@query(f"SELECT {r6('avg(ap)')} AS map, count(*) AS n_users FROM haps", "haps")
 def ev5_holdout(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.mean_average_precision(*_popular_of_visible(spark, d))
+    visible, hidden = evaluate.holdout(_ratings(spark, d), 0.5, 3)
+    return evaluate.mean_average_precision(_recommend_popular(spark, d)(visible, visible, {}), hidden)
+
 
+@query(f"SELECT rep, {r6('avg(ap)')} AS map, count(*) AS n_users FROM raps GROUP BY 1", "raps")
+def ev6_scored_splits(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.repeated_splits(_ratings(spark, d), _recommend_popular(spark, d), {}, 9, 3)
 
-@query("SELECT user_id, item_id, rating, rep, CAST('0x' || substr(md5('9:' || rep || ':' || user_id || ':' || item_id), 1, 8) AS BIGINT) >= 3221225472 AS test FROM ratings CROSS JOIN (SELECT unnest([0, 1, 2]) AS rep)", "ratings")
+
+@query("SELECT user_id, item_id, rating, rep, hidden AS test FROM splits", "splits")
 def ev6_repeated_splits(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.split_interactions(_ratings(spark, d), 9, 3)
 
 
-@query("SELECT * FROM aps", "aps")
+@query("SELECT user_id, ap FROM aps", "aps")
 def ev7_average_precision(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.average_precision(*_popular_of_visible(spark, d))
 
 
-def _recommend_events(spark: SparkSession, d: str) -> evaluate.Recommender:
-    items = t.items(spark, d)
+def _recommend_neighbours(spark: SparkSession, d: str) -> evaluate.Recommender:
+    """From dots, made once a fold."""
+    active = prep.active_items(t.items(spark, d))
 
-    def run(ratings: DataFrame, targets: DataFrame, p: dict) -> DataFrame:
-        sims = similarity.similarities(similarity.rating_dots(ratings), p["shrink"])
-        weights = similarity.as_weights(similarity.nearest(sims, p["k"]))
-        scores = ranking.item_scores(targets, weights, prep.active_items(items))
-        return ranking.top_n(ranking.unseen(scores, targets), 5)
+    def run(dots: DataFrame, profiles: DataFrame, p: dict) -> DataFrame:
+        weights = similarity.as_weights(similarity.nearest(similarity.similarities(dots, p["shrink"]), p["k"]))
+        return ranking.top_n(ranking.unseen(ranking.item_scores(profiles, weights, active), profiles), 5)
 
     return run
 
 
-@query()
+@query("SELECT shrink, k, floor(avg(map) * 1e6 + 5e-1) / 1e6 AS mean_map, floor(stddev_pop(map) * 1e6 + 5e-1) / 1e6 AS std_map FROM gmaps GROUP BY 1, 2", "gmaps")
 def ev8_grid_summary(spark: SparkSession, d: str) -> DataFrame:
-    ratings = materialize(_events(spark, d), "ratings")
-    return evaluate.summarise(evaluate.cross_validate(ratings, _recommend_events(spark, d), {"shrink": [0, 10], "k": [5, 20]}, 2, 3), ["shrink", "k"])
+    ratings = materialize(_ratings(spark, d), "ratings")
+    found = evaluate.cross_validate(ratings, _recommend_neighbours(spark, d), {"shrink": [0, 10], "k": [5, 20]}, 2, 3, prepare=similarity.rating_dots)
+    return evaluate.summarise(found, ["shrink", "k"])
 
 
 FOLD_MAPS = "(SELECT f.fold, s.seg AS facet, avg(a.ap) AS map FROM aps a JOIN (SELECT user_id, ntile(4) OVER (ORDER BY user_id) - 1 AS fold FROM ulist) f USING (user_id) JOIN (SELECT user_id, segment AS seg FROM users) s USING (user_id) GROUP BY 1, 2)"
@@ -851,15 +1059,13 @@ def ev13_weak_classes(spark: SparkSession, d: str) -> DataFrame:
     return classify.weak_classes(classify.confusion(_predicted(spark, d), 2), least=1e6)
 
 
-@query()
+@query("SELECT shrink, k, fold, map FROM emaps", "emaps")
 def ev14_two_tables(spark: SparkSession, d: str) -> DataFrame:
     """Fit on implicit ratings, score and hide the explicit ones."""
-    explicit = materialize(_events(spark, d), "ratings")
-    return evaluate.cross_validate(prep.implicit(explicit), _recommend_events(spark, d), {"shrink": [10], "k": [20]}, 2, 3, profiles=explicit)
+    explicit = materialize(_ratings(spark, d), "ratings")
+    return evaluate.cross_validate(prep.implicit(explicit), _recommend_neighbours(spark, d), {"shrink": [10], "k": [20]}, 2, 3, profiles=explicit, prepare=similarity.rating_dots)
 
 
-@query()
+@query("SELECT user_id, item_id, score, rank FROM wrecs", "wrecs")
 def w1_content_top5(spark: SparkSession, d: str) -> DataFrame:
-    kinds = _kinds(spark, d)
-    ratings = t.kind_ratings(_ratings(spark, d), t.items(spark, d))
-    return recommend.content_top_n(ratings, kinds, t.targets(spark, d), _kind_content(spark, d))
+    return recommend.content_top_n(_ratings(spark, d), t.items(spark, d), t.targets(spark, d), _content(spark, d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
 from recjobs.operators import features, hybrid, linear, ranking, similarity
@@ -16,6 +16,8 @@ def collaborative_top_n(ratings: DataFrame, items: DataFrame, targets: DataFrame
 
 
 def recommend_with(ratings: DataFrame, weights: DataFrame, items: DataFrame, targets: DataFrame, n: int = 5) -> DataFrame:
+    """n unseen active items a target by these weights, each once; targets without one (of an empty profile,
+    say) get the most popular active items. Without targets there are no rows."""
     mine = ratings.join(targets, "user_id", "left_semi")
     scores = ranking.item_scores(mine, weights, items.filter("active").select("item_id"))
     lists = ranking.top_n(ranking.unseen(scores, mine), n)
@@ -23,8 +25,8 @@ def recommend_with(ratings: DataFrame, weights: DataFrame, items: DataFrame, tar
 
 
 def content_weights(content: DataFrame, shrink: int, k: int, left: DataFrame | None = None) -> DataFrame:
-    sims = similarity.similarities(similarity.content_dots(content, left), shrink)
-    return similarity.as_weights(similarity.nearest(sims, k))
+    """Votes between the k nearest rows by content, as weights."""
+    return similarity.as_weights(similarity.content_nearest(content, k, shrink, left))
 
 
 def content_top_n(ratings: DataFrame, items: DataFrame, targets: DataFrame, content: DataFrame, shrink: int = 2, n: int = 5, normalize: bool = False) -> DataFrame:
@@ -39,25 +41,15 @@ def content_top_n(ratings: DataFrame, items: DataFrame, targets: DataFrame, cont
 
 
 def user_content(users: DataFrame, n_rows: int) -> DataFrame:
+    """One-hot segment and TF-IDF location of users ``(user_id, segment, nation, region)``; nulls are words, too."""
     placed = features.location(users, "nation", "region")
     return features.content_table(placed, "user_id", ["segment"], ["location"], n_rows)
 
 
 def user_neighbours(users: DataFrame, cold: DataFrame, ratings: DataFrame, n_rows: int, k: int, shrink: int = 0) -> DataFrame:
-    """Nearest users with a profile, for cold ones. Users of equal attributes are compared once, and a
-    kind of user stands in with its k least ids: no more of one kind can be among the k nearest."""
-    content = user_content(users, n_rows)
-    kinds = users.select("user_id", F.concat_ws("|", "segment", "nation", "region").alias("kind"))
-    order = F.row_number().over(Window.partitionBy("kind").orderBy("user_id"))
-    warm = kinds.join(ratings.select("user_id").distinct(), "user_id", "left_semi").withColumn("n", order).filter(F.col("n") <= k)
-    cold = kinds.join(cold, "user_id", "left_semi")
-    of_warm = warm.filter("n = 1").select(F.col("user_id").alias("j"), F.col("kind").alias("warm_kind"))
-    of_cold = cold.groupBy(F.col("kind").alias("cold_kind")).agg(F.min("user_id").alias("i"))
-    dots = similarity.content_dots(content, of_cold.select(F.col("i").alias("id")), of_warm.select(F.col("j").alias("id")))
-    sims = similarity.similarities(dots, shrink).join(of_cold, "i").join(of_warm, "j").select("cold_kind", "warm_kind", "sim")
-    each = cold.select(F.col("user_id").alias("i"), F.col("kind").alias("cold_kind")).join(sims, "cold_kind")
-    each = each.join(warm.select(F.col("user_id").alias("j"), F.col("kind").alias("warm_kind")), "warm_kind")
-    return similarity.nearest(each.select("i", "j", "sim"), k)
+    """Nearest users with a profile, for cold ones. Users of equal attributes are compared once."""
+    ids = [x.select(F.col("user_id").alias("id")).distinct() for x in (cold, ratings)]
+    return similarity.content_nearest(user_content(users, n_rows), k, shrink, *ids)
 
 
 def cold_top_n(ratings: DataFrame, users: DataFrame, items: DataFrame, targets: DataFrame, weights: DataFrame, n_rows: int, n: int = 5) -> DataFrame:
@@ -72,16 +64,16 @@ def cold_top_n(ratings: DataFrame, users: DataFrame, items: DataFrame, targets:
     return ranking.with_fallback(lists, targets, ranking.popularity(ratings, items), items, n)
 
 
-def enriched_slim(ratings: DataFrame, items: DataFrame, targets: DataFrame, k: int, alpha: float, added: list[int], n: int = 5) -> DataFrame:
-    """Self-training: ridge weights on collaborative neighbours, profiles enriched phase by phase."""
+def enriched_slim(ratings: DataFrame, items: DataFrame, targets: DataFrame, near: DataFrame, alpha: float, added: list[int], n: int = 5) -> DataFrame:
+    """Self-training: ridge weights on the neighbours given (of content, say), profiles enriched phase
+    by phase with implicit ratings; lists are made from the explicit ones."""
     everyone = ratings.select("user_id").distinct()
 
     def fit(enriched: DataFrame) -> DataFrame:
-        gram = materialize(linear.gram(enriched), "gram")
-        near = similarity.nearest(similarity.similarities(similarity.rating_dots(enriched), 10), k)
-        return linear.slim_ridge(near, gram, alpha)
+        return linear.slim_ridge(near, materialize(linear.gram(enriched), "gram"), alpha)
 
     def recommend(explicit: DataFrame, weights: DataFrame, m: int) -> DataFrame:
         return recommend_with(explicit, weights, items, everyone, m)
 
-    return recommend_with(ratings, hybrid.self_training(ratings, fit, recommend, added), items, targets, n)
+    weights = hybrid.self_training(ratings, fit, recommend, added)
+    return recommend_with(ratings, weights, items, targets, n)

@@ -14,16 +14,54 @@ from recjobs.operators.prep import dense_index
 Recommender = Callable[[DataFrame, DataFrame, dict], DataFrame]  # (ratings, targets, params) -> recs
 
 
-def sample_users(ratings: DataFrame, m: int, seed: int) -> DataFrame:
-    """All ratings of m users, chosen by a seeded hash."""
+def sample_users(ratings: DataFrame, m: int, seed: int, user_bias: DataFrame | None = None):
+    """All ratings of m users, chosen by a seeded hash (of all, if there are fewer); with
+    ``user_bias(user_id, ...)`` also the rows of these users there."""
     users = ratings.select("user_id").distinct().orderBy(md5_order(seed, "user_id"), "user_id").limit(m)
-    return ratings.join(users, "user_id", "left_semi")
+    sample = ratings.join(users, "user_id", "left_semi")
+    return sample if user_bias is None else (sample, user_bias.join(users, "user_id", "left_semi"))
 
 
 def sample_interactions(ratings: DataFrame, m: int, seed: int) -> DataFrame:
+    """m ratings, chosen by a seeded hash; users and items without one are gone with the rest."""
     return ratings.orderBy(md5_order(seed, "user_id", "item_id"), "user_id", "item_id").limit(m)
 
 
+def of_sample(sample: DataFrame, items: DataFrame, item_content: DataFrame, user_content: DataFrame | None = None) -> tuple[DataFrame, ...]:
+    """Items (with their activity) and content ``(id, ...)`` of what a sample of ratings still holds."""
+    held = sample.select(F.col("item_id").alias("id")).distinct()
+    out = [items.join(held.withColumnRenamed("id", "item_id"), "item_id", "left_semi"), item_content.join(held, "id", "left_semi")]
+    if user_content is not None:
+        out.append(user_content.join(sample.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"))
+    return tuple(out)
+
+
+def sample_share(ratings: DataFrame, share: float, seed: int) -> DataFrame:
+    """About this share of the ratings, by a seeded hash of each: no order of the whole table."""
+    key = F.conv(F.substring(md5_order(seed, "user_id", "item_id"), 1, 8), 16, 10).cast("long")
+    return ratings.filter(key < int(share * (1 << 32)))
+
+
+def holdout(ratings: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Visible and hidden ratings of a sample: users that it leaves empty are gone, and of the others
+    some ratings are hidden (``hide``). A recommender is fitted on the visible ones and scores them."""
+    shown = materialize(hide(sample_share(ratings, share, seed), seed), "shown")
+    return shown.filter("not hidden").drop("hidden"), shown.filter("hidden").drop("hidden")
+
+
+def repeated_splits(ratings: DataFrame, recommend: Recommender, params: dict, seed: int, repetitions: int, share: float = 0.75, n: int = 5) -> DataFrame:
+    """``(rep, map, n_users)``: in each random split of interactions users with test items are scored on
+    their train profile; one without a train profile has no list, and counts as 0."""
+    out, split = None, materialize(split_interactions(ratings, seed, repetitions, share), "splits")
+    for rep in range(repetitions):
+        own = split.filter(F.col("rep") == rep)
+        train, test = (own.filter(x).select("user_id", "item_id", "rating") for x in ("not test", "test"))
+        profiles = train.join(test.select("user_id").distinct(), "user_id", "left_semi")
+        one = mean_average_precision(recommend(train, profiles, params), test, n).select(F.lit(rep).alias("rep"), "map", "n_users")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def folds(users: DataFrame, k: int, seed: int | None = None) -> DataFrame:
     """``(user_id, fold)``, from 0: contiguous groups that differ by one at most; shuffled if seeded.
     Users are numbered by ranges, so no task holds them all."""
@@ -36,6 +74,7 @@ def folds(users: DataFrame, k: int, seed: int | None = None) -> DataFrame:
 
 
 def hash_folds(users: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """``(user_id, fold)`` by a seeded hash: sizes are near equal, and nothing is ordered."""
     fold = F.pmod(F.conv(F.substring(md5_order(seed, "user_id"), 1, 8), 16, 10).cast("long"), F.lit(k))
     return users.select("user_id").distinct().select("user_id", fold.cast("int").alias("fold"))
 
@@ -69,29 +108,35 @@ def average_precision(recs: DataFrame, hidden: DataFrame, n: int = 5) -> DataFra
 
 
 def mean_average_precision(recs: DataFrame, hidden: DataFrame, n: int = 5) -> DataFrame:
+    """``(map, n_users)``: the mean over users with hidden items; 0 of 0 users without any."""
     return average_precision(recs, hidden, n).agg(rounded(F.coalesce(F.avg("ap"), F.lit(0.0))).alias("map"), F.count("*").alias("n_users"))
 
 
 def grid(params: dict[str, list]) -> list[dict]:
+    """All settings, the last parameter changing first."""
     return [dict(zip(params, values)) for values in product(*params.values())]
 
 
-def cross_validate(ratings: DataFrame, recommend: Recommender, params: dict[str, list], k: int, seed: int, n: int = 5, profiles: DataFrame | None = None, fit_on: str = "train", max_folds: int | None = None) -> DataFrame:
+def cross_validate(ratings: DataFrame, recommend: Recommender, params: dict[str, list], k: int, seed: int, n: int = 5, profiles: DataFrame | None = None, fit_on: str = "train", max_folds: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(params..., fold, map)``. Each fold's users are scored on what is visible of them.
 
     ``fit_on`` 'train' fits on the other users, 'visible' on those and what is visible of the fold;
     ``profiles`` is another table of the same users to score and hide (an explicit one, say).
+    ``prepare(ratings)`` makes, once a fold, the table that all settings share (dots, a Gram table);
+    ``recommend`` then gets it in place of the ratings. Without ratings there are no rows.
     """
     shown = hide(profiles if profiles is not None else ratings, seed)
     fold_of = materialize(folds(ratings, k, seed), "folds")
     spark, out = ratings.sparkSession, []
     for fold in range(min(k, max_folds or k)):
         test = fold_of.filter(F.col("fold") == fold)
-        train = ratings.join(test, "user_id", "left_anti")
-        of_fold = shown.join(test, "user_id", "left_semi")
-        visible = materialize(of_fold.filter("not hidden").drop("hidden"), "visible")
-        hidden = materialize(of_fold.filter("hidden").drop("hidden"), "hidden")
-        base = train if fit_on == "train" else train.unionByName(visible)
+        of_fold = materialize(shown.join(test, "user_id", "left_semi"), "shown")
+        visible, hidden = of_fold.filter("not hidden").drop("hidden"), of_fold.filter("hidden").drop("hidden")
+        base = ratings.join(test, "user_id", "left_anti")
+        if fit_on != "train":
+            base = base.unionByName(visible)
+        if prepare is not None:
+            base = materialize(prepare(base), "prepared")
         for p in grid(params):
             found = mean_average_precision(recommend(base, visible, p), hidden, n).first()
             out.append((*p.values(), fold, found["map"]))
@@ -100,6 +145,7 @@ def cross_validate(ratings: DataFrame, recommend: Recommender, params: dict[str,
 
 
 def summarise(scores: DataFrame, params: list[str]) -> DataFrame:
+    """Mean and population deviation of ``map`` of each setting, over folds."""
     return scores.groupBy(*params).agg(rounded(F.avg("map")).alias("mean_map"), rounded(F.stddev_pop("map")).alias("std_map"))
 
 
@@ -110,6 +156,7 @@ def best_setting(summary: DataFrame, params: list[str]) -> DataFrame:
 
 
 def best_per_facet(summary: DataFrame, facet: str, params: list[str]) -> DataFrame:
+    """The setting of largest mean for each value of ``facet``, ties to the first in parameter order."""
     rest = [p for p in params if p != facet]
     top = summary.groupBy(facet).agg(F.min_by(F.struct(*rest, "mean_map"), F.struct(-F.col("mean_map"), *rest)).alias("x"))
     return top.select(facet, "x.*")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.columns import best, rounded
+from recjobs.functions.storage import materialize
 from recjobs.operators.prep import dense_index
 
+HEAD = 256  # popular items that users meet at a time
+
 
 def popularity(ratings: DataFrame, items: DataFrame, by: str = "count") -> DataFrame:
     """``(item_id, score, rank)`` of all items: number of raters, or sum of ratings; 0 if unrated.
@@ -20,16 +23,28 @@ def popularity(ratings: DataFrame, items: DataFrame, by: str = "count") -> DataF
 
 
 def popular_unseen(popular: DataFrame, items: DataFrame, ratings: DataFrame, targets: DataFrame, n: int) -> DataFrame:
-    """The n best active items that each target has not rated.
-
-    No user needs more of the list than n and the largest profile, so that head alone is met."""
-    longest = ratings.join(targets, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    head = popular.join(items.filter("active"), "item_id", "left_semi").orderBy("rank").limit(n + longest)
-    one = head.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id", "score"))), lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"))).alias("head"))
-    mine = ratings.join(targets, "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("item_id").alias("mine"))
-    each = targets.select("user_id").join(mine, "user_id", "left").crossJoin(F.broadcast(one))  # one row
-    unseen = F.slice(F.filter("head", lambda x: ~F.coalesce(F.array_contains("mine", x["item_id"]), F.lit(False))), 1, n)
-    return each.select("user_id", F.posexplode(unseen).alias("p", "x")).select("user_id", "x.item_id", "x.score", (F.col("p") + 1).alias("rank"))
+    """The n best active items that each target has not rated; fewer if there are not so many.
+
+    The list is met by blocks of HEAD items; only users that are still short go on to the next block
+    (most are served by the first), so no list grows with the longest profile."""
+    head = dense_index(popular.join(items.filter("active"), "item_id", "left_semi").select(F.struct("rank", "item_id", "score").alias("key")), "key")
+    head = materialize(head.select("idx", "key.item_id", "key.score"), "head")
+    total = head.count()
+    mine = ratings.join(targets.select("user_id"), "user_id", "left_semi").join(head.select("item_id", "idx"), "item_id").select("user_id", "idx")
+    short, done, out, at = materialize(targets.select("user_id").distinct().withColumn("have", F.lit(0).cast("long")), "short"), False, None, 0
+    while at < total and not done:
+        block = head.filter((F.col("idx") >= at) & (F.col("idx") < at + HEAD))
+        seen = mine.filter((F.col("idx") >= at) & (F.col("idx") < at + HEAD)).groupBy("user_id").agg(F.collect_set("idx").alias("seen"))  # HEAD at most
+        free = F.array_except(F.sequence(F.lit(at), F.lit(min(at + HEAD, total) - 1)).cast("array<long>"), F.coalesce("seen", F.array().cast("array<long>")))
+        listed = short.join(seen, "user_id", "left").select("user_id", "have", F.slice(F.array_sort(free), 1, (n - F.col("have")).cast("int")).alias("free"))
+        listed = materialize(listed, "listed")
+        places = listed.select("user_id", "have", F.posexplode("free").alias("p", "idx")).select("user_id", "idx", (F.col("have") + F.col("p") + 1).cast("int").alias("rank"))
+        found = places.join(F.broadcast(block), "idx").select("user_id", "item_id", "score", "rank")  # HEAD rows
+        out = found if out is None else out.unionByName(found)
+        short = listed.select("user_id", (F.col("have") + F.size("free")).alias("have")).filter(F.col("have") < n)
+        at += HEAD
+        done = at >= total or short.isEmpty()
+    return out if out is not None else targets.sparkSession.createDataFrame([], "user_id long, item_id long, score double, rank int")
 
 
 def item_scores(ratings: DataFrame, weights: DataFrame, active: DataFrame | None = None, normalize: bool = False) -> DataFrame:
@@ -54,14 +69,17 @@ def user_scores(ratings: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def with_sigmoid(scores: DataFrame) -> DataFrame:
+    """Raw sums with the probability that they stand for; ranks stay by the sum."""
     return scores.withColumn("probability", rounded(1 / (1 + F.exp(-F.col("score")))))
 
 
 def unseen(scores: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Scores of items that the user has not rated."""
     return scores.join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
 def top_n(scores: DataFrame, n: int) -> DataFrame:
+    """The n items of largest score above 0 of each user, ties to the smaller id; no row for the rest."""
     return best(scores.filter("score > 0"), "user_id", "score", "item_id", n).select("user_id", "item_id", "score", "rank")
 
 

@@ -16,6 +16,7 @@ USER_SCHEMA = (
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Tab-separated rows with a header, by an explicit schema; empty fields are null."""
     return spark.read.csv(path, sep="\t", header=True, schema=schema)
 
 
@@ -37,6 +38,7 @@ def read_users(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
+    """``(user_id)`` of a CSV with a header."""
     return spark.read.csv(path, header=True, schema="user_id long")
 
 
@@ -60,14 +62,17 @@ def write_recommendations(recs: DataFrame, path: str, user_names: DataFrame | No
 
 
 def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
+    """``(user_id, rank, item_id)`` of a file that ``write_recommendations`` wrote, by numbers."""
     return unpack(spark.read.csv(path, header=True, schema="user_id long, recommended_items string"))
 
 
 def write_weights(weights: DataFrame, path: str) -> None:
+    """Persist a weight table."""
     weights.write.parquet(path)
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """A persisted weight table."""
     return spark.read.schema("src_id long, dst_id long, weight double").parquet(path)
 
 
@@ -80,6 +85,7 @@ def write_similarities(dots: DataFrame, shrinks: list[int], path: str) -> None:
 
 
 def read_similarities(spark: SparkSession, path: str, shrink: int) -> DataFrame:
+    """The table of one shrink value; only its folder is read."""
     return spark.read.parquet(path).filter(F.col("shrink") == shrink).select("i", "j", "sim")
 
 
@@ -95,6 +101,7 @@ def read_popularity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
+    """A TSV of one file: score tables have a row a setting."""
     scores.coalesce(1).write.csv(path, sep="\t", header=True)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the directory, all columns."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -13,10 +14,13 @@ COLD_SEGMENT = "MACHINERY"  # its customers' orders are withheld, so that there
 TARGET_SEGMENTS = ("MACHINERY", "BUILDING")
 
 
-def raw_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(user_id, item_id, interaction_type)``; a pair may repeat."""
-    warm = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != COLD_SEGMENT).select(F.col("c_custkey").cast("long").alias("user_id"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").cast("long").alias("user_id")).join(warm, "user_id", "left_semi")
+def raw_interactions(spark: SparkSession, sf_dir: str, withhold: bool = True) -> DataFrame:
+    """``(user_id, item_id, interaction_type)``; a pair may repeat. ``withhold`` leaves out the users
+    that are to be cold."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").cast("long").alias("user_id"))
+    if withhold:
+        warm = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != COLD_SEGMENT).select(F.col("c_custkey").cast("long").alias("user_id"))
+        orders = orders.join(warm, "user_id", "left_semi")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").cast("long").alias("item_id"), "l_returnflag")
     kind = F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
     return lines.join(orders, "order").select("user_id", "item_id", kind.alias("interaction_type"))
@@ -30,26 +34,17 @@ def event_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(item_id, title, tags, brand, size, active)`` of parts."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("item_id"), F.col("p_name").alias("title"), F.col("p_type").alias("tags"), F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size"), (F.col("p_size") <= 40).alias("active"))
 
 
-def item_kinds(items: DataFrame) -> DataFrame:
-    """Items of equal title and brand are one kind (its least item id); similarity is made once a kind.
-    A kind is active if any item of it is; nothing expands kinds to items again."""
-    return items.groupBy("title", "brand").agg(F.min("item_id").alias("item_id"), F.max("active").alias("active"))
-
-
-def kind_ratings(ratings: DataFrame, items: DataFrame) -> DataFrame:
-    kinds = item_kinds(items).select("title", "brand", F.col("item_id").alias("kind"))
-    of_item = items.select("item_id", "title", "brand").join(kinds, ["title", "brand"]).select("item_id", "kind")
-    return ratings.join(of_item, "item_id").groupBy("user_id", F.col("kind").alias("item_id")).agg(F.max("rating").alias("rating"))
-
-
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user_id, segment, nation, region)`` of customers."""
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
     return customers.join(nation, "nation").select("user_id", "segment", F.col("nation").cast("long").alias("nation"), F.col("region").cast("long").alias("region"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of TARGET_SEGMENTS."""
     return table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin(*TARGET_SEGMENTS)).select(F.col("c_custkey").cast("long").alias("user_id"))

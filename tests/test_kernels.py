@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from recjobs.functions.kernels import enet_gram, logistic_newton, lottery_merge, ridge_gram, svm_squared_hinge
+from recjobs.operators.hybrid import draws
 
 
 @pytest.fixture()
@@ -66,7 +67,8 @@ def test_classifiers_have_no_slope_left(ratings, fit):
 
 def test_lottery():
     lists = [[1, 2, 3], [3, 4], []]
-    out = lottery_merge(lists, [0.5, 0.3, 0.2], 5, np.random.default_rng(2))
+    out = lottery_merge(lists, [0.5, 0.3, 0.2], 5, draws(2, 7, 5))
     assert sorted(x for x, _ in out) == [1, 2, 3, 4] and all(k in (0, 1) for _, k in out)
-    assert lottery_merge([[], []], [0.5, 0.5], 5, np.random.default_rng(0)) == []
-    assert [x for x, _ in lottery_merge([[9, 8, 7]], [1.0], 2, np.random.default_rng(0))] == [9, 8]
+    assert lottery_merge([[], []], [0.5, 0.5], 5, draws(0, 1, 0)) == []
+    assert [x for x, _ in lottery_merge([[9, 8, 7]], [1.0], 2, draws(0, 1, 3))] == [9, 8]
+    assert lottery_merge([[1, 2], [3, 4]], [0.5, 0.5], 3, iter([0.0, 0.999, 0.999]), decay=1.0) == [(1, 0), (3, 1), (4, 1)]

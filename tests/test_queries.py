@@ -1,6 +1,9 @@
 """Registered queries against their SQL, on the smallest test tables."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -35,7 +38,27 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted_rows(got.columns, got.collect()) == sorted_rows(columns, want.fetchall())
 
 
+HIDDEN = """
+import sys
+
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == "recjobs.llm" or name.startswith("recjobs.llm.") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(name)
+
+sys.meta_path.insert(0, Hide())
+import __spark_entry__
+print(sorted(__spark_entry__.queries()) == sorted(__spark_entry__.jobs.QUERIES), sorted(__spark_entry__.oracle_sql()) == sorted(__spark_entry__.jobs.SQL))
+"""
+
+
 def test_entry_file_without_the_corpus_package():
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", HIDDEN], cwd=root, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == ["True", "True"]
+
+
+def test_entry_file_lists_all():
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
