@@ -15,26 +15,31 @@ def hot_limit(n_rows: int) -> int:
 
 
 def split_join(rows: DataFrame, table: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, which has one row a key and the count of its rows, ``n_rows``.
+    """``rows`` joined with ``table`` (a written one), which has one row a key and the count of its
+    rows, ``n_rows``.
 
     Keys of more than ``limit`` rows (``hot_limit``: a bounded number of keys) travel to the rows, so
-    that no task meets all rows of one of them; the other keys are joined by shuffle.
+    that no task meets all rows of one of them; the other keys are joined by shuffle. Without such
+    keys it is a plain join.
     """
+    if table.filter(F.col("n_rows") > limit).isEmpty():
+        return rows.join(table.drop("n_rows"), keys, how)
     hot = F.broadcast(table.filter(F.col("n_rows") > limit).drop("n_rows"))
     rest = rows.join(F.broadcast(table.filter(F.col("n_rows") > limit).select(*keys)), keys, "left_anti")
     return rows.join(hot, keys).unionByName(rest.join(table.filter(F.col("n_rows") <= limit).drop("n_rows"), keys, how))
 
 
 def _star(edges: DataFrame, small: bool, limit: int) -> DataFrame:
-    """Hang each node's neighbours on its least neighbour: the larger ones, or it and the smaller ones."""
+    """Hang each node's neighbours on its least neighbour: the larger ones, or it and the smaller ones.
+    Written, so that plans stay short."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n_rows"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n_rows")), "least")
     joined = split_join(both, least, ["a"], limit)
     if small:
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     else:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.filter("a > b").distinct()
+    return materialize(moved.filter("a > b").distinct(), "edges")
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -58,7 +63,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if _settled(now):
             break
         limit = hot_limit(now.count())
-        now = materialize(_star(_star(now, False, limit), True, limit), "edges")
+        now = _star(_star(now, False, limit), True, limit)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

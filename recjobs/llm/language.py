@@ -64,6 +64,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
+    """Which texts hold a letter of any script; nulls hold none."""
     texts = Texts(column)
     found = np.zeros(len(texts), bool)
     doc = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
@@ -74,6 +75,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 150, rate: float = 20.0, l2: float = 1e-5) -> np.ndarray:
+    """Weights of a softmax regression by gradient steps, classes weighing the same."""
     w = np.zeros((x.shape[1], classes), np.float32)
     target = np.eye(classes, dtype=np.float32)[y] / np.maximum(np.bincount(y, minlength=classes), 1)[y][:, None] / classes
     weight = target.sum(1, keepdims=True)
@@ -162,8 +164,12 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     if not found:
         return None
     found.sort(key=lambda r: (r.lang, r.x))
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in found]).astype(np.float32)
-    return LanguageModel(x, np.array([r.lang for r in found], object))
+    x = np.empty((len(found), BUCKETS), np.float32)
+    for k, r in enumerate(found):
+        x[k] = np.frombuffer(r.x, np.float16)
+    langs = np.array([r.lang for r in found], object)
+    del found
+    return LanguageModel(x, langs)
 
 
 def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:

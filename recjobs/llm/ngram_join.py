@@ -5,15 +5,18 @@
    d = floor(|A| * (1 - t) / t) shingles for the smaller set A, so if shingles are dealt by hash
    into more than d parts, one part at least is equal in both. Each class is filed under its parts.
    Shingles that are frequent in the corpus (a fixed-size counting sketch over all documents tells)
-   share one part, which is not filed: a common passage alone brings nothing together. Classes filed
-   together meet in a signature tree of their bitmaps, and those whose largest possible overlap is
-   enough are joined to clusters (connected components on Spark).
-3. Each cluster is dealt into chunks of bounded size; a chunk becomes a signature tree whose nodes
-   hold the OR of their sets' token bitmaps and their size range. A dual traversal drops the node
-   pairs whose largest possible overlap is too small, or that are linked already; what is left at
-   the leaves is counted exactly.
-4. Clusters of several chunks are contracted by rounds (one set per component goes on), and then
-   every pair of chunks that still holds two components is traversed, so that no link is lost.
+   share one part, which is not filed: a common passage alone brings nothing together. Sets of
+   mostly frequent shingles are filed by their first shingles besides, the frequent ones last.
+   Classes filed together meet in a signature tree of their bitmaps, and those whose largest possible
+   overlap is enough are joined to clusters (connected components on Spark).
+3. Sets under a key of more than CHUNK_SETS are filed again by their rarest shingles, rarity being
+   counted exactly among these sets: what they share beside a common passage brings them together.
+4. A cluster of bounded size becomes one signature tree whose nodes hold the OR of their sets' token
+   bitmaps and their size range. A dual traversal drops the node pairs whose largest possible overlap
+   is too small, or that are linked already; what is left at the leaves is counted exactly.
+5. Larger clusters are ordered by a min-hash and cut into chunks, by rounds with other min-hashes (one
+   set per component goes on); then every pair of chunks that may hold a link between two components
+   is traversed, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -25,17 +28,22 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
-from recjobs.llm.components import connected_components
+from recjobs.llm.components import connected_components, hot_limit, split_join
 from recjobs.llm.textvec import mix, shingles, slices
 
 _U = np.uint64
 SKETCH_BITS = 20  # counters of the frequency sketch: its size doesn't grow with the corpus
 HEAVY_TIMES = 8.0  # a counter this many times the mean holds a frequent shingle
+SKETCH_GROUPS = 8  # partial sums of the sketch, before the last one
 CHUNK_SETS = 512
 CHUNK_TOKENS = 400_000
+FILED_ONCE = 20_000
+PAIR_TIMES = 4  # chunks that are met pair by pair are so many times larger, as each travels to many
+ROUNDS = 3
 FANOUT = 8
 
 
@@ -59,18 +67,20 @@ def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
         if found:
             counts += np.bincount(np.concatenate(found), minlength=size)
         at = np.arange(0, size, block)
-        yield pa.RecordBatch.from_arrays([pa.array(at // block, pa.int32()), pa.array([counts[i : i + block].tobytes() for i in at], pa.binary())], ["block", "counts"])
+        group = TaskContext.get().partitionId() % SKETCH_GROUPS
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(at), pa.int32()), pa.array(at // block, pa.int32()), pa.array([counts[i : i + block].tobytes() for i in at], pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[b] = sums.get(b, 0) + np.frombuffer(c, np.int64)
+            for g, b, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                sums[g, b] = sums.get((g, b), 0) + np.frombuffer(c, np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], names)
 
-    schema = "block int, counts binary"
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    names, schema = ["group", "block", "counts"], "group int, block int, counts binary"
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition("group", "block").mapInArrow(add, schema)
+    rows = rows.withColumn("group", F.lit(0)).repartition("block").mapInArrow(add, schema)
     counts = np.zeros(size, np.int64)
     for row in rows.toLocalIterator():  # 2**SKETCH_BITS counters, whatever the corpus
         counts[row.block * block : (row.block + 1) * block] = np.frombuffer(row.counts, np.int64)
@@ -78,8 +88,8 @@ def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
 
 class Parts:
-    """How sets are dealt into parts, by size level. Levels grow by half; a set is also filed one
-    level down where a partner could be that small."""
+    """How sets are dealt into parts, by size level. Levels grow by half; a set is also filed at every
+    lower level that a partner may have."""
 
     def __init__(self, threshold: Fraction):
         self.t = threshold
@@ -88,9 +98,8 @@ class Parts:
             self.floors.append(max(self.floors[-1] + 1, math.ceil(self.floors[-1] * 1.5)))
 
     def levels(self, n: int) -> list[int]:
-        level = int(np.searchsorted(self.floors, n, side="right")) - 1
-        lower = level > 0 and math.ceil(self.t * n) < self.floors[level]
-        return [level - 1, level] if lower else [level]
+        least, most = np.searchsorted(self.floors, [max(1, math.ceil(self.t * n)), n], side="right") - 1
+        return list(range(int(least), int(most) + 1))
 
     def differing(self, level: int) -> int:
         smaller = self.floors[level + 1] - 1
@@ -99,28 +108,25 @@ class Parts:
     def keys(self, m: np.ndarray, heavy: np.ndarray) -> np.ndarray:
         """Keys under which a set (of mixed hashes) is filed: two sets that are similar enough share
         one at least."""
-        out = [np.empty(0, _U)]
+        out, few = [np.empty(0, _U)], False
         light = m[~heavy] if heavy.any() else m
         for level in self.levels(len(m)):
             d = self.differing(level)
             if d < 1:  # only equal sets
                 continue
             spare = 1 + d // 6  # parts that may be empty
-            parts = d + 1 + spare
             # one more part holds all frequent shingles: it may differ, so d + 1 + spare others do
-            keys, empty = self._filed(light, parts, 4 * level)
+            keys, empty = self._filed(light, d + 1 + spare, level)
             out.append(keys)
-            if empty > spare:  # mostly frequent shingles: filed by all of them besides
-                keys, empty = self._filed(m, parts, 4 * level + 1)
-                out.append(keys)
-                if empty > spare:  # meets others of this kind by its first shingles, the frequent ones last
-                    out.append(self._prefix(m, heavy, 4 * level + 2))
+            few |= empty > spare
+        if few:  # meets others of this kind by its first shingles, the frequent ones last
+            out.append(self._prefix(m, heavy))
         return np.concatenate(out)
 
-    def _prefix(self, m: np.ndarray, heavy: np.ndarray, salt: int) -> np.ndarray:
+    def _prefix(self, m: np.ndarray, heavy: np.ndarray) -> np.ndarray:
         """Similar sets share one of their first shingles in any common order (prefix filter)."""
         first = np.lexsort((m, heavy))[: len(m) - math.ceil(self.t * len(m)) + 1]
-        return mix(m[first] + _U(salt))
+        return mix(m[first] ^ _U(0x9E3779B97F4A7C15))
 
     @staticmethod
     def _filed(m: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, int]:
@@ -134,27 +140,49 @@ class Parts:
         return mix(sums ^ mix(part[at].astype(_U) * _U(1024) + _U(salt))), parts - len(at)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: Fraction) -> DataFrame:
-    """``(doc_id, n_shingles, fp1, fp2, keys, bitmap)`` of every document; fp1 and fp2 tell equal sets."""
-    heavy_bits, parts = _sketch(docs, text_col, k), Parts(threshold)
+def _mixed(u: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The shingles mixed, and two fingerprints of their set."""
+    m = mix(u ^ _U(0x5851F42D4C957F2D))
+    xor = np.bitwise_xor.reduce(m) if len(m) else _U(0)
+    return m, int(m.sum(dtype=_U).astype(np.int64)), int(xor.astype(np.int64))
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, n_shingles, fp1, fp2, bitmap)``; fp1 and fp2 tell equal sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.unpackbits(heavy_bits).astype(bool)
         for batch in batches:
             for part in slices(batch):
-                ns, f1, f2, keys, maps = [], [], [], [], []
+                ns, f1, f2, maps = [], [], [], []
                 for u in shingles(part.column(1), k):
-                    m = mix(u ^ _U(0x5851F42D4C957F2D))
+                    _, one, two = _mixed(u)
                     ns.append(len(u))
+                    f1.append(one)
+                    f2.append(two)
                     maps.append(_bitmap(u, 1 << min(12, max(8, (2 * len(u)).bit_length()))).tobytes())
-                    f1.append(m.sum(dtype=_U))
-                    f2.append(np.bitwise_xor.reduce(m) if len(m) else _U(0))
-                    keys.append(parts.keys(m, heavy[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(np.array(f1, _U).view(np.int64)), pa.array(np.array(f2, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, _U), *keys]).view(np.int64))), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "keys", "bitmap"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in (ns, f1, f2)), pa.array(maps, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "bitmap"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>, bitmap binary")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bitmap binary")
+
+
+def _filed(docs: DataFrame, k: int, t: Fraction, heavy_bits: np.ndarray, copied: dict[tuple[int, int], int]) -> DataFrame:
+    """``(key, doc_id)``: the keys that each document is filed under. Of the sets in ``copied``, which
+    very many documents have, only the one named is filed."""
+    parts = Parts(t)
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = np.unpackbits(heavy_bits).astype(bool)
+        for batch in batches:
+            for part in slices(batch):
+                ids, held, keys = part.column(0).to_numpy(), [], [np.empty(0, _U)]
+                for doc, u in zip(ids.tolist(), shingles(part.column(1), k)):
+                    m, one, two = _mixed(u)
+                    filed = len(u) and copied.get((one, two), doc) == doc
+                    keys.append(parts.keys(m, heavy[(u >> _U(64 - SKETCH_BITS)).astype(np.int64)]) if filed else keys[0])
+                    held.append(len(keys[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, held))], ["key", "doc_id"])
+
+    return docs.filter("doc_id is not null").mapInArrow(file, "key long, doc_id long")
 
 
 # ---------------------------------------------------------------- the tree
@@ -289,30 +317,29 @@ def _join_chunk(t: Fraction, ids: np.ndarray, tokens: list[bytes]) -> tuple[np.n
 
 
 def _join_chunks(sets: DataFrame, t: Fraction) -> DataFrame:
-    """``(a, b, several)``: star edges of the components within each chunk of ``sets``; ``several``
-    tells clusters of more than one chunk. Chunks are bounded, and met one after the other."""
+    """``(a, b)``: star edges of the components within chunks of ``sets(cluster, set_id, tokens)``: the
+    rows come in order, and a chunk ends with its cluster or its bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, tokens = None, [], []
+        key, ids, tokens, size = None, [], [], 0
 
         def joined() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
                 a, b = _join_chunk(t, np.array(ids, np.int64), tokens)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([key[2] > 1] * len(a))], ["a", "b", "several"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for *now, set_id, data in zip(*columns):
-                if now != key:
+            for now, set_id, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if now != key or len(ids) == CHUNK_SETS or ids and size + len(data) > 8 * CHUNK_TOKENS:
                     yield from joined()
-                    key, ids, tokens = now, [], []
+                    key, ids, tokens, size = now, [], [], 0
                 ids.append(set_id)
                 tokens.append(data)
+                size += len(data)
         yield from joined()
 
-    dealt = sets.select("cluster", "chunk", "chunks", "set_id", "tokens").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk")
-    return materialize(dealt.mapInArrow(run, "a long, b long, several boolean"), "links")
+    return materialize(sets.select("cluster", "set_id", "tokens").mapInArrow(run, "a long, b long"), "links")
 
 
 def _join_two(t: Fraction):
@@ -334,19 +361,52 @@ def _join_two(t: Fraction):
 # ---------------------------------------------------------------- the join
 
 
-def _chunked(sets: DataFrame, *by: str) -> DataFrame:
-    """Deal each cluster's sets into chunks of bounded number and size, by a hash of the id."""
-    sizes = sets.groupBy(*by).agg(F.count("*").alias("n_sets"), F.sum("n_shingles").alias("n_tokens"))
-    chunks = F.greatest(F.ceil(F.col("n_sets") / CHUNK_SETS), F.ceil(F.col("n_tokens") / CHUNK_TOKENS), F.lit(1))
-    return sets.join(sizes.select(*by, chunks.cast("long").alias("chunks")), list(by)).withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(7)), "chunks"))
+def _candidates(met: DataFrame, t: Fraction, chain: bool) -> DataFrame:
+    """Edges ``(a, b)`` that connect all sets that may be linked, from ``met(key, set_id, n_shingles,
+    bitmap)``: of those filed under one key, the ones whose bitmaps leave room for enough overlap. Of
+    more than CHUNK_SETS under one key, each is connected to one (``chain``), or named with a null b."""
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, many = None, [], False
+
+        def joined() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2 and not many:
+                return
+            if many:
+                a, b = np.array([r[0] for r in rows]), np.full(len(rows), rows[0][0])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b) if chain else pa.nulls(len(a), pa.int64())], ["a", "b"])
+                return
+            rows.sort(key=lambda r: (r[1], r[0]))
+            ids, maps = np.array([r[0] for r in rows]), [np.frombuffer(r[2], _U) for r in rows]
+            words = min(map(len, maps))
+            tree = SignatureTree(np.stack([_folded(m, words) for m in maps]), np.array([r[1] for r in rows], np.int64))
+            pairs = list(dual_traversal(t, tree, tree, np.arange(len(rows)), 0))
+            if pairs:
+                a, b = ids[[p[0] for p in pairs]], ids[[p[1] for p in pairs]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for now, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now != key:
+                    yield from joined()
+                    key, rows, many = now, [], False
+                if rows and rows[-1][0] == row[0] and rows[-1][2] == row[2]:  # copies
+                    continue
+                rows.append(row)
+                if len(rows) > CHUNK_SETS:  # of so many, part by part
+                    many = True
+                    yield from joined()
+                    rows = rows[:1]
+        yield from joined()
+
+    ordered = met.select("key", "set_id", "n_shingles", "bitmap").repartition("key").sortWithinPartitions("key", "set_id")
+    return ordered.mapInArrow(connect, "a long, b long").filter("b is null or a > b").distinct()
 
 
-def _candidates(sets: DataFrame, t: Fraction) -> DataFrame:
-    """Edges ``(a, b)`` that connect all sets that may be linked: of those filed under one key, the
-    ones whose bitmaps leave room for enough overlap; of more than CHUNK_SETS under one key, all."""
+def _several(filed: DataFrame) -> DataFrame:
+    """The rows of keys that have more than one."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by key: those of keys that have several."""
         held_key = held_id = np.empty(0, np.int64)
         told = False  # whether the last row of the batch before is out already
         for batch in batches:
@@ -364,122 +424,140 @@ def _candidates(sets: DataFrame, t: Fraction) -> DataFrame:
             held_key, held_id, told = keys[-1:], ids[-1:], told_now
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "set_id"])
 
-    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, many = None, [], False
+    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, set_id long")
 
-        def joined() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            if many:
-                a, b = np.array([r[0] for r in rows]), np.full(len(rows), rows[0][0])
-            else:
-                rows.sort(key=lambda r: (r[1], r[0]))
-                ids, maps = np.array([r[0] for r in rows]), [np.frombuffer(r[2], _U) for r in rows]
-                words = min(map(len, maps))
-                tree = SignatureTree(np.stack([_folded(m, words) for m in maps]), np.array([r[1] for r in rows], np.int64))
-                pairs = list(dual_traversal(t, tree, tree, np.arange(len(rows)), 0))
-                a, b = ids[[p[0] for p in pairs]], ids[[p[1] for p in pairs]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
+def _refiled(docs: DataFrame, sets: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """``(key, set_id)``: the sets named filed again, each by its rarest shingles (how many of these
+    sets hold a shingle is counted exactly); shingles that only one of them holds bring nothing together."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for now, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if now != key:
-                    yield from joined()
-                    key, rows, many = now, [], False
-                rows.append(row)
-                if len(rows) > CHUNK_SETS:  # of so many, all are connected to one, part by part
-                    many = True
-                    yield from joined()
-                    rows = rows[:1]
-        yield from joined()
+            for part in slices(batch):
+                found = list(shingles(part.column(1), k))
+                n = np.array([len(u) for u in found], np.int64)
+                marks = np.array([_mixed(u)[1] for u in found], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, _U), *found]).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(marks, n)), pa.array(np.repeat(n, n))], ["shingle", "set_id", "mark", "n"])
 
-    filed = sets.select(F.explode("keys").alias("key"), "set_id").repartition("key").sortWithinPartitions("key")
-    several = filed.mapInArrow(shared, "key long, set_id long")
-    met = several.join(sets.select("set_id", "n_shingles", "bitmap").hint("merge"), "set_id").select("key", "set_id", "n_shingles", "bitmap")
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(connect, "a long, b long").filter("a > b").distinct()
+    texts = docs.join(sets.select(F.col("set_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    rows = materialize(texts.select("doc_id", "text").mapInArrow(cells, "shingle long, set_id long, mark long, n long").distinct(), "cells")
+    held = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "held")
+    rare = split_join(rows, held.withColumn("n_sets", F.col("n_rows")), ["shingle"], hot_limit(rows.count()))
+    first = rare.groupBy("set_id", "mark").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("n_sets", "shingle"))).alias("shared"))
+    # of the whole set's first shingles, those that it shares with others
+    take = F.expr(f"cast(size(shared) - (n * {t.numerator} + {t.denominator - 1}) div {t.denominator} + 1 as int)")
+    return first.withColumn("take", take).filter("take > 0").select(F.explode(F.slice("shared", 1, F.col("take"))).alias("x"), "set_id").select(F.col("x.shingle").alias("key"), "set_id").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose k-word shingle sets have a Jaccard similarity of ``threshold``.
 
-    Returns ``(doc_id, n_shingles, component_id, set_id)``: the size of the set, the least id
-    reachable by links, the least id with an equal set. Null, empty and blank texts have no shingle
-    and are linked with nothing (their own id); a text of fewer than k words has one shingle. Ids
-    must be unique; other columns, whatever their names, are ignored. An empty table gives no rows.
+    Returns ``(doc_id, n_shingles, component_id, set_id)`` for each row: the size of the set, the least
+    id reachable by links, the least id with an equal set. Null, empty and blank texts have no shingle
+    and are linked with nothing (their own id); a text of fewer than k words has one shingle. Rows that
+    repeat an id are one document: what is linked with one of its texts is linked with all. Rows
+    without an id are linked with nothing, their component is null. Other columns, whatever their
+    names, are ignored. An empty table gives no rows.
     """
     t = Fraction(threshold).limit_denominator(10_000)
-    spark = docs.sparkSession
-    signed = materialize(signatures(docs, id_col, text_col, k, t), "signatures")
-    sets = signed.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("set_id"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
-    sets = materialize(sets, "sets")
-
-    edges = _candidates(sets, t)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = materialize(signatures(source, k), "signatures")
+    limit = hot_limit(signed.count())
+    equal = ["fp1", "fp2", "n_shingles"]
+    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*equal).agg(F.min("doc_id").alias("set_id"), F.count("*").alias("n_rows"))
+    classes = materialize(classes, "classes")
+    # of sets of many copies (at most FILED_ONCE sets) one document alone is filed; copies of the others go later
+    often = classes.filter(F.col("n_rows") > F.lit(max(8, signed.count() // FILED_ONCE)))
+    copied = {(r.fp1, r.fp2): r.set_id for r in often.collect()}
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("set_id"))
+    signed = materialize(split_join(signed.filter("n_shingles > 0 and doc_id is not null"), classes, equal, limit).select("doc_id", "n_shingles", "set_id", "bitmap"), "signed")
+
+    bitmaps = signed.filter("doc_id = set_id").select("set_id", "n_shingles", "bitmap")
+
+    def met(filed: DataFrame) -> DataFrame:
+        return _several(filed.select("key", "set_id")).join(bitmaps.hint("merge"), "set_id").select("key", "set_id", "n_shingles", "bitmap")
+
+    filed = _several(_filed(source, k, t, _sketch(source, "text", k), copied).withColumnRenamed("doc_id", "set_id"))
+    # copies of a set are one: what its documents are filed under counts once
+    filed = filed.withColumnRenamed("set_id", "doc_id").join(signed.select("doc_id", "set_id").hint("merge"), "doc_id").select("key", "set_id").distinct()
+    edges = materialize(_candidates(met(filed), t, chain=False), "candidates")
+    large = materialize(edges.filter("b is null").select(F.col("a").alias("set_id")).distinct(), "large")
+    edges = edges.filter("b is not null")
+    if not large.isEmpty():
+        edges = edges.unionByName(materialize(_candidates(met(_refiled(source, large, k, t)), t, chain=True), "candidates"))
     clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = [_U(0xA0761D6478BD642F * (r + 1) & (1 << 64) - 1) for r in range(ROUNDS)]
         for batch in batches:
             for part in slices(batch):
                 found = list(shingles(part.column(2), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())], ["set_id", "cluster", "n_shingles", "tokens"])
+                near = [[int(mix(u ^ s).min().astype(np.int64)) if len(u) else 0 for s in salts] for u in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary()), pa.array(near, pa.list_(pa.int64()))], ["set_id", "cluster", "n_shingles", "tokens", "near"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text"))
     # a sort-merge join at every size: the candidates grow with the corpus, so they are never broadcast
-    members = texts.join(clusters.hint("merge"), "set_id").select("set_id", "cluster", "text").mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary")
-    members = materialize(members, "members")
-
-    # every chunk for itself: clusters of one chunk are done
-    active = _chunked(members, "cluster")
-    found = _join_chunks(active, t)
-    joined = found.filter("not several").select(F.col("a").alias("set_id"), F.col("b").alias("component_id"))
-    active = materialize(active.filter("chunks > 1"), "several")
-    n = active.count()
-    if n:
-        large, links = active.select("cluster").distinct(), found.filter("several").select("a", "b")
-        # one set of each component goes on to chunks of its cluster cut anew, while that helps
-        for _ in range(8):
-            left = active.select("cluster", "set_id", "n_shingles", "tokens").join(found.select(F.col("a").alias("set_id")), "set_id", "left_anti")
-            active = materialize(_chunked(left, "cluster"), "representatives")
-            n, before = active.count(), n
-            found = _join_chunks(active, t)
-            links = links.unionByName(found.select("a", "b"))
-            active = active.filter("chunks > 1")
-            if n > 0.8 * before or active.isEmpty():
-                break
-        component = materialize(connected_components(links).filter("node > component").select(F.col("node").alias("set_id"), "component"), "components")
-        bridges = _across(members, large, component, t)
-        if not bridges.isEmpty():  # components are joined further: a graph of components alone
-            top = connected_components(bridges)
-            component = component.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("set_id", F.coalesce("top", "component").alias("component"))
-            own = top.filter("node > component").select(F.col("node").alias("set_id"), "component")
-            component = component.unionByName(own)
-        joined = joined.unionByName(component.select("set_id", F.col("component").alias("component_id")))
-
-    classes = sets.join(joined, "set_id", "left").select("fp1", "fp2", "n_shingles", "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
-    linked = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["fp1", "fp2", "n_shingles"], "left")
-    return linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
-
-
-def _across(members: DataFrame, clusters: DataFrame, component: DataFrame, t: Fraction) -> DataFrame:
-    """Links ``(a, b)`` of components, between chunks of the given clusters that are not all of one yet.
-
-    Chunks are cut anew so that large components have chunks of their own; two chunks of one
-    component are not compared.
+    members = source.withColumnRenamed("doc_id", "set_id").join(clusters.hint("merge"), "set_id").select("set_id", "cluster", "text")
+    members = materialize(members.mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary, near array<long>").filter("n_shingles > 0"), "members")
+
+    # clusters of one chunk are done at once
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n_rows"), (F.count("*") > CHUNK_SETS).alias("many"), (F.sum("n_shingles") > CHUNK_TOKENS).alias("long"))
+    sizes = materialize(sizes.select("cluster", "n_rows", F.expr("many or long").alias("large")), "sizes")
+    sized = split_join(members, sizes, ["cluster"], hot_limit(members.count()))
+    links = _join_chunks(sized.filter("not large").repartition("cluster").sortWithinPartitions("cluster"), t)
+    if not sizes.filter("large").isEmpty():
+        links = links.unionByName(_join_large(materialize(sized.filter("large"), "large"), t))
+    # rows of one id are one document
+    ids = signed.select("doc_id", "set_id").distinct()
+    several = ids.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("most")).filter("b < most").select("doc_id", "b")
+    same = ids.join(several, "doc_id").select(F.col("set_id").alias("a"), "b")
+    joined = connected_components(links.unionByName(same)).select(F.col("node").alias("set_id"), F.col("component").alias("component_id"))
+    found = signed.groupBy("set_id").agg(F.count("*").alias("n_rows")).join(joined, "set_id", "left").select("set_id", "n_rows", F.coalesce("component_id", "set_id").alias("component_id"))
+    linked = split_join(signed.select("doc_id", "n_shingles", "set_id"), materialize(found, "found"), ["set_id"], limit)
+    return linked.select("doc_id", "n_shingles", "component_id", "set_id").unionByName(alone)
+
+
+def _join_large(members: DataFrame, t: Fraction) -> DataFrame:
+    """Links ``(a, b)`` that connect what is linked within clusters of many sets."""
+    active, links, n = members, None, members.count()
+    # one set of each component goes on to chunks in another order, while that helps
+    for r in range(ROUNDS):
+        order = ["cluster", F.get("near", F.lit(r)), "set_id"]
+        found = _join_chunks(active.repartitionByRange(*order).sortWithinPartitions(*order), t)
+        links = found if links is None else links.unionByName(found)
+        active = materialize(active.join(found.select(F.col("a").alias("set_id")), "set_id", "left_anti"), "representatives")
+        n, before = active.count(), n
+        if n > 0.9 * before:
+            break
+    component = materialize(connected_components(links).filter("node > component").select(F.col("node").alias("set_id"), "component"), "components")
+    return links.unionByName(_across(members, component, t))
+
+
+def _across(members: DataFrame, component: DataFrame, t: Fraction) -> DataFrame:
+    """Links ``(a, b)`` of components, between chunks of a cluster that are not all of one yet.
+
+    Large components have chunks of their own, and two chunks of one component are not compared; the
+    other sets are dealt by size, and chunks whose sizes can't reach the threshold aren't compared.
     """
-    sets = members.join(clusters, "cluster", "left_semi")
-    sets = sets.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    sizes = sets.groupBy("cluster", "component").agg(F.count("*").alias("size"))
-    sets = sets.join(sizes.withColumn("part", F.when(F.col("size") >= CHUNK_SETS, F.col("component")).otherwise(-1)), ["cluster", "component"])
-    sets = materialize(_chunked(sets.drop("size"), "cluster", "part"), "parts")
+    limit = hot_limit(members.count())
+    sets = members.select("cluster", "set_id", "n_shingles", "tokens").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    own = sets.groupBy("cluster", "component").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= CHUNK_SETS).withColumn("own", F.lit(True))
+    sets = split_join(sets, materialize(own, "own"), ["cluster", "component"], limit, "left")
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(max(float(1 / t), 1.1)))
+    part = F.when(F.col("own"), F.concat(F.lit("own "), F.col("component"))).otherwise(F.concat(F.lit("size "), level))
+    sets = materialize(sets.select("cluster", part.alias("part"), "set_id", "component", "n_shingles", "tokens"), "parted")
+    by = ["cluster", "part"]
+    many = sets.groupBy(*by).agg(F.count("*").alias("n_rows"), F.sum("n_shingles").alias("n_tokens"))
+    chunks = F.greatest(F.ceil(F.col("n_rows") / (PAIR_TIMES * CHUNK_SETS)), F.ceil(F.col("n_tokens") / (PAIR_TIMES * CHUNK_TOKENS)), F.lit(1)).cast("long")
+    sets = split_join(sets, materialize(many.select(*by, "n_rows", chunks.alias("chunks")), "chunks"), by, limit)
+    sets = materialize(sets.withColumn("chunk", F.pmod(F.xxhash64("set_id", F.lit(7)), "chunks")), "parts")
     chunk = sets.groupBy("cluster", "part", "chunk").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     x, y = (chunk.select("cluster", *(F.col(c).alias(c + s) for c in ("part", "chunk", "lo", "hi"))) for s in "xy")
     fits = (F.col("hix") * t.denominator >= F.col("loy") * t.numerator) & (F.col("hiy") * t.denominator >= F.col("lox") * t.numerator)
-    pairs = x.join(y, "cluster").filter("(partx < party or partx = party and partx = -1 and chunkx <= chunky)").filter(fits)
-    pairs = pairs.select("cluster", "partx", "chunkx", "party", "chunky")
+    pairs = x.join(y, "cluster").filter("(partx < party or partx = party and partx like 'size%' and chunkx <= chunky)").filter(fits)
     keys = ["cluster", "partx", "chunkx", "party", "chunky"]
-    rows = None
+    pairs, rows = materialize(pairs.select(*keys), "pairs"), None
     for side, s in enumerate("xy"):
-        own = sets.select("cluster", F.col("part").alias("part" + s), F.col("chunk").alias("chunk" + s), "set_id", "component", "n_shingles", "tokens")
+        own = sets.select("cluster", F.col("part").alias("part" + s), F.col("chunk").alias("chunk" + s), "set_id", "component", "tokens")
         own = pairs.join(own, ["cluster", "part" + s, "chunk" + s]).select(*keys, F.lit(side).alias("side"), "set_id", "component", "tokens")
         rows = own if rows is None else rows.unionByName(own)
     return materialize(rows.groupBy(*keys).applyInPandas(_join_two(t), "a long, b long"), "links")

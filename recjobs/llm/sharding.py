@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from recjobs.functions.storage import new_folder
+from recjobs.functions.storage import materialize, new_folder
 
 SLOTS = 8192  # virtual slots: fixed, whatever the number of records or shards
 RECORD_BYTES = 16  # of each record besides its text
 
 
-def virtual_slot(key: str, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(slots))
+def virtual_slot(*keys: str, slots: int = SLOTS) -> Column:
+    """The slot of a record: a hash of its keys, nulls among them."""
+    return F.pmod(F.xxhash64(*keys), F.lit(slots))
 
 
 def slot_bytes(sized: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -71,14 +72,15 @@ def shard_by_slots(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     The law is ``bytes``: shards are near equal in bytes, as far as single slots allow. ``slot`` is
     the record's place in its shard, from 0 without a gap; grown_shard is null. A null text has 16
-    bytes and the checksum of no bytes; records without an id share a slot; repeated rows have
+    bytes and the checksum of no bytes; records without an id are dealt by what else they have; repeated rows have
     places of their own; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"), F.crc32(text).alias("text_crc32"))
-    sized = sized.withColumn("vslot", virtual_slot("doc_id", slots))
-    sizes = slot_bytes(sized, slots)
+    # the law is by bytes, so any fixed property may deal the records; an id that repeats, or none, is no hot slot
+    sized = sized.withColumn("vslot", virtual_slot("doc_id", "size", "text_crc32", slots=slots))
+    sizes = materialize(slot_bytes(sized, slots), "sizes")
 
     folder = new_folder(spark, "slot-map")
     version_1 = store_map(first_map(spark, shards, slots), folder, 1)

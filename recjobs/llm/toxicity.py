@@ -120,6 +120,7 @@ class Channel:
 
 
 def letter_runs(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters: starts, ends, and each text's first run."""
     return texts.ranges(_LETTER[texts.bytes])
 
 

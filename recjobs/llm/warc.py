@@ -32,6 +32,7 @@ class WarcError(ValueError):
 
 
 def digest(data: bytes) -> str:
+    """Base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
@@ -81,6 +82,7 @@ def members(source) -> Iterator[Iterator[bytes]]:
 
 
 def headers(text: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; the first line is left out."""
     lines = text.decode().split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
