@@ -17,11 +17,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkIds:
-    """Ids of distinct strings by ``learn`` (strings -> lists of ids), each asked for once while it is
-    remembered. What is held is bounded in bytes; beyond that the store starts anew."""
+    """Ids of distinct strings by ``learn`` (strings -> all ids, and how many each has), each asked for
+    once while it is remembered. What is held is bounded in bytes; beyond that the store starts anew."""
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = CACHE_BYTES):
+        self.learn, self.most = learn, most
         self._forget()
 
     def _forget(self) -> None:
@@ -31,16 +31,15 @@ class ChunkIds:
 
     def gather(self, chunks: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of ``chunks[code]`` one after the other, and how many each has; ``chunks`` are distinct."""
-        if self.bytes > CACHE_BYTES:
+        if self.bytes > self.most:
             self._forget()
         at = np.array([self.known.get(c, -1) for c in chunks], np.int64)
         new = np.flatnonzero(at < 0)
         words = [chunks[i] for i in new.tolist()]
-        found = self.learn(words)
-        n = np.array([len(x) for x in found], np.int64)
+        ids, n = self.learn(words)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
         self.lengths = np.concatenate([self.lengths, n])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        self.ids = np.concatenate([self.ids, ids])
         at[new] = np.arange(len(self.starts) - len(n), len(self.starts))
         self.known.update((w, k) for w, k in zip(words, at[new].tolist()) if len(w) <= CHUNK_BYTES)
         self.bytes += sum(map(len, words)) + 140 * len(words) + 4 * int(n.sum())
@@ -49,6 +48,11 @@ class ChunkIds:
         return self.ids[ragged(self.starts[where], n)], n
 
 
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and how many each list has."""
+    return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+
 def counts_of(lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``lengths`` between ``offsets`` (of texts among their chunks)."""
     return np.diff(np.concatenate([[0], np.cumsum(lengths)])[offsets])

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from recjobs.llm.chunks import ChunkIds, counts_of
+from recjobs.llm.chunks import ChunkIds, counts_of, flat
 from recjobs.llm.textvec import Texts, slices
 
 SLICE_BYTES = 1 << 20  # of text at a time
@@ -132,7 +132,7 @@ class PieceEncoder:
         found = [self.normalizer.normalize(t) for t in texts.to_pylist()]
         return pa.array([d.decode() for d, _ in found], pa.large_string()), [s for _, s in found]
 
-    def _learn(self, segments: list[str]) -> list[list[int]]:
+    def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the model puts one blank before each text; a segment after a line break has none
         cut = [s[0] != " " for s in segments]
         out = []
@@ -140,7 +140,7 @@ class PieceEncoder:
             part = list(zip(segments[a : a + 10_000], cut[a : a + 10_000]))
             found = self.model.encode(["\n" + s if c else s[1:] for s, c in part], num_threads=1)
             out += [ids[2:] if c else ids if s != " " else self.model.encode(BLANK + "a")[:1] for (s, c), ids in zip(part, found)]
-        return out
+        return flat(out)
 
     def _by_segment(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = Texts(texts)

@@ -14,21 +14,25 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.storage import materialize, new_folder
+from recjobs.llm.chunks import ChunkIds, counts_of, flat
 from recjobs.llm.files import create, open_file
-from recjobs.llm.textvec import slices
+from recjobs.llm.textvec import LOWER, Texts, slices
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
-CACHE_CHUNKS = 1_200_000  # about 250 MB
+SLICE_BYTES = 4 << 20  # of text at a time
+CACHE_BYTES = 96 << 20  # of chunks and their ids that a worker remembers
 FOOTER = struct.Struct("<QQQQB7x8s")  # document table's place and length, index's place, number of blocks, bits a plane
 
 
 def block_type(planes: int) -> np.dtype:
+    """An entry of the block index."""
     return np.dtype([("offset", "<u8"), ("n_ids", "<u4"), ("lengths", "<u4", (planes,))])
 
 
@@ -41,6 +45,7 @@ def to_planes(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def from_planes(planes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """The ids that ``to_planes`` laid out."""
     if bits == 8:
         return np.ascontiguousarray(planes.T).view("<u4").ravel()
     by_bit = np.unpackbits(planes, axis=1, count=n).reshape(4, 8, n)
@@ -51,43 +56,45 @@ class PlaneWriter:
     def __init__(self, out, bits: int = 8, level: int = 3):
         self.out, self.bits, self.at = out, bits, 0
         self.pack = zstandard.ZstdCompressor(level=level).compress
-        self.index = np.empty(0, block_type(32 // bits))
-        self.held, self.n_held, self.docs, self.n_ids = [], 0, [], 0
+        self.index: list[np.ndarray] = []
+        self.held, self.n_held, self.docs, self.n_docs, self.n_ids = [], 0, [], 0, 0
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // 4))
+    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in turn: each has ``counts`` of ``ids``."""
+        self.docs.append(np.stack([doc_ids, counts], 1).astype("<i8"))
+        self.n_docs += len(doc_ids)
         self.held.append(ids)
-        self.n_held += len(ids) // 4
+        self.n_held += len(ids)
         if self.n_held >= BLOCK_IDS:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.concatenate([np.empty(0, "<u4"), *self.held])
         stop = len(ids) if last else len(ids) - len(ids) % BLOCK_IDS
         for a in range(0, stop, BLOCK_IDS):
             block = ids[a : a + BLOCK_IDS]
-            entry = np.zeros(1, self.index.dtype)
+            entry = np.zeros(1, block_type(32 // self.bits))
             entry["offset"], entry["n_ids"] = self.at, len(block)
             for k, plane in enumerate(to_planes(block, self.bits)):
                 packed = self.pack(plane.tobytes())
                 entry["lengths"][0, k] = len(packed)
                 self._put(packed)
-            self.index = np.append(self.index, entry)
+            self.index.append(entry)
         self.n_ids += stop
-        self.held, self.n_held = [ids[stop:].tobytes()], len(ids) - stop
+        self.held, self.n_held = [ids[stop:]], len(ids) - stop
 
     def close(self) -> None:
         self._flush(True)
-        table = self.pack(np.array(self.docs, "<i8").reshape(-1, 2).tobytes())
+        table = self.pack(np.concatenate([np.empty((0, 2), "<i8"), *self.docs]).tobytes())
         table_at = self.at
         self._put(table)
         index_at = self.at
-        self._put(self.index.tobytes())
+        self._put(b"".join(e.tobytes() for e in self.index))
         self._put(FOOTER.pack(table_at, len(table), index_at, len(self.index), self.bits, MAGIC))
         self.out.close()
 
@@ -130,31 +137,72 @@ class PlaneReader:
             yield doc_id, n, pieces(n)
 
 
+#: Bytes by how pre-tokens end: blanks (0), a-z (1), ASCII digits and marks but the apostrophe (2), all others (3)
+_KIND = np.full(256, 3, np.uint8)
+_KIND[33:127] = 2
+_KIND[97:123] = 1
+_KIND[ord("'")] = 3
+_KIND[[10, 32]] = 0
+
+
 class ChunkEncoder:
-    """Whole-text encoding by cached blank-free chunks.
+    """Whole-text encoding by cached chunks.
 
-    The tokenizer's pre-tokens never hold a blank, so a text's ids are those of its chunks in turn;
-    a chunk is given to the library once and then remembered.
+    The tokenizer lowers case, its pre-tokens never hold a blank, and one ends wherever a letter meets
+    a digit or mark (an apostrophe aside, which may start a contraction). So a text's ids are those of
+    the stretches between such places in turn. Arrow numbers the distinct ones of a slice; those not
+    seen before go to the library, and ids are gathered by numbers. A slice that may hold the name of a
+    special token is cut at blanks alone.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
-        if len(known) > CACHE_CHUNKS:
-            self.known = {"": b""} | dict(list(known.items())[-CACHE_CHUNKS // 2 :])
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+        self.chunks = ChunkIds(self._learn, CACHE_BYTES)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        parts = (texts[a : a + 10_000] for a in range(0, len(texts), 10_000))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a-z are one pre-token each, whose last id tells its end: they go together."""
+        words = [c for c in chunks if c.isascii() and c.isalpha() and c.islower()]
+        ids, _ = flat(self._encoded([" ".join(words[a : a + 500]) for a in range(0, len(words), 500)]))
+        n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(n) != len(words):  # not such a tokenizer
+            return flat(self._encoded(chunks))
+        if len(words) == len(chunks):
+            return ids, n
+        # the others one by one, each in its place
+        other, m = flat(self._encoded([c for c in chunks if not (c.isascii() and c.isalpha() and c.islower())]))
+        is_word = np.array([c.isascii() and c.isalpha() and c.islower() for c in chunks])
+        length = np.empty(len(chunks), np.int64)
+        length[is_word], length[~is_word] = n, m
+        out, own = np.empty(int(length.sum()), np.uint32), np.repeat(is_word, length)
+        out[own], out[~own] = ids, other
+        return out, length
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, and how many each text has; nulls count as empty."""
+        plain = Texts(texts)
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        data = plain.bytes if special else LOWER[plain.bytes]
+        kind = _KIND[data]
+        inside = kind > 0
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = (kind[:-1] == 0) | (not special) & ((kind[:-1] == 1) & (kind[1:] == 2) | (kind[:-1] == 2) & (kind[1:] == 1))
+        start[plain.offsets] = True
+        at = np.append(np.flatnonzero(start[:-1][inside]), inside.sum())
+        cut = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside])))
+        numbered = cut.dictionary_encode()
+        ids, n = self.chunks.gather(numbered.dictionary.to_pylist(), numbered.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(inside)])[plain.offsets]
+        return ids, counts_of(n, np.searchsorted(at, ends))
 
 
 @cache
@@ -172,17 +220,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, path = chunk_encoder(tokenizer_path), None, None
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
                 if writer is None:
                     out, path = create(folder, f"part-{TaskContext.get().partitionId():06d}")
                     writer = PlaneWriter(out, bits)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    writer.add(doc_id, ids + end)
+                ids, counts = encoder.encode(part.column(1))
+                writer.add(part.column(0).to_numpy(), counts + 1, np.insert(ids, np.cumsum(counts), np.uint32(end_id)))
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")

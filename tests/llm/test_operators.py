@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from recjobs.llm import decontaminate, language, line_dedup, ngram_join, pieces, quality, sharding, token_planes, toxicity, warc
+from recjobs.llm import components
 from recjobs.llm.components import connected_components
 from recjobs.llm.queries import tokenizer_path
 from recjobs.llm.textvec import Texts, shingles
@@ -168,8 +169,11 @@ def test_similar_sets_share_a_part():
                 assert set(a.tolist()) & set(b.tolist()) or set(u.tolist()) == set(v.tolist())
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 100), (7, 7), (200, 201), (201, 202), (300, 299)]
+@pytest.mark.parametrize("task_edges", [200_000, 4])
+def test_components(spark, monkeypatch, task_edges):
+    """In one task, and by rounds over tasks that contract a few edges at a time."""
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 100), (7, 7), (200, 201), (201, 202), (300, 299), (1, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 1 for i in range(1, 41)} | {50: 50, 100: 50, 200: 200, 201: 200, 202: 200, 299: 299, 300: 299}
     assert got == want
@@ -485,10 +489,13 @@ def test_chunks_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    texts = ["", " ", "a  b", "it's <|endoftext|> x", "é́ ́a", "tab\t\tq\r\nz", "\x1c a\x1cb", "ÀÉ ΑΣ", "日本 語\n🙂", "don't 'S o'LL", "ﬁ Ａ", "a\x85b c"]
+    texts = ["", " ", "a  b", "it's <|endoftext|> x", "é́ ́a", "tab\t\tq\r\nz", "\x1c a\x1cb", "ÀÉ ΑΣ", "日本 語\n🙂", "don't 'S o'LL", "ﬁ Ａ", "a\x85b c", "A,b.c;d", "x'", "'s", "it's-a 'S,'s,'t", "a1b22c3", "e\u0301x e,\u0301", "=\u0338a a=\u0338", "<|ENDOFTEXT|>", "a<|b", "q\x00w", "I'LL-we'd", "¿a? ¡b!", "x\u00a0y", "İI ẞ", "the The THE the"]
     ids, counts = token_planes.ChunkEncoder(path).encode(pa.array([*texts, None]))
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch([*texts, ""], add_special_tokens=False)]
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    plain = [t for t in texts if "<|" not in t]  # cut finer
+    ids, counts = token_planes.ChunkEncoder(path).encode(pa.array(plain))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [w for t, w in zip(texts, want) if "<|" not in t]
 
 
 # ---------------------------------------------------------------- 8
