@@ -7,6 +7,7 @@ Models are fitted on a bounded sample of labelled rows (MAX_PER_LANGUAGE each),
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -160,16 +161,19 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.5 * MAX_PER_LANGUAGE / n) * (1 << 30))))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     sample = rows.filter(keep).withColumn("n", first).filter(F.col("n") <= MAX_PER_LANGUAGE).select("lang", "text")
-    found = sample.mapInArrow(vectors, "lang string, x binary").collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: (r.lang, r.x))
-    x = np.empty((len(found), BUCKETS), np.float32)
-    for k, r in enumerate(found):
-        x[k] = np.frombuffer(r.x, np.float16)
-    langs = np.array([r.lang for r in found], object)
-    del found
-    return LanguageModel(x, langs)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        if rows:
+            x = np.empty((len(rows), BUCKETS), np.float32)
+            for k, (_, data) in enumerate(rows):
+                x[k] = np.frombuffer(data, np.float16)
+            model = LanguageModel(x, np.array([lang for lang, _ in rows], object))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task can fit it; the driver gets the weights alone
+    fitted = sample.mapInArrow(vectors, "lang string, x binary").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else None
 
 
 def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
