@@ -138,6 +138,7 @@ def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataF
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out = []
             for r in pdf.itertuples(index=False):
                 users, at = np.unique(r.user_id, return_inverse=True)
                 x, sign = np.zeros((len(users), len(r.items))), np.full(len(users), -1.0)
@@ -147,24 +148,33 @@ def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataF
                 used = np.flatnonzero(x.any(0))
                 h = (x[:, used].T * bend) @ x[:, used]
                 i, j = np.divmod(np.arange(h.size), max(len(used), 1))
-                yield pd.DataFrame({"t": r.t, "i": np.concatenate([[-1], used, used[i]]), "j": np.concatenate([[-1], np.full(len(used), -1), used[j]]), "v": np.concatenate([[loss.sum()], x[:, used].T @ (sign * slope), h.ravel()])})
-
-    def move(state: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        r = state.iloc[0]
-        i, j, v, k = sums["i"].to_numpy(), sums["j"].to_numpy(), sums["v"].to_numpy(), len(r["items"])
-        w, trial, step, rate, done = np.asarray(r["w"]), np.asarray(r["trial"]), np.asarray(r["step"]), r["rate"], False
-        total, rounds = 0.5 * trial @ trial + c * v[i < 0].sum(), r["rounds"]
-        if rate > 1e-6 and total > r["loss"]:  # too far: half the step
-            rate, loss = rate / 2, r["loss"]
+                i, j = np.concatenate([[-1], used, used[i]]), np.concatenate([[-1], np.full(len(used), -1), used[j]])
+                out.append((np.full(len(i), r.t), i, j, np.concatenate([[loss.sum()], x[:, used].T @ (sign * slope), h.ravel()])))
+            if out:
+                yield pd.DataFrame(dict(zip(("t", "i", "j", "v"), map(np.concatenate, zip(*out)))))
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [moved(r) for r in pdf.itertuples(index=False)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["t", "items", "w", "trial", "step", "loss", "rate", "rounds", "done"])
+
+    def moved(r) -> tuple:
+        """A target's state after one trial, from the sums over its parts."""
+        i, j, v, k = np.asarray(r.i), np.asarray(r.j), np.asarray(r.v), len(r.items)
+        w, trial, step, rate, done = np.asarray(r.w), np.asarray(r.trial), np.asarray(r.step), r.rate, False
+        total, rounds = 0.5 * trial @ trial + c * v[i < 0].sum(), r.rounds
+        if rate > 1e-6 and total > r.loss + 1e-10 * abs(r.loss):  # too far, beyond rounding: half the step
+            rate, loss = rate / 2, r.loss
         else:
             w, loss, rate, rounds, slope, bend = trial, total, 1.0, rounds + 1, np.zeros(k), np.zeros((k, k))
             side = (i >= 0) & (j < 0)
             slope[i[side]] = v[side]
             bend[i[j >= 0], j[j >= 0]] = v[j >= 0]
             gradient = w - factor * c * slope
-            done = bool(np.abs(gradient).max(initial=0) < 1e-9 or rounds > steps)
             step = np.linalg.solve(np.eye(k) + factor * c * bend, gradient)
-        return pd.DataFrame({"t": [r["t"]], "items": [r["items"]], "w": [w], "trial": [w - rate * step], "step": [step], "loss": [float(loss)], "rate": [rate], "rounds": [rounds], "done": [done]})
+            done = bool(np.abs(step).max(initial=0) < 1e-8 or rounds > steps)
+        return r.t, r.items, w, w - rate * step, step, float(loss), rate, rounds, done
 
     zero = F.transform("items", lambda x: F.lit(0.0))
     state = materialize(fitted.select("t", "items", zero.alias("w"), zero.alias("trial"), zero.alias("step"), F.lit(float("inf")).alias("loss"), F.lit(1.0).alias("rate"), F.lit(0).alias("rounds"), F.lit(False).alias("done")), "fits")
@@ -172,7 +182,8 @@ def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataF
     while not state.isEmpty():
         each = parts.join(state.select("t", "items", "trial"), "t").select("t", "user_id", "item_id", "rating", "rated", "items", "trial")
         sums = each.mapInPandas(measure, "t long, i long, j long, v double").groupBy("t", "i", "j").agg(F.sum("v").alias("v"))
-        state = materialize(state.groupBy("t").cogroup(sums.groupBy("t")).applyInPandas(move, state.schema), "fits")
+        cells = sums.groupBy("t").agg(F.collect_list(F.struct("i", "j", "v")).alias("s")).select("t", "s.i", "s.j", "s.v")  # k x k of a target
+        state = materialize(state.join(cells, "t").mapInPandas(move, state.schema), "fits")
         found, state = found.unionByName(state.filter("done")), state.filter("not done")
     weights = found.select(F.col("t").alias("dst_id"), F.explode(F.arrays_zip("items", "w")).alias("x"))
     return weights.select(F.col("x.items").alias("src_id"), "dst_id", F.col("x.w").alias("weight")).filter("weight > 0")
