@@ -7,13 +7,17 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recjobs.functions.storage import new_folder
 from recjobs.llm import ngram_join, quality, warc
+from recjobs.llm.alignment import align_tokenizers
 from recjobs.llm.decontaminate import find_contamination
+from recjobs.llm.importance import importance_resampling
 from recjobs.llm.language import identify_language
 from recjobs.llm.line_dedup import line_dedup
 from recjobs.llm.ngram_join import ngram_jaccard_join
 from recjobs.llm.pieces import piece_digests
 from recjobs.llm.sharding import shard_by_slots
+from recjobs.llm.token_counts import token_counts
 from recjobs.llm.token_planes import token_planes
 from recjobs.llm.toxicity import score_toxicity
 
@@ -75,9 +79,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, empty at first."""
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), new_folder(spark, "token-counts"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_toxicity, op3_line_dedup, op4_warc, op5_decontamination, op6_quality_cascade, op7_token_planes, op8_sentencepiece, op9_sharding, op10_language_id)
-}
+    for f in (
+        op1_ngram_jaccard, op2_toxicity, op3_line_dedup, op4_warc, op5_decontamination, op6_quality_cascade, op7_token_planes, op8_sentencepiece, op9_sharding, op10_language_id,
+        op11_alignment, op12_token_counts, op13_importance,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": ngram_join.SQL, "op4_warc": warc.SQL, "op6_quality_cascade": quality.SQL}
