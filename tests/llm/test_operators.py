@@ -291,24 +291,51 @@ def test_line_dedup_of_repeated_ids(spark):
     assert got == sorted([(1, block, []), (5, "own first", [1, 2, 3, 4]), (5, "own second line\nanother own line", [2, 3, 4, 5]), (5, "own first", [1, 2, 3, 4]), (0, block, [])])
 
 
-def test_line_dedup_against_all_pairs(spark):
-    """Keys and first holders find what aligning every pair of documents finds."""
+def lines_in_common_blocks(later, earlier):
+    """Positions of the later text in runs of lines, of 40 characters or more, that the earlier one has."""
+    out = set()
+    for i in range(len(later)):
+        for j in range(len(earlier)):
+            if later[i] == earlier[j] and not (i and j and later[i - 1] == earlier[j - 1]):
+                k = 0
+                while i + k < len(later) and j + k < len(earlier) and later[i + k] == earlier[j + k]:
+                    k += 1
+                if sum(map(len, later[i : i + k])) >= 40:
+                    out |= set(range(i, i + k))
+    return out
+
+
+@pytest.mark.parametrize("order", ["kept", "shuffled"])
+@pytest.mark.parametrize("rare", [line_dedup.RARE, 1, 3])
+def test_line_dedup_against_all_pairs(spark, monkeypatch, order, rare):
+    """Keys and first holders find each common block of every pair of documents, moved ones among them."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
     rng = random.Random(5)
     blocks = [[f"block {b} line {i} " + "x" * rng.randint(0, 25) for i in range(rng.randint(1, 6))] for b in range(25)]
     rows, n = [], 0
     for i in range(70):
         lines = []
-        for b in sorted(rng.sample(range(25), rng.randint(0, 5))):
+        taken = rng.sample(range(25), rng.randint(0, 5))
+        for b in sorted(taken) if order == "kept" else taken + taken[:1]:
             lines += [f"own {i} {n} " + "y" * rng.randint(0, 30), *blocks[b][rng.randint(0, 1) :]]
             n += 1
         rows.append((i, "\n".join([*lines, f"end {i}"])))
     want: dict[int, set[int]] = {i: set() for i, _ in rows}
+    aligned: dict[int, set[int]] = {i: set() for i, _ in rows}
     split = {i: t.split("\n") for i, t in rows}
     for a, b in itertools.combinations(range(70), 2):
-        want[b] |= set(line_dedup.common_blocks(split[b], split[a], [len(x) for x in split[b]]))
+        aligned[b] |= set(line_dedup.common_blocks(split[b], split[a], [len(x) for x in split[b]]))
+        want[b] |= lines_in_common_blocks(split[b], split[a])
     got = {r.doc_id: set(r.deleted) for r in line_dedup.line_dedup(table(spark, rows)).collect()}
     assert sum(map(len, want.values())) > 100
-    assert got == want
+    assert all(aligned[i] <= want[i] for i in want) and got == want
+
+
+def test_line_dedup_of_moved_blocks(spark):
+    a, r = [f"a line of block a {k}" for k in range(3)], ["a single line that stands elsewhere, of its own"]
+    rows = [(1, a + r), (2, [*r, "x"]), (3, r + a), (4, [a[2], a[1], a[0]]), (5, ["new", *r, *r, "end"])]
+    got = {d.doc_id: d.deleted for d in line_dedup.line_dedup(table(spark, [(i, "\n".join(x)) for i, x in rows])).collect()}
+    assert got == {1: [], 2: [0], 3: [0, 1, 2, 3], 4: [], 5: [1, 2]}
 
 
 def test_line_dedup_of_lines_in_many_documents(spark):
