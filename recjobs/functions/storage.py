@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parquet_batches(files: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Stream a written table's files (``inputFiles`` of ``materialize``) inside a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(rows)

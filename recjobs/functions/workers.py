@@ -17,3 +17,4 @@ def use_package(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([*paths, root])
+    environment.setdefault("OMP_NUM_THREADS", "1")  # a task has one core

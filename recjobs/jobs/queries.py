@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recjobs.functions.columns import rounded
 from recjobs.functions.storage import materialize, new_folder
 from recjobs.jobs import recommend
-from recjobs.operators import classify, evaluate, factors, features, hybrid, linear, prep, ranking, similarity
+from recjobs.operators import allitems, classify, evaluate, factors, features, hybrid, linear, prep, ranking, similarity
 from recjobs.sources import files, tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,8 +592,8 @@ def _gram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def lw2_slim_ridge(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _gram(spark, d)
-    return linear.slim_ridge(linear.strongest(gram, 20), gram, 50.0)
+    """All other items are features of each."""
+    return allitems.slim_ridge_all(materialize(_ratings(spark, d), "ratings"), 50.0)
 
 
 @query()
@@ -606,14 +606,12 @@ def lw2_corated_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw3_slim_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    return linear.slim_elastic_net(linear.strongest(gram, 20), gram, ratings.select("user_id").distinct().count(), 0.002, 0.01)
+    return allitems.slim_elastic_net_all(materialize(_ratings(spark, d), "ratings"), 0.002, 0.01)
 
 
 @query()
 def lw4_slim_lasso(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    return linear.slim_lasso(linear.strongest(gram, 20), gram, ratings.select("user_id").distinct().count(), 0.002)
+    return allitems.slim_lasso_all(materialize(_ratings(spark, d), "ratings"), 0.002)
 
 
 @query("SELECT item_id FROM popular SEMI JOIN (SELECT item_id FROM items WHERE active) USING (item_id) ORDER BY rank LIMIT 100", "popular", "items")
@@ -666,25 +664,22 @@ def lw6_content_slim(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw7_user_slim(spark: SparkSession, d: str) -> DataFrame:
-    return linear.user_slim(materialize(_ratings(spark, d), "ratings"), 50.0, 20)
+    return allitems.user_slim_all(materialize(_ratings(spark, d), "ratings"), 50.0)
 
 
 @query()
 def lw8_scm_ridge(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    return linear.scm_ridge(linear.strongest(gram, 20), ratings, gram, 50.0)
+    return allitems.scm_all(materialize(_ratings(spark, d), "ratings"), "ridge", 50.0)
 
 
 @query()
 def lw8_scm_logistic(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    return linear.scm(linear.strongest(gram, 10), ratings, "logistic", 0.1)
+    return allitems.scm_all(materialize(_ratings(spark, d), "ratings"), "logistic", 0.1)
 
 
 @query()
 def lw8_scm_svm(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    return linear.scm(linear.strongest(gram, 10), ratings, "svm", 0.1)
+    return allitems.scm_all(materialize(_ratings(spark, d), "ratings"), "svm", 0.1)
 
 
 @query()
