@@ -702,12 +702,19 @@ def lw11_nmf(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lw12_observed_factors(spark: SparkSession, d: str) -> DataFrame:
     ratings = materialize(_ratings(spark, d), "ratings")
-    return factors.observed_objective(ratings, factors.observed_factors(ratings, 8, 0.1, 5), 0.1)
+    return factors.observed_objective(ratings, *factors.observed_factors(ratings, 8, 0.1, 5), 0.1)
+
+
+@query()
+def lw12_gradient_factors(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of the descent found, with both bias columns."""
+    found = factors.gradient_factors(materialize(_ratings(spark, d), "ratings"), 4, 0.5, 0.002, True, True, max_steps=8, min_change=1.0)
+    return spark.createDataFrame(found[2], "step int, error double, gradient double, change double")
 
 
 @query()
 def lw13_singular_values(spark: SparkSession, d: str) -> DataFrame:
-    return factors.singular_values(materialize(_ratings(spark, d), "ratings"), 6, steps=12)
+    return factors.singular_values(materialize(_ratings(spark, d), "ratings"), 6)
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
