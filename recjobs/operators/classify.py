@@ -35,26 +35,35 @@ def weak_classes(confused: DataFrame, least: float = 1.8) -> DataFrame:
 
 
 def text_classifier(docs: DataFrame, penalty: float, l1_ratio: float, features: int = 4096):
-    """Logistic regression on hashed TF-IDF words of ``(id, text, label)``; returns the fitted pipeline."""
+    """Logistic regression on hashed TF-IDF words of ``(id, text, label)``; returns the fitted pipeline, or
+    None where there is no labelled row. A null text is a document without words; rows without a label
+    teach nothing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
     stages = [RegexTokenizer(inputCol="text", outputCol="_words", pattern="[^a-z0-9_]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="features"), LogisticRegression(regParam=penalty, elasticNetParam=l1_ratio, maxIter=20)]
-    return Pipeline(stages=stages).fit(docs)
+    labelled = docs.filter("label is not null").fillna("", ["text"])
+    return None if labelled.isEmpty() else Pipeline(stages=stages).fit(labelled)
 
 
 def class_probabilities(model, docs: DataFrame) -> DataFrame:
-    """``(id, label, prediction, probability array)`` of a fitted pipeline; a null text is a document without words."""
+    """``(id, label, prediction, probability array)`` of a fitted pipeline; a null text is a document
+    without words. Without a pipeline (None) there are no rows."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(docs).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
+    if model is None:
+        return docs.select("id", "label", F.lit(None).cast("int").alias("prediction"), F.array().cast("array<double>").alias("probability")).limit(0)
+    return model.transform(docs.fillna("", ["text"])).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
 
 
 def tune_classifier(docs: DataFrame, penalties: list[float], ratios: list[float], repetitions: int = 1, test_share: float = 0.25, seed: int = 1) -> DataFrame:
-    """``(penalty, l1_ratio, rep, log_loss)`` over a grid, by stratified splits."""
+    """``(penalty, l1_ratio, rep, log_loss)`` over a grid, by stratified splits; no rows for an empty table."""
+    docs = docs.filter("label is not null")
     split = stratified_split(docs.select("id", "label"), repetitions, test_share, seed)
     out = []
+    if docs.isEmpty():
+        repetitions = 0
     for rep in range(repetitions):
         of_rep = docs.join(split.filter(F.col("rep") == rep).select("id", "test"), "id")
         train, test = of_rep.filter("not test").cache(), of_rep.filter("test")

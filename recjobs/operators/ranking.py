@@ -8,7 +8,8 @@ from recjobs.functions.columns import best, rounded
 from recjobs.functions.storage import materialize
 from recjobs.operators.prep import dense_index
 
-HEAD = 256  # popular items that users meet at a time
+
+HEAD = 256  # first places of a list, which most users meet and which therefore travel to them
 
 
 def popularity(ratings: DataFrame, items: DataFrame, by: str = "count") -> DataFrame:
@@ -25,26 +26,21 @@ def popularity(ratings: DataFrame, items: DataFrame, by: str = "count") -> DataF
 def popular_unseen(popular: DataFrame, items: DataFrame, ratings: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """The n best active items that each target has not rated; fewer if there are not so many.
 
-    The list is met by blocks of HEAD items; only users that are still short go on to the next block
-    (most are served by the first), so no list grows with the longest profile."""
+    Of a target's places in the list s_0 < s_1 < ... that it has rated, s_i - i places before s_i are
+    free. So its m-th free place (from 0) is m plus the number of i with s_i - i <= m: one window of its own
+    profile and n sums, however long that is. A target is served once, null ones are left out."""
     head = dense_index(popular.join(items.filter("active"), "item_id", "left_semi").select(F.struct("rank", "item_id", "score").alias("key")), "key")
     head = materialize(head.select("idx", "key.item_id", "key.score"), "head")
-    total = head.count()
-    mine = ratings.join(targets.select("user_id"), "user_id", "left_semi").join(head.select("item_id", "idx"), "item_id").select("user_id", "idx")
-    short, done, out, at = materialize(targets.select("user_id").distinct().withColumn("have", F.lit(0).cast("long")), "short"), False, None, 0
-    while at < total and not done:
-        block = head.filter((F.col("idx") >= at) & (F.col("idx") < at + HEAD))
-        seen = mine.filter((F.col("idx") >= at) & (F.col("idx") < at + HEAD)).groupBy("user_id").agg(F.collect_set("idx").alias("seen"))  # HEAD at most
-        free = F.array_except(F.sequence(F.lit(at), F.lit(min(at + HEAD, total) - 1)).cast("array<long>"), F.coalesce("seen", F.array().cast("array<long>")))
-        listed = short.join(seen, "user_id", "left").select("user_id", "have", F.slice(F.array_sort(free), 1, (n - F.col("have")).cast("int")).alias("free"))
-        listed = materialize(listed, "listed")
-        places = listed.select("user_id", "have", F.posexplode("free").alias("p", "idx")).select("user_id", "idx", (F.col("have") + F.col("p") + 1).cast("int").alias("rank"))
-        found = places.join(F.broadcast(block), "idx").select("user_id", "item_id", "score", "rank")  # HEAD rows
-        out = found if out is None else out.unionByName(found)
-        short = listed.select("user_id", (F.col("have") + F.size("free")).alias("have")).filter(F.col("have") < n)
-        at += HEAD
-        done = at >= total or short.isEmpty()
-    return out if out is not None else targets.sparkSession.createDataFrame([], "user_id long, item_id long, score double, rank int")
+    asked = targets.select("user_id").filter("user_id is not null").distinct()
+    mine = ratings.select("user_id", "item_id").distinct().join(asked, "user_id", "left_semi").join(head.select("item_id", "idx"), "item_id")
+    before = F.col("idx") - F.row_number().over(Window.partitionBy("user_id").orderBy("idx")) + 1
+    skipped = [F.count_if(F.col("before") <= m) for m in range(n)]
+    told = mine.select("user_id", before.alias("before")).groupBy("user_id").agg(F.array(*skipped).alias("skipped"))
+    none = F.array(*(F.lit(0).cast("long") for _ in range(n)))
+    places = asked.join(told, "user_id", "left").select("user_id", F.posexplode(F.coalesce("skipped", none)).alias("m", "over"))
+    placed = places.select("user_id", (F.col("m") + F.col("over")).alias("idx"), (F.col("m") + 1).alias("rank"))
+    first, rest = (placed.filter(c).join(f(head.filter(c)), "idx") for c, f in ((F.col("idx") < HEAD, F.broadcast), (F.col("idx") >= HEAD, lambda x: x)))
+    return first.unionByName(rest).select("user_id", "item_id", "score", "rank")
 
 
 def item_scores(ratings: DataFrame, weights: DataFrame, active: DataFrame | None = None, normalize: bool = False) -> DataFrame:

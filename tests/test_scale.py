@@ -5,7 +5,7 @@ import pytest
 
 from recjobs.functions.kernels import enet_gram
 from recjobs.jobs import recommend
-from recjobs.operators import evaluate, factors, hybrid, linear, prep, ranking, similarity
+from recjobs.operators import classify, evaluate, factors, hybrid, linear, prep, ranking, similarity
 
 RATING = "user_id long, item_id long, rating double"
 
@@ -163,3 +163,40 @@ def test_empty_tables(spark):
     ]
     assert [df.count() for df in empty] == [0] * len(empty)
     assert evaluate.mean_average_precision(none.selectExpr("user_id", "item_id", "1 AS rank"), none).first() == (0.0, 0)
+
+
+def test_search_of_large_products_stops_early(spark, monkeypatch):
+    """Exact lists, though most users meet few of the blocks."""
+    monkeypatch.setattr(factors, "BLOCK_ITEMS", 10)
+    rng = np.random.default_rng(6)
+    p, q = rng.normal(size=(40, 3)), rng.normal(size=(120, 3)) * np.exp(rng.normal(size=(120, 1)))
+    q[5] = q[6]  # a tie
+    q[7] = 0.0
+    big = 1 << 40
+    users = spark.createDataFrame([(u, p[u].tolist()) for u in range(40)], "user_id long, features array<double>")
+    items = spark.createDataFrame([(big + i, q[i].tolist()) for i in range(120)], "item_id long, features array<double>")
+    active = spark.createDataFrame([(big + i,) for i in range(120) if i % 9], "item_id long")
+    seen = spark.createDataFrame([(u, big + i, 1.0) for u in range(40) for i in range(120) if (u + i) % 4 == 0], RATING)
+    targets = spark.createDataFrame([(u,) for u in [*range(35), 77, 3]], "user_id long")
+    met = []
+    got = {}
+    for r in factors.factor_scores(users, items, targets, seen, active, 4, met).collect():
+        got.setdefault(r.user_id, {})[r.rank] = (r.item_id - big, r.score)
+    for u in range(35):
+        free = [i for i in range(120) if i % 9 and (u + i) % 4 and p[u] @ q[i] > 0]
+        score = lambda i: np.floor(p[u] @ q[i] * 1e6 + 0.5) / 1e6  # noqa: E731, B023
+        want = sorted(free, key=lambda i: (-score(i), i))[:4]
+        assert [got.get(u, {})[k][0] for k in sorted(got.get(u, {}))] == want
+    assert met[0] == (0, 35) and sum(n for _, n in met) < 35 * 11 * 0.8
+    none = spark.createDataFrame([], "item_id long")
+    assert factors.factor_scores(users, items, targets, seen, none, 4).count() == 0
+
+
+def test_classifiers_of_nulls_and_empty_tables(spark):
+    docs = spark.createDataFrame([(k, None if k % 7 == 0 else f"word{k % 2} more", k % 2) for k in range(40)] + [(99, "word1", None)], "id long, text string, label int")
+    model = classify.text_classifier(docs, 0.01, 0.0)
+    found = {r.id: r for r in classify.class_probabilities(model, docs).collect()}
+    assert len(found) == 41 and found[1].prediction == 1 and found[2].prediction == 0 and abs(sum(found[7].probability) - 1) < 1e-9
+    assert classify.text_classifier(docs.limit(0), 0.01, 0.0) is None
+    assert classify.class_probabilities(None, docs).count() == classify.tune_classifier(docs.limit(0), [0.1], [0.0]).count() == 0
+    assert classify.tune_classifier(docs, [0.1], [0.0]).count() == 1
