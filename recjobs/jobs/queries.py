@@ -991,21 +991,10 @@ def ev7_average_precision(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.average_precision(*_popular_of_visible(spark, d))
 
 
-def _recommend_neighbours(spark: SparkSession, d: str) -> evaluate.Recommender:
-    """From dots, made once a fold."""
-    active = prep.active_items(t.items(spark, d))
-
-    def run(dots: DataFrame, profiles: DataFrame, p: dict) -> DataFrame:
-        weights = similarity.as_weights(similarity.nearest(similarity.similarities(dots, p["shrink"]), p["k"]))
-        return ranking.top_n(ranking.unseen(ranking.item_scores(profiles, weights, active), profiles), 5)
-
-    return run
-
-
 @query("SELECT shrink, k, floor(avg(map) * 1e6 + 5e-1) / 1e6 AS mean_map, floor(stddev_pop(map) * 1e6 + 5e-1) / 1e6 AS std_map FROM gmaps GROUP BY 1, 2", "gmaps")
 def ev8_grid_summary(spark: SparkSession, d: str) -> DataFrame:
     ratings = materialize(_ratings(spark, d), "ratings")
-    found = evaluate.cross_validate(ratings, _recommend_neighbours(spark, d), {"shrink": [0, 10], "k": [5, 20]}, 2, 3, prepare=similarity.rating_dots)
+    found = evaluate.neighbour_grid(ratings, prep.active_items(t.items(spark, d)), [0, 10], [5, 20], 2, 3)
     return evaluate.summarise(found, ["shrink", "k"])
 
 
@@ -1068,7 +1057,7 @@ def ev13_weak_classes(spark: SparkSession, d: str) -> DataFrame:
 def ev14_two_tables(spark: SparkSession, d: str) -> DataFrame:
     """Fit on implicit ratings, score and hide the explicit ones."""
     explicit = materialize(_ratings(spark, d), "ratings")
-    return evaluate.cross_validate(prep.implicit(explicit), _recommend_neighbours(spark, d), {"shrink": [10], "k": [20]}, 2, 3, profiles=explicit, prepare=similarity.rating_dots)
+    return evaluate.neighbour_grid(prep.implicit(explicit), prep.active_items(t.items(spark, d)), [10], [20], 2, 3, profiles=explicit).select("shrink", "k", "fold", "map")
 
 
 @query("SELECT user_id, item_id, score, rank FROM wrecs", "wrecs")

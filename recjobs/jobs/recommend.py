@@ -66,11 +66,19 @@ def cold_top_n(ratings: DataFrame, users: DataFrame, items: DataFrame, targets:
 
 def enriched_slim(ratings: DataFrame, items: DataFrame, targets: DataFrame, near: DataFrame, alpha: float, added: list[int], n: int = 5) -> DataFrame:
     """Self-training: ridge weights on the neighbours given (of content, say), profiles enriched phase
-    by phase with implicit ratings; lists are made from the explicit ones."""
+    by phase with implicit ratings; lists are made from the explicit ones. The Gram table is kept up by the
+    pairs that a phase adds."""
     everyone = ratings.select("user_id").distinct()
+    kept: list[tuple[DataFrame, DataFrame]] = []  # the ratings last fitted on, and their Gram table
 
     def fit(enriched: DataFrame) -> DataFrame:
-        return linear.slim_ridge(near, materialize(linear.gram(enriched), "gram"), alpha)
+        if not kept:
+            table = linear.gram(enriched)
+        else:
+            before, gram = kept.pop()
+            table = linear.gram_added(gram, before, enriched.join(before.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
+        kept.append((enriched, materialize(table, "gram")))
+        return linear.slim_ridge(near, kept[0][1], alpha)
 
     def recommend(explicit: DataFrame, weights: DataFrame, m: int) -> DataFrame:
         return recommend_with(explicit, weights, items, everyone, m)

@@ -30,6 +30,17 @@ def gram(ratings: DataFrame) -> DataFrame:
     return once.unionByName(once.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
 
 
+def gram_added(gram_table: DataFrame, ratings: DataFrame, added: DataFrame) -> DataFrame:
+    """The Gram table after new cells (``added``, none of them in ``ratings``): only these meet profiles,
+    so the rows joined are the cells added times the profiles that they are added to."""
+    x = added.select("user_id", F.col("item_id").alias("i"), F.col("rating").alias("ri"))
+    y = lambda df: df.select("user_id", F.col("item_id").alias("j"), F.col("rating").alias("rj"))
+    product = (F.col("ri") * F.col("rj")).alias("g")
+    old, new = (x.join(y(df), "user_id").select("i", "j", product) for df in (ratings, added))
+    every = gram_table.unionByName(new).unionByName(old).unionByName(old.select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
+    return every.groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+
 def corated(gram_table: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Features of a target: all items rated together with it."""
     pairs = gram_table.filter("i <> j and g > 0").select("i", "j")

@@ -78,20 +78,21 @@ def content_nearest(content: DataFrame, k: int, shrink: int = 0, left: DataFrame
     return best(_expanded(near, x, y).select("i", "j", "sim"), "i", "sim", "j", k)
 
 
-def profile_pairs(ratings: DataFrame, diagonal: bool = False) -> DataFrame:
-    """``(i, j, ri, rj)``: the pairs i < j (or i <= j) of each user's items with their ratings.
+def profile_pairs(ratings: DataFrame, diagonal: bool = False, of_user: list[str] = []) -> DataFrame:  # noqa: B006
+    """``(i, j, ri, rj)``: the pairs i < j (or i <= j) of each user's items with their ratings, and the
+    columns ``of_user``, which are a user's own (its fold, say).
 
     Users of more than PROFILE_BLOCK ratings are dealt into blocks, and each pair of blocks is a group
     of its own: a long profile is no hot key, and its rows travel as often as it has blocks.
     """
     blocks = F.ceil(F.count("*") / PROFILE_BLOCK).cast("int").alias("blocks")
-    cut = ratings.select("user_id", "item_id", "rating").join(ratings.groupBy("user_id").agg(blocks), "user_id")
+    cut = ratings.select("user_id", "item_id", "rating", *of_user).join(ratings.groupBy("user_id").agg(blocks), "user_id")
     block = F.pmod(F.xxhash64("item_id"), "blocks").cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cut = cut.withColumn("block", block).select("user_id", "item_id", "rating", "block", every)
-    x = cut.select("user_id", F.col("block").alias("bx"), F.col("other").alias("by"), F.col("item_id").alias("i"), F.col("rating").alias("ri"))
+    cut = cut.withColumn("block", block).select("user_id", "item_id", "rating", *of_user, "block", every)
+    x = cut.select("user_id", *of_user, F.col("block").alias("bx"), F.col("other").alias("by"), F.col("item_id").alias("i"), F.col("rating").alias("ri"))
     y = cut.select("user_id", F.col("other").alias("bx"), F.col("block").alias("by"), F.col("item_id").alias("j"), F.col("rating").alias("rj"))
-    return x.join(y, ["user_id", "bx", "by"]).filter("i <= j" if diagonal else "i < j").select("i", "j", "ri", "rj")
+    return x.join(y, ["user_id", "bx", "by"]).filter("i <= j" if diagonal else "i < j").select("i", "j", "ri", "rj", *of_user)
 
 
 def rating_dots(ratings: DataFrame, mirror: bool = True) -> DataFrame:
