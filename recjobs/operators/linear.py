@@ -12,13 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.columns import best, rounded
-from recjobs.functions.kernels import enet_gram, logistic_terms, ridge_gram, squared_hinge_terms
+from recjobs.functions.kernels import enet_gram, logistic_terms, ragged, squared_hinge_terms
 from recjobs.functions.storage import materialize
 from recjobs.operators.similarity import profile_pairs, weights_to_neighbours
 
+STACK_BYTES = 32 << 20  # of targets' blocks solved at a time
 USERS_A_PART = 4096  # of a target's users in one task of scm
 WEIGHTS = "src_id long, dst_id long, weight double"
 
@@ -81,34 +83,69 @@ def _systems(neighbours: DataFrame, gram_table: DataFrame, right: DataFrame | No
     return block.unionByName(side)
 
 
-def _solve(systems: DataFrame, solver: Callable[[np.ndarray, np.ndarray], np.ndarray], positive: bool = True) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = pdf[pdf["j"].isna()].sort_values("i")
-        ids = sides["i"].to_numpy()
-        block = pdf[pdf["j"].notna()]
-        g = np.zeros((len(ids), len(ids)))
-        i, j = np.searchsorted(ids, block["i"]), np.searchsorted(ids, block["j"].astype("int64"))
-        g[i, j] = g[j, i] = block["g"]
-        w = solver(g, sides["g"].to_numpy())
-        keep = w > 0 if positive else w != 0
-        return pd.DataFrame({"src_id": ids[keep], "dst_id": int(pdf["t"].iloc[0]), "weight": w[keep]})
-
-    return systems.groupBy("t").applyInPandas(run, WEIGHTS)
+Stack = Callable[[np.ndarray, np.ndarray], np.ndarray]  # (m, k, k) blocks, (m, k) right sides -> (m, k)
+
+
+def _each(solver: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Stack:
+    return lambda g, c: np.stack([solver(*x) for x in zip(g, c)])
+
+
+def _ridge(alpha: float) -> Stack:
+    return lambda g, c: np.linalg.solve(g + alpha * np.eye(g.shape[1]), c[:, :, None])[:, :, 0]
+
+
+def _solve(systems: DataFrame, solver: Stack, positive: bool = True) -> DataFrame:
+    """Targets are gathered as arrays, and those of a batch with equally many features are solved as one
+    stack (STACK_BYTES of blocks at a time)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets = np.array(batch.column(0))
+            cut = batch.column(1).offsets.to_numpy().astype(np.int64)
+            i, g = (np.array(batch.column(c).flatten()) for c in (1, 3))
+            j = batch.column(2).flatten()
+            side, j = np.array(j.is_null()), np.array(j.fill_null(0))
+            of = np.repeat(np.arange(len(targets)), np.diff(cut))
+            names = np.unique(i)
+            code = lambda t, x: t * len(names) + np.searchsorted(names, x)
+            order = np.argsort(code(of[side], i[side]))
+            feature, right, owner = code(of[side], i[side])[order], g[side][order], of[side][order]
+            first = np.searchsorted(owner, np.arange(len(targets) + 1))
+            block = ~side
+            place = [np.searchsorted(feature, code(of[block], x[block])) - first[of[block]] for x in (i, j)]
+            entry = np.searchsorted(of[block], np.arange(len(targets) + 1))
+            k = np.diff(first)
+            for size in np.unique(k).tolist():
+                some = np.flatnonzero(k == size)
+                step = max(1, STACK_BYTES // (8 * size * size))
+                for part in (some[x : x + step] for x in range(0, len(some), step)):
+                    blocks = np.zeros((len(part), size, size))
+                    at = ragged(entry[part], entry[part + 1] - entry[part])
+                    n = np.repeat(np.arange(len(part)), entry[part + 1] - entry[part])
+                    rows, columns, values = place[0][at], place[1][at], g[block][at]
+                    blocks[n, rows, columns] = blocks[n, columns, rows] = values
+                    own = first[part][:, None] + np.arange(size)
+                    w = solver(blocks, right[own])
+                    keep = w > 0 if positive else w != 0
+                    yield pa.RecordBatch.from_arrays([pa.array(names[feature[own] % len(names)][keep]), pa.array(np.broadcast_to(targets[part][:, None], w.shape)[keep]), pa.array(w[keep])], ["src_id", "dst_id", "weight"])
+
+    gathered = systems.groupBy("t").agg(F.collect_list(F.struct("i", "j", "g")).alias("x"))  # k x k of a target
+    return gathered.select("t", "x.i", "x.j", "x.g").mapInArrow(run, WEIGHTS)
 
 
 def slim_ridge(neighbours: DataFrame, gram_table: DataFrame, alpha: float, positive: bool = True) -> DataFrame:
     """Regress each target's column on its neighbours'; weights > 0 stay."""
-    return _solve(_systems(neighbours, gram_table), lambda g, c: ridge_gram(g, c, alpha), positive)
+    return _solve(_systems(neighbours, gram_table), _ridge(alpha), positive)
 
 
 def slim_elastic_net(neighbours: DataFrame, gram_table: DataFrame, n_users: int, l1: float, l2: float, positive: bool = True) -> DataFrame:
     """Penalties l1 and l2: strength l1 + l2, ratio l1 / (l1 + l2)."""
-    return _solve(_systems(neighbours, gram_table), lambda g, c: enet_gram(g, c, n_users, l1 + l2, l1 / (l1 + l2), positive))
+    return _solve(_systems(neighbours, gram_table), _each(lambda g, c: enet_gram(g, c, n_users, l1 + l2, l1 / (l1 + l2), positive)))
 
 
 def slim_lasso(neighbours: DataFrame, gram_table: DataFrame, n_users: int, alpha: float) -> DataFrame:
     """Penalty alpha |w|_1 alone; weights > 0 stay."""
-    return _solve(_systems(neighbours, gram_table), lambda g, c: enet_gram(g, c, n_users, alpha, 1.0, False))
+    return _solve(_systems(neighbours, gram_table), _each(lambda g, c: enet_gram(g, c, n_users, alpha, 1.0, False)))
 
 
 def user_slim(ratings: DataFrame, alpha: float, k: int | None = None) -> DataFrame:
@@ -126,7 +163,7 @@ def scm_ridge(neighbours: DataFrame, ratings: DataFrame, gram_table: DataFrame,
     together = targets.join(ratings.select("user_id", F.col("item_id").alias("i"), "rating"), "user_id").groupBy("t", "i").agg(F.sum("rating").alias("both"))
     total = ratings.groupBy(F.col("item_id").alias("i")).agg(F.sum("rating").alias("total"))
     right = neighbours.select(F.col("i").alias("t"), F.col("j").alias("i")).join(together, ["t", "i"], "left").join(total, "i").select("t", "i", (2 * F.coalesce("both", F.lit(0.0)) - F.col("total")).alias("g"))
-    return _solve(_systems(neighbours, gram_table, right), lambda g, c: ridge_gram(g, c, alpha))
+    return _solve(_systems(neighbours, gram_table, right), _ridge(alpha))
 
 
 def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataFrame:
