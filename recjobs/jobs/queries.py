@@ -816,6 +816,22 @@ def rk12_fallback(spark: SparkSession, d: str) -> DataFrame:
     return ranking.with_fallback(rk11_top_n(spark, d), t.targets(spark, d), ranking.popularity(ratings, items), items, 5)
 
 
+_add("wide", "SELECT * FROM lists WHERE score > 2", "lists")
+
+
+@query(
+    """SELECT user_id, item_id, score, rank FROM wide UNION ALL SELECT user_id, item_id, CAST(0 AS DOUBLE), own + k FROM (
+      SELECT t.user_id, p.item_id, coalesce(o.own, 0) AS own, row_number() OVER (PARTITION BY t.user_id ORDER BY p.rank) AS k FROM targets t CROSS JOIN (SELECT p.* FROM popular p SEMI JOIN (SELECT item_id FROM items WHERE active) USING (item_id)) p
+      LEFT JOIN (SELECT user_id, count(*) AS own FROM wide GROUP BY 1) o USING (user_id)
+      ANTI JOIN (SELECT user_id, item_id FROM ratings UNION ALL SELECT user_id, item_id FROM wide) r ON r.user_id = t.user_id AND r.item_id = p.item_id) WHERE own + k <= 5""",
+    "wide", "targets", "popular", "items", "ratings",
+)
+def rk12_padded(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of scores above 2, filled up with popular items."""
+    ratings, items = materialize(_ratings(spark, d), "ratings"), t.items(spark, d)
+    return ranking.padded(rk11_top_n(spark, d).filter("score > 2"), t.targets(spark, d), ranking.popularity(ratings, items), items, ratings, 5)
+
+
 LENT = "(SELECT n.i AS user_id, r.item_id, r.rating FROM unear n JOIN ratings r ON r.user_id = n.j WHERE n.rank = 1 UNION ALL SELECT * FROM mine)"
 
 
@@ -859,6 +875,16 @@ def hy3_self_training(spark: SparkSession, d: str) -> DataFrame:
     return recommend.enriched_slim(ratings, items, t.targets(spark, d), materialize(_content_near(spark, d), "near"), 50.0, [2, 2, 1])
 
 
+@query()
+def hy3_enriched_scm(spark: SparkSession, d: str) -> DataFrame:
+    """Classifiers on neighbours by content, fitted on implicit and enriched ratings of the event stream;
+    lists for all of its users."""
+    ratings = materialize(prep.max_per_pair(t.event_interactions(spark, d)), "ratings")
+    rated = ratings.select(F.col("item_id").alias("id")).distinct()
+    near = materialize(similarity.content_nearest(_content(spark, d), 10, 2, rated, rated), "near")
+    return recommend.enriched_scm(ratings, t.items(spark, d), ratings.select("user_id").distinct(), near, "svm", 0.1, [2, 1])
+
+
 def _lottery_tables(lists: list[str], shares: list[str], decay: str) -> tuple[str, dict[str, str]]:
     """The recursive draw over ranked lists: the statement's last part, and the tables it needs."""
     n = len(lists)
@@ -1053,6 +1079,27 @@ def ev13_weak_classes(spark: SparkSession, d: str) -> DataFrame:
     return classify.weak_classes(classify.confusion(_predicted(spark, d), 2), least=50.0)
 
 
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of documents, predicted from their words in three splits."""
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.regexp_extract("source", "[0-9]+", 0).try_cast("int").alias("label"))
+    return classify.repeated_predictions(docs, 3, 0.01)
+
+
+@query()
+def ev11_fitted_log_loss(spark: SparkSession, d: str) -> DataFrame:
+    return classify.log_loss(_fitted(spark, d))
+
+
+@query()
+def ev12_fitted_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return classify.confusion(_fitted(spark, d), 3)
+
+
+@query()
+def ev13_fitted_weak_classes(spark: SparkSession, d: str) -> DataFrame:
+    return classify.weak_classes(classify.confusion(_fitted(spark, d), 3), least=1.8)
+
+
 @query("SELECT shrink, k, fold, map FROM emaps", "emaps")
 def ev14_two_tables(spark: SparkSession, d: str) -> DataFrame:
     """Fit on implicit ratings, score and hide the explicit ones."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
@@ -64,11 +66,19 @@ def cold_top_n(ratings: DataFrame, users: DataFrame, items: DataFrame, targets:
     return ranking.with_fallback(lists, targets, ranking.popularity(ratings, items), items, n)
 
 
+def _self_trained(ratings: DataFrame, items: DataFrame, targets: DataFrame, fit: Callable[[DataFrame], DataFrame], added: list[int], n: int) -> DataFrame:
+    everyone = ratings.select("user_id").distinct()
+
+    def recommend(explicit: DataFrame, weights: DataFrame, m: int) -> DataFrame:
+        return recommend_with(explicit, weights, items, everyone, m)
+
+    return recommend_with(ratings, hybrid.self_training(ratings, fit, recommend, added), items, targets, n)
+
+
 def enriched_slim(ratings: DataFrame, items: DataFrame, targets: DataFrame, near: DataFrame, alpha: float, added: list[int], n: int = 5) -> DataFrame:
     """Self-training: ridge weights on the neighbours given (of content, say), profiles enriched phase
     by phase with implicit ratings; lists are made from the explicit ones. The Gram table is kept up by the
     pairs that a phase adds."""
-    everyone = ratings.select("user_id").distinct()
     kept: list[tuple[DataFrame, DataFrame]] = []  # the ratings last fitted on, and their Gram table
 
     def fit(enriched: DataFrame) -> DataFrame:
@@ -80,8 +90,9 @@ def enriched_slim(ratings: DataFrame, items: DataFrame, targets: DataFrame, near
         kept.append((enriched, materialize(table, "gram")))
         return linear.slim_ridge(near, kept[0][1], alpha)
 
-    def recommend(explicit: DataFrame, weights: DataFrame, m: int) -> DataFrame:
-        return recommend_with(explicit, weights, items, everyone, m)
+    return _self_trained(ratings, items, targets, fit, added, n)
 
-    weights = hybrid.self_training(ratings, fit, recommend, added)
-    return recommend_with(ratings, weights, items, targets, n)
+
+def enriched_scm(ratings: DataFrame, items: DataFrame, targets: DataFrame, near: DataFrame, kind: str, c: float, added: list[int], n: int = 5) -> DataFrame:
+    """Self-training with classifiers "rated or not" on the neighbours given, in place of the ridge."""
+    return _self_trained(ratings, items, targets, lambda enriched: linear.scm(near, enriched, kind, c), added, n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.columns import rounded
+from recjobs.functions.storage import materialize
 
 
 def stratified_split(labels: DataFrame, repetitions: int, test_share: float, seed: int) -> DataFrame:
@@ -57,6 +58,21 @@ def class_probabilities(model, docs: DataFrame) -> DataFrame:
     return model.transform(docs.fillna("", ["text"])).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
 
 
+def repeated_predictions(docs: DataFrame, repetitions: int, penalty: float, l1_ratio: float = 0.0, test_share: float = 0.25, seed: int = 1) -> DataFrame:
+    """``(rep, id, label, prediction, probability)`` of the test rows of each repetition of a stratified
+    split, by a model fitted on its other rows; ``probability`` is that of the row's own label. Rows
+    without a label are left out; an empty table gives no rows."""
+    docs = docs.filter("label is not null")
+    split = materialize(stratified_split(docs.select("id", "label"), repetitions, test_share, seed), "split")
+    out = None
+    for rep in range(repetitions):  # models to fit, not data
+        of_rep = docs.join(split.filter(F.col("rep") == rep).select("id", "test"), "id")
+        found = class_probabilities(text_classifier(of_rep.filter("not test"), penalty, l1_ratio), of_rep.filter("test"))
+        one = found.select(F.lit(rep).alias("rep"), "id", "label", "prediction", F.coalesce(F.get("probability", F.col("label")), F.lit(0.0)).alias("probability"))
+        out = one if out is None else out.unionByName(one)
+    return materialize(out, "predictions")
+
+
 def tune_classifier(docs: DataFrame, penalties: list[float], ratios: list[float], repetitions: int = 1, test_share: float = 0.25, seed: int = 1) -> DataFrame:
     """``(penalty, l1_ratio, rep, log_loss)`` over a grid, by stratified splits; no rows for an empty table."""
     docs = docs.filter("label is not null")

@@ -89,6 +89,16 @@ def with_fallback(recs: DataFrame, targets: DataFrame, popular: DataFrame, items
     return recs.unionByName(left.crossJoin(F.broadcast(lists)))  # n rows
 
 
+def padded(recs: DataFrame, targets: DataFrame, popular: DataFrame, items: DataFrame, ratings: DataFrame, n: int) -> DataFrame:
+    """Lists of fewer than n items (or none) filled up to n with the most popular active items that the
+    target has neither rated nor listed, at score 0, after its own; fewer where there are not so many."""
+    own = recs.groupBy("user_id").agg(F.count("*").alias("own"))
+    short = targets.select("user_id").distinct().join(own, "user_id", "left").select("user_id", F.coalesce("own", F.lit(0)).alias("own")).filter(F.col("own") < n)
+    taken = ratings.select("user_id", "item_id").unionByName(recs.select("user_id", "item_id"))
+    more = popular_unseen(popular, items, taken, short, n).join(short, "user_id").withColumn("rank", (F.col("rank") + F.col("own")).cast("int"))
+    return recs.unionByName(more.filter(F.col("rank") <= n).select("user_id", "item_id", F.lit(0.0).alias("score"), "rank").select(recs.columns))
+
+
 def nearest_profiles(cold: DataFrame, neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
     """Cold users with the ratings of their nearest user."""
     one = neighbours.filter("rank = 1").select(F.col("i").alias("cold_id"), F.col("j").alias("user_id"))

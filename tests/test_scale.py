@@ -200,3 +200,30 @@ def test_classifiers_of_nulls_and_empty_tables(spark):
     assert classify.text_classifier(docs.limit(0), 0.01, 0.0) is None
     assert classify.class_probabilities(None, docs).count() == classify.tune_classifier(docs.limit(0), [0.1], [0.0]).count() == 0
     assert classify.tune_classifier(docs, [0.1], [0.0]).count() == 1
+
+
+def test_padded_lists(spark, ratings, matrix):
+    items = spark.createDataFrame([(i, i % 5 > 0) for i in range(14)], "item_id long, active boolean")
+    recs = spark.createDataFrame([(0, 3, 2.0, 1), (0, 8, 1.0, 2), (1, 9, 1.0, 1)] + [(2, i, 9.0 - i, i) for i in range(1, 5)], "user_id long, item_id long, score double, rank int")
+    targets = spark.createDataFrame([(0,), (1,), (2,), (3,), (77,), (77,)], "user_id long")
+    popular = ranking.popularity(ratings, items)
+    order = [r.item_id for r in popular.orderBy("rank").collect() if r.item_id % 5]
+    got = {}
+    for r in ranking.padded(recs, targets, popular, items, ratings, 4).collect():
+        got.setdefault(r.user_id, {})[r.rank] = (r.item_id, r.score)
+    own = {0: [3, 8], 1: [9], 2: [1, 2, 3, 4], 3: [], 77: []}
+    for u, listed in own.items():
+        seen = set(np.flatnonzero(matrix[u]).tolist()) if u < 30 else set()
+        more = [i for i in order if i not in seen and i not in listed][: 4 - len(listed)]
+        assert [got.get(u, {})[k][0] for k in sorted(got.get(u, {}))] == listed + more and all(got[u][k + 1][1] == 0.0 for k in range(len(listed), len(listed + more)))
+
+
+def test_predictions_of_repeated_splits(spark):
+    docs = spark.createDataFrame([(k, None if k % 11 == 0 else f"word{k % 3} more", k % 3) for k in range(60)], "id long, text string, label int")
+    found = classify.repeated_predictions(docs, 2, 0.001)
+    rows = found.collect()
+    assert len(rows) == 30 and {r.rep for r in rows} == {0, 1} and all(0 <= r.probability <= 1 for r in rows)
+    assert sum(r.prediction == r.label for r in rows) > 20
+    assert classify.repeated_predictions(docs.limit(0), 2, 0.001).count() == 0
+    split = {(r.rep, r.id) for r in classify.stratified_split(docs.select("id", "label"), 2, 0.25, 1).filter("test").collect()}
+    assert {(r.rep, r.id) for r in rows} == split
