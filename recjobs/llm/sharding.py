@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from recjobs.functions.storage import materialize, new_folder
 
 SLOTS = 8192  # virtual slots: fixed, whatever the number of records or shards
+COPIES = 256  # records alike in id, size and checksum that share a slot in any case
 RECORD_BYTES = 16  # of each record besides its text
 
 
@@ -70,16 +71,24 @@ def store_map(slot_map: DataFrame, folder: str, version: int) -> DataFrame:
 def shard_by_slots(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version)`` of each record.
 
-    The law is ``bytes``: shards are near equal in bytes, as far as single slots allow. ``slot`` is
-    the record's place in its shard, from 0 without a gap; grown_shard is null. A null text has 16
-    bytes and the checksum of no bytes; records without an id are dealt by what else they have; repeated rows have
-    places of their own; other columns are ignored; an empty table gives no rows.
+    The law is ``bytes``: shards are near equal in bytes, as far as single slots allow. It deals
+    records, not groups of equal texts: a group may be a third of all rows, and no law of equal bytes holds
+    if it stays whole. ``slot`` is the record's place in its shard, from 0 without a gap; grown_shard is
+    null. A null text has 16 bytes and the checksum of no bytes. Records of equal id (or none), size and
+    checksum share a virtual slot; where they are more than a slot's usual rows, they are dealt over all
+    slots, row by row. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"), F.crc32(text).alias("text_crc32"))
-    # the law is by bytes, so any fixed property may deal the records; an id that repeats, or none, is no hot slot
-    sized = sized.withColumn("vslot", virtual_slot("doc_id", "size", "text_crc32", slots=slots))
+    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "records")
+    alike = ["doc_id", "size", "text_crc32"]
+    usual = max(COPIES, sized.count() // slots)
+    # groups of more rows than a slot usually has: at most as many as slots, so they may be broadcast
+    many = sized.groupBy(*alike).agg(F.count("*").alias("n")).filter(F.col("n") > usual).select(*(F.col(c).alias(f"m_{c}") for c in alike))
+    same = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in alike]
+    sized = sized.join(F.broadcast(many), same, "left").withColumn("salt", F.when(F.col("m_size").isNotNull(), F.col("row")).otherwise(0))
+    sized = sized.withColumn("vslot", virtual_slot(*alike, "salt", slots=slots)).select(*alike, "row", "vslot")
     sizes = materialize(slot_bytes(sized, slots), "sizes")
 
     folder = new_folder(spark, "slot-map")
@@ -89,7 +98,7 @@ def shard_by_slots(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     # a slot's records follow those of the shard's smaller slots: two small prefix sums, no shard in one task
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = version_2.join(sizes, "vslot").withColumn("offset", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).select("vslot", "shard", "offset")
-    within = Window.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")
+    within = Window.partitionBy("vslot").orderBy(*alike, "row")
     # the map has a fixed number of rows, so it may be broadcast
     placed = sized.withColumn("n", F.row_number().over(within)).join(F.broadcast(offsets), "vslot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(2).alias("map_version"))

@@ -604,6 +604,42 @@ def test_shards(spark, docs, empty):
     assert sorted((r["size"], r.text_crc32) for r in got) == want
 
 
+def test_shards_of_very_many_rows_alike(spark):
+    """Rows without id and text, and rows that repeat, are dealt over all shards."""
+    alike = spark.range(6000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text")
+    again = spark.range(3000).selectExpr("7L AS doc_id", "'the same text' AS text")
+    few = spark.range(500).selectExpr("id AS doc_id", "'text ' || id AS text")
+    got = sharding.shard_by_slots(alike.unionByName(again).unionByName(few), 8).collect()
+    loads, places = {}, {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r["size"]
+        places.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 9500 and set(loads) == set(range(8)) and max(loads.values()) < 1.05 * min(loads.values())
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
+@pytest.mark.parametrize("old, new", [(3, 3), (3, 5), (5, 3)])
+def test_map_equals_a_plain_greedy_one(spark, old, new):
+    rng = random.Random(old + new)
+    size = {s: rng.choice([0, 5, rng.randint(1, 400)]) for s in range(64)}
+    sizes = spark.createDataFrame([(s, b, 1) for s, b in size.items()], "vslot long, bytes long, n_rows long")
+    got = {r.vslot: r.shard for r in sharding.rebalanced(sharding.first_map(spark, old, 64), sizes, new).collect()}
+    mean, want, load, moving = sum(size.values()) / new, {}, [0] * new, []
+    for shard in range(old):
+        filled = 0
+        for s in sorted((s for s in size if s % old == shard), key=lambda s: (-size[s], s)):
+            filled += size[s]
+            if filled <= mean and shard < new:
+                want[s] = shard
+                load[shard] += size[s]
+            else:
+                moving.append(s)
+    for s in sorted(moving, key=lambda s: (-size[s], s)):
+        want[s] = load.index(min(load))
+        load[want[s]] += size[s]
+    assert got == want
+
+
 def test_growing_moves_slots_into_the_new_shard_only(spark):
     sizes = spark.range(256).selectExpr("id AS vslot", "100 + id % 7 AS bytes", "1L AS n_rows")
     before = sharding.rebalanced(sharding.first_map(spark, 4, 256), sizes, 4)
