@@ -596,6 +596,13 @@ def lw2_slim_ridge(spark: SparkSession, d: str) -> DataFrame:
     return allitems.slim_ridge_all(materialize(_ratings(spark, d), "ratings"), 50.0)
 
 
+@query()
+def lw2_popular_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """All other items as features, the 100 most popular active items as targets."""
+    ratings, items = materialize(_ratings(spark, d), "ratings"), t.items(spark, d)
+    return allitems.slim_ridge_all(ratings, 50.0, linear.popular_targets(ranking.popularity(ratings, items), items, 100))
+
+
 @query()
 def lw2_corated_ridge(spark: SparkSession, d: str) -> DataFrame:
     """All co-rated items as features, on the event stream's small catalogue."""
