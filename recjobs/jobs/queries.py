@@ -681,12 +681,12 @@ def lw8_scm_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw8_scm_logistic(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.scm_all(materialize(_ratings(spark, d), "ratings"), "logistic", 0.1)
+    return allitems.scm_all(materialize(prep.implicit(_ratings(spark, d)), "ratings"), "logistic", 0.1)
 
 
 @query()
 def lw8_scm_svm(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.scm_all(materialize(_ratings(spark, d), "ratings"), "svm", 0.1)
+    return allitems.scm_all(materialize(prep.implicit(_ratings(spark, d)), "ratings"), "svm", 0.01)
 
 
 @query()

@@ -217,8 +217,11 @@ def fit_all(ratings: DataFrame, solver: Solver, targets: DataFrame | None = None
     profiles = materialize(cells.select("x.idx", "x.rating"), "profiles").inputFiles()
     numbers = index.inputFiles()
 
-    per_block = max(1, TASK_BYTES // max(8 * n, 1))
     asked = index if targets is None else index.join(targets.select("item_id").distinct(), "item_id", "left_semi")
+    # blocks are bounded in bytes, and as many as tasks at least
+    tasks = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_asked = asked.count()
+    per_block = max(1, min(TASK_BYTES // max(8 * n, 1), -(-n_asked // tasks)))
     placed = dense_index(asked.select("idx").withColumnRenamed("idx", "own"), "own")
     blocks = placed.groupBy(F.floor(F.col("idx") / per_block).alias("block")).agg(F.sort_array(F.collect_list("own")).alias("own"))  # per_block at most
 
@@ -234,7 +237,7 @@ def fit_all(ratings: DataFrame, solver: Solver, targets: DataFrame | None = None
                 i, j = np.nonzero(w > 0 if positive else w)
                 yield pd.DataFrame({"src_id": ids[i], "dst_id": ids[np.asarray(own)[j]], "weight": w[i, j]})
 
-    return blocks.repartition(max(1, -(-n // per_block)), "block").select("own").mapInPandas(run, WEIGHTS)
+    return blocks.repartition(max(1, -(-n_asked // per_block)), "block").select("own").mapInPandas(run, WEIGHTS)
 
 
 def slim_ridge_all(ratings: DataFrame, alpha: float, targets: DataFrame | None = None, positive: bool = True) -> DataFrame:
