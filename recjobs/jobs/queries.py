@@ -596,11 +596,16 @@ def lw2_slim_ridge(spark: SparkSession, d: str) -> DataFrame:
     return allitems.slim_ridge_all(materialize(_ratings(spark, d), "ratings"), 50.0)
 
 
+def _popular(spark: SparkSession, d: str, ratings: DataFrame, n: int) -> DataFrame:
+    items = t.items(spark, d)
+    return linear.popular_targets(ranking.popularity(ratings, items), items, n)
+
+
 @query()
 def lw2_popular_ridge(spark: SparkSession, d: str) -> DataFrame:
     """All other items as features, the 100 most popular active items as targets."""
-    ratings, items = materialize(_ratings(spark, d), "ratings"), t.items(spark, d)
-    return allitems.slim_ridge_all(ratings, 50.0, linear.popular_targets(ranking.popularity(ratings, items), items, 100))
+    ratings = materialize(_ratings(spark, d), "ratings")
+    return allitems.slim_ridge_all(ratings, 50.0, _popular(spark, d, ratings, 100))
 
 
 @query()
@@ -613,12 +618,15 @@ def lw2_corated_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw3_slim_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.slim_elastic_net_all(materialize(_ratings(spark, d), "ratings"), 0.002, 0.01)
+    """All other items as features, the 200 most popular active items as targets."""
+    ratings = materialize(_ratings(spark, d), "ratings")
+    return allitems.slim_elastic_net_all(ratings, 0.002, 0.01, _popular(spark, d, ratings, 200))
 
 
 @query()
 def lw4_slim_lasso(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.slim_lasso_all(materialize(_ratings(spark, d), "ratings"), 0.002)
+    ratings = materialize(_ratings(spark, d), "ratings")
+    return allitems.slim_lasso_all(ratings, 0.002, _popular(spark, d, ratings, 200))
 
 
 @query("SELECT item_id FROM popular SEMI JOIN (SELECT item_id FROM items WHERE active) USING (item_id) ORDER BY rank LIMIT 100", "popular", "items")
@@ -681,12 +689,14 @@ def lw8_scm_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw8_scm_logistic(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.scm_all(materialize(prep.implicit(_ratings(spark, d)), "ratings"), "logistic", 0.1)
+    ratings = materialize(prep.implicit(_ratings(spark, d)), "ratings")
+    return allitems.scm_all(ratings, "logistic", 0.1, _popular(spark, d, ratings, 200))
 
 
 @query()
 def lw8_scm_svm(spark: SparkSession, d: str) -> DataFrame:
-    return allitems.scm_all(materialize(prep.implicit(_ratings(spark, d)), "ratings"), "svm", 0.01)
+    ratings = materialize(prep.implicit(_ratings(spark, d)), "ratings")
+    return allitems.scm_all(ratings, "svm", 0.01, _popular(spark, d, ratings, 200))
 
 
 @query()
@@ -724,7 +734,7 @@ def lw12_gradient_factors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw13_singular_values(spark: SparkSession, d: str) -> DataFrame:
-    return factors.singular_values(materialize(_ratings(spark, d), "ratings"), 6)
+    return factors.singular_values(materialize(_ratings(spark, d), "ratings"), 6, tolerance=1e-3)
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:

@@ -122,7 +122,7 @@ def conjugate_gradients(times: Callable[[np.ndarray], np.ndarray], right: np.nda
     raise RuntimeError("conjugate gradients did not converge")
 
 
-def accelerated(slope: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int], steep: float, l1: float = 0.0, positive: bool = False, most: int = 20_000) -> np.ndarray:
+def accelerated(slope: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tuple[int, int], steep: float, l1: float = 0.0, positive: bool = False, tolerance: float = TOLERANCE, most: int = 20_000) -> np.ndarray:
     """Minimise f(w) + l1 |w| for all columns by proximal gradient steps with momentum, which starts anew
     in a column whose last step went against it. ``slope(w, columns)`` is f's, ``steep`` bounds its
     change; columns that have settled are left out of further steps."""
@@ -141,7 +141,7 @@ def accelerated(slope: Callable[[np.ndarray, np.ndarray], np.ndarray], shape: tu
         after = np.where(back, 1.0, (1 + np.sqrt(1 + 4 * t * t)) / 2)
         ahead = step + np.where(back, 0.0, (t - 1) / after) * (step - now)
         now, t = step, after
-        settled = moved <= TOLERANCE * scale
+        settled = moved <= tolerance * scale
         if settled.any():
             w[:, columns[settled]] = now[:, settled]
             columns, now, ahead, t, scale = columns[~settled], now[:, ~settled], ahead[:, ~settled], t[~settled], scale[~settled]
@@ -202,7 +202,8 @@ def classifier_solver(kind: str, c: float) -> Solver:
                 rows.add_back(y * terms(y * rows.times(w))[1], pull)
             return _without_own(w - factor * c * pull, own[some])
 
-        return accelerated(slope, (blocks.n, len(own)), 1 + c * factor * bend * blocks.largest_eigenvalue())
+        # the penalty bends every direction by 1, so weights are as near as the slope is to 0
+        return accelerated(slope, (blocks.n, len(own)), 1 + c * factor * bend * blocks.largest_eigenvalue(), tolerance=1e-7)
 
     return solve
 
