@@ -227,3 +227,24 @@ def test_predictions_of_repeated_splits(spark):
     assert classify.repeated_predictions(docs.limit(0), 2, 0.001).count() == 0
     split = {(r.rep, r.id) for r in classify.stratified_split(docs.select("id", "label"), 2, 0.25, 1).filter("test").collect()}
     assert {(r.rep, r.id) for r in rows} == split
+
+
+@pytest.mark.parametrize(("words", "vocabulary", "k", "shrink"), [(5, 9, 4, 2), (40, 60, 3, 2), (2, 3, 50, 1)])
+def test_nearest_content_against_all_pairs(spark, monkeypatch, words, vocabulary, k, shrink):
+    """Short rows meet under several tokens, long ones under rare tokens first; a token of most rows,
+    rows of one token, ties, two sides, more neighbours asked for than there are."""
+    monkeypatch.setattr(similarity, "KEY_BLOCK", 16)
+    monkeypatch.setattr(similarity, "RARE", 1)
+    monkeypatch.setattr(similarity, "FIRST_PAIRS", 1)
+    rng = np.random.default_rng(words)
+    rows = [(0, "a", "all", 1.0), (1, "b", "alone", 2.0)]
+    for i in range(2, 90):
+        drawn = {int(vocabulary * rng.random() ** 2) for _ in range(words)}
+        rows += [(i, "ab"[w % 2], f"t{w}", float(1 + w % 4)) for w in drawn] + [(i, "a", "all", 0.5)] * (i % 3 > 0)
+    content = spark.createDataFrame(rows, "id long, attr string, token string, weight double").cache()
+    for left, right in ((None, None), (range(0, 90, 3), range(10, 90))):
+        sides = [None if x is None else spark.createDataFrame([(i,) for i in x], "id long") for x in (left, right)]
+        every = similarity.similarities(similarity.content_dots(content, *sides), shrink)
+        want = {(r.i, r.j, r.rank): r.sim for r in similarity.nearest(every, k).collect()}
+        got = {(r.i, r.j, r.rank): r.sim for r in similarity.content_nearest(content, k, shrink, *sides).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in want)
