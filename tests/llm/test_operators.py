@@ -416,9 +416,13 @@ def test_decontamination_of_short_items(spark):
     assert got == {(1, 1): 1.0, (3, 2): 1.0, (1, 5): 1.0}
 
 
-def test_decontamination_against_aligning_all_pairs(spark, monkeypatch):
-    """Of all pairs that align well enough, those that share a seed are found, each with its score."""
+@pytest.mark.parametrize("rare", [0, 2, 1000])
+def test_decontamination_against_aligning_all_pairs(spark, monkeypatch, rare):
+    """Of all pairs that align well enough, those that share a seed are found, each with its score,
+    whether its seeds are rare or frequent."""
     monkeypatch.setattr(decontaminate, "ALIGN_CELLS", 500)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    monkeypatch.setattr(decontaminate, "RARE", rare)
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 40)))) for i in range(20)]
@@ -449,6 +453,38 @@ def test_decontamination_against_aligning_all_pairs(spark, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_seeds_are_counted_over_all_documents(spark, monkeypatch):
+    """Each document counts once for a seed, however often it holds it, and whatever partition it is in."""
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b c d e"), (3, "x y"), (4, "z")], "item_id long, text string")
+    texts = ["a b c a b c", "A B C", "b c d", "b c d e b c d", "q b c d", "x y", "x", "z z z", None, ""]
+    files = decontaminate.materialize(items, "items").inputFiles()
+    block = decontaminate.Block.read(files)
+    seed = {" ".join(w): int(block.seeds[n].unique[k].view(np.int64)) for n in range(3) for k in range(len(block.seeds[n].unique)) for w in [items_words(block, n, k)]}
+    rows = table(spark, list(enumerate(texts))).select("doc_id", "text").repartition(4)
+    for rare, want in ((0, {"a b c", "b c d", "c d e", "x y", "z"}), (1, {"a b c", "b c d"}), (2, {"b c d"}), (3, set())):
+        got = {r.seed for r in decontaminate.frequent_seeds(rows, files, rare).collect()}
+        assert got == {seed[w] for w in want}
+
+
+def items_words(block, n, k):
+    """The words of a seed, from the items as they are written above."""
+    seeds = block.seeds[n]
+    words = [["a", "b", "c", "d"], ["b", "c", "d", "e"], ["x", "y"], ["z"]][seeds.item[seeds.start[k]]]
+    at = seeds.at[seeds.start[k]]
+    return words[at : at + seeds.length]
+
+
+def test_the_bound_on_words_never_drops_an_alignment():
+    rng = np.random.default_rng(5)
+    items, windows_ = rng.integers(2, 12, (3000, 9)).astype(np.uint64), rng.integers(2, 30, (3000, 26)).astype(np.uint64)
+    length = rng.integers(3, 10, 3000)
+    items[np.arange(9) >= length[:, None]] = 0
+    score, _ = decontaminate.smith_waterman(items, windows_)
+    may = decontaminate.may_align(items, length, windows_, 0.5)
+    reached = score / (2 * length) >= 0.5
+    assert (may | ~reached).all() and reached.sum() > 100 and (~may).sum() > 100
+
+
 def test_decontamination_of_an_edited_copy_among_many(spark):
     words = [f"word{k}" for k in range(14)]
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
