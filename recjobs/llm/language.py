@@ -2,12 +2,12 @@
 one versus one, among the languages of that family.
 
 Features are square-rooted, length-normalised counts of hashed byte n-grams (1 to 3) within words.
-Models are fitted on a bounded sample of labelled rows (MAX_PER_LANGUAGE each), whole texts.
+Models are fitted on a bounded sample of labelled rows (MAX_PER_LANGUAGE each, and MAX_FAMILY_ROWS
+in all for the families), whole texts; the families' model and each machine is a task of its own.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
+from recjobs.functions.storage import materialize
 from recjobs.llm.textvec import LOWER, Texts, slices
 
 _U = np.uint64
 BUCKETS = 4096
 MAX_PER_LANGUAGE = 600
+MAX_FAMILY_ROWS = 12000  # a row is BUCKETS numbers of 4 bytes in the task that fits the families
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -100,22 +102,23 @@ def fit_svm(x: np.ndarray, sign: np.ndarray, steps: int = 200, l2: float = 1e-4)
     return w
 
 
+def families_of(langs: list[str]) -> dict[str, list[str]]:
+    """The languages of each family, both in order."""
+    out: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        out.setdefault(FAMILIES.get(lang, lang), []).append(lang)
+    return dict(sorted(out.items()))
+
+
 class LanguageModel:
-    def __init__(self, x: np.ndarray, langs: np.ndarray):
-        self.families: dict[str, list[str]] = {}
-        for lang in sorted(set(langs)):
-            self.families.setdefault(FAMILIES.get(lang, lang), []).append(lang)
-        self.names = sorted(self.families)
-        family = np.array([self.names.index(FAMILIES.get(lang, lang)) for lang in langs])
-        self.family_weights = fit_softmax(x, family, len(self.names)) if len(self.names) else None
-        self.machines: dict[tuple[str, str], np.ndarray] = {}
-        for members in self.families.values():
-            for a, b in combinations(members, 2):
-                rows = (langs == a) | (langs == b)
-                self.machines[a, b] = fit_svm(x[rows], np.where(langs[rows] == a, 1, -1).astype(np.float32))
+    """The families' softmax weights, and a machine for each pair of languages of one family."""
+
+    def __init__(self, families: dict[str, list[str]], family_weights: np.ndarray, machines: dict[tuple[str, str], np.ndarray]):
+        self.families, self.family_weights, self.machines = families, family_weights, machines
+        self.names = list(families)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The language and a score from 0 to 1 (family probability times the share of votes)."""
+        """The language and a score from 0 to 1 (family probability, times a sigmoid of the summed margins if the family has more languages)."""
         z = x @ self.family_weights
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -142,7 +145,9 @@ class LanguageModel:
 
 
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Fit on at most MAX_PER_LANGUAGE rows of each language (those of least id hash), whole texts."""
+    """Fit on at most MAX_PER_LANGUAGE rows of each language (those of least id hash), whole texts. The
+    families' model takes an equal part of MAX_FAMILY_ROWS of each; None without a labelled text with letters."""
+    spark = labelled.sparkSession
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +156,7 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
                 keep = np.flatnonzero(has_letter(column))
                 x = features(column.take(pa.array(keep)))
                 # counts of a row are recovered up to one factor: a byte a bucket keeps the sample small
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), part.column(2).take(pa.array(keep))], ["lang", "x", "n"])
 
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
     # thin out before the exact cut, so that the window only orders a few rows of each language
@@ -160,20 +165,34 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1 << 30)) < int(min(1.0, 1.5 * MAX_PER_LANGUAGE / n) * (1 << 30))))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = rows.filter(keep).withColumn("n", first).filter(F.col("n") <= MAX_PER_LANGUAGE).select("lang", "text")
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        if rows:
-            x = np.empty((len(rows), BUCKETS), np.float32)
-            for k, (_, data) in enumerate(rows):
-                x[k] = np.frombuffer(data, np.float16)
-            model = LanguageModel(x, np.array([lang for lang, _ in rows], object))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    # the sample is bounded, so one task can fit it; the driver gets the weights alone
-    fitted = sample.mapInArrow(vectors, "lang string, x binary").repartition(1).mapInArrow(fit, "model binary").collect()
-    return pickle.loads(fitted[0].model) if fitted else None
+    sample = rows.filter(keep).withColumn("n", first).filter(F.col("n") <= MAX_PER_LANGUAGE).select("lang", "text", "n")
+    sample = materialize(sample.mapInArrow(vectors, "lang string, x binary, n int"), "language-sample")
+
+    langs = [r.lang for r in sample.select("lang").distinct().collect()]
+    if not langs:
+        return None
+    families = families_of(langs)
+    pairs = [pair for members in families.values() for pair in combinations(members, 2)]
+    name_of = {lang: k for k, members in enumerate(families.values()) for lang in members}
+
+    def fit(table: pa.Table) -> pa.Table:
+        task = table["task"][0].as_py()
+        rows = sorted(zip(table["lang"].to_pylist(), table["x"].to_pylist()))
+        x = np.empty((len(rows), BUCKETS), np.float32)
+        for k, (_, data) in enumerate(rows):
+            x[k] = np.frombuffer(data, np.float16)
+        if task < 0:
+            w = fit_softmax(x, np.array([name_of[lang] for lang, _ in rows]), len(families))
+        else:
+            w = fit_svm(x, np.array([1 if lang == pairs[task][0] else -1 for lang, _ in rows], np.float32))
+        return pa.table({"task": pa.array([task], pa.int32()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+
+    # -1 is the families' model, else the number of a pair; the driver gets the weights alone
+    uses = [(lang, -1, MAX_FAMILY_ROWS // len(langs)) for lang in langs] + [(lang, k, MAX_PER_LANGUAGE) for k, pair in enumerate(pairs) for lang in pair]
+    tasks = sample.join(F.broadcast(spark.createDataFrame(uses, "lang string, task int, most int")), "lang").filter("n <= greatest(most, 1)")
+    fitted = tasks.select("task", "lang", "x").repartition(len(pairs) + 1, "task").groupBy("task").applyInArrow(fit, "task int, w binary").collect()
+    weights = {r.task: np.frombuffer(r.w, np.float32) for r in fitted}
+    return LanguageModel(families, weights[-1].reshape(BUCKETS, len(families)), {pair: weights[k] for k, pair in enumerate(pairs)})
 
 
 def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_row: bool = False) -> DataFrame:
