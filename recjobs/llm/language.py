@@ -24,6 +24,7 @@ from recjobs.llm.textvec import LOWER, Texts, slices
 _U = np.uint64
 BUCKETS = 4096
 MAX_PER_LANGUAGE = 600
+ROWS = 64  # of features at a time: 2 MB of counts
 MAX_FAMILY_ROWS = 12000  # a row is BUCKETS numbers of 4 bytes in the task that fits the families
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -154,9 +155,10 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
             for part in slices(batch):
                 column = part.column(1)
                 keep = np.flatnonzero(has_letter(column))
-                x = features(column.take(pa.array(keep)))
-                # counts of a row are recovered up to one factor: a byte a bucket keeps the sample small
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), part.column(2).take(pa.array(keep))], ["lang", "x", "n"])
+                for at in range(0, len(keep), ROWS):
+                    rows = pa.array(keep[at : at + ROWS])
+                    x = [r.tobytes() for r in features(column.take(rows)).astype(np.float16)]  # half precision keeps the sample small
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(x, pa.binary()), part.column(2).take(rows)], ["lang", "x", "n"])
 
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
     # thin out before the exact cut, so that the window only orders a few rows of each language
@@ -177,20 +179,23 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
 
     def fit(table: pa.Table) -> pa.Table:
         task = table["task"][0].as_py()
-        rows = sorted(zip(table["lang"].to_pylist(), table["x"].to_pylist()))
-        x = np.empty((len(rows), BUCKETS), np.float32)
-        for k, (_, data) in enumerate(rows):
-            x[k] = np.frombuffer(data, np.float16)
+        order = table.select(["lang", "n"]).sort_by([("lang", "ascending"), ("n", "ascending")])
+        at = {row: k for k, row in enumerate(zip(*(c.to_pylist() for c in order.columns)))}
+        x = np.empty((len(order), BUCKETS), np.float32)
+        for batch in table.to_batches(ROWS):
+            for lang, n, data in zip(batch["lang"].to_pylist(), batch["n"].to_pylist(), batch["x"]):
+                x[at[lang, n]] = np.frombuffer(data.as_buffer(), np.float16)
+        rows = order["lang"].to_pylist()
         if task < 0:
-            w = fit_softmax(x, np.array([name_of[lang] for lang, _ in rows]), len(families))
+            w = fit_softmax(x, np.array([name_of[lang] for lang in rows]), len(families))
         else:
-            w = fit_svm(x, np.array([1 if lang == pairs[task][0] else -1 for lang, _ in rows], np.float32))
+            w = fit_svm(x, np.array([1 if lang == pairs[task][0] else -1 for lang in rows], np.float32))
         return pa.table({"task": pa.array([task], pa.int32()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     # -1 is the families' model, else the number of a pair; the driver gets the weights alone
     uses = [(lang, -1, MAX_FAMILY_ROWS // len(langs)) for lang in langs] + [(lang, k, MAX_PER_LANGUAGE) for k, pair in enumerate(pairs) for lang in pair]
     tasks = sample.join(F.broadcast(spark.createDataFrame(uses, "lang string, task int, most int")), "lang").filter("n <= greatest(most, 1)")
-    fitted = tasks.select("task", "lang", "x").repartition(len(pairs) + 1, "task").groupBy("task").applyInArrow(fit, "task int, w binary").collect()
+    fitted = tasks.select("task", "lang", "n", "x").repartition(len(pairs) + 1, "task").groupBy("task").applyInArrow(fit, "task int, w binary").collect()
     weights = {r.task: np.frombuffer(r.w, np.float32) for r in fitted}
     return LanguageModel(families, weights[-1].reshape(BUCKETS, len(families)), {pair: weights[k] for k, pair in enumerate(pairs)})
 
@@ -212,8 +217,8 @@ def identify_language(docs: DataFrame, learn: Column | None = None, id_col: str
                 column = part.column(1)
                 langs, scores = np.full(len(column), "und", object), np.zeros(len(column))
                 known = np.flatnonzero(has_letter(column)) if model else np.empty(0, int)
-                for at in range(0, len(known), 512):
-                    rows = known[at : at + 512]
+                for at in range(0, len(known), ROWS):
+                    rows = known[at : at + ROWS]
                     langs[rows], scores[rows] = model.predict(features(column.take(pa.array(rows))))
                 found = [part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*found, part.column(2)] if with_row else found, schema.names)
