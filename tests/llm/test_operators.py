@@ -750,29 +750,3 @@ def test_softmax_against_newton_steps():
         w = w - np.linalg.solve(curve + 1e-5 * np.eye(15), gradient)
     best, got = parts(w)[0], parts(language.fit_softmax(x, y, 3).astype(float).ravel())[0]
     assert best <= got + 1e-7 and got <= 1.01 * best
-
-
-@pytest.mark.parametrize("most", [12000, 60])
-def test_tasks_fit_what_one_machine_fits(spark, monkeypatch, most):
-    """Families and pairs in tasks of their own have the weights of a fit in one place."""
-    monkeypatch.setattr(language, "MAX_FAMILY_ROWS", most)
-    sets = {"en": ["the", "and", "with"], "de": ["der", "und", "mit"], "nl": ["de", "en", "met"], "fr": ["le", "et", "avec"], "xx": ["qo", "zu"]}
-    rows = [(i, " ".join(random.Random(i).choices(sets[lang], k=12)), lang) for i, lang in enumerate(sorted(sets) * 20)] + [(900, "123", "yy"), (901, None, "zz")]
-    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.fit_language_model(made)
-    assert model.families == {"germanic": ["de", "en", "nl"], "romance": ["fr"], "xx": ["xx"]}
-    order = {r.doc_id: r.h for r in made.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    rows = sorted((r for r in rows if r[2] in sets), key=lambda r: order[r[0]])
-    x = {lang: [language.features(pa.array([t]))[0].astype(np.float16) for _, t, k in rows if k == lang] for lang in sets}
-
-    def together(langs, n):
-        found = sorted((lang, v.tobytes()) for lang in langs for v in x[lang][:n])
-        return np.array([np.frombuffer(v, np.float16) for _, v in found], np.float32), [lang for lang, _ in found]
-
-    for (a, b), w in model.machines.items():
-        data, langs = together((a, b), 600)
-        assert np.allclose(w, language.fit_svm(data, np.array([1 if k == a else -1 for k in langs], np.float32)), atol=1e-5)
-    assert set(model.machines) == {("de", "en"), ("de", "nl"), ("en", "nl")}
-    data, langs = together(sets, most // 5)
-    family = np.array([["germanic", "romance", "xx"].index(language.FAMILIES.get(k, k)) for k in langs])
-    assert np.allclose(model.family_weights, language.fit_softmax(data, family, 3), atol=1e-4)
