@@ -128,13 +128,14 @@ def _align(texts: Texts, block: Block, frequent: list[np.ndarray], min_score: fl
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for where, item, diagonal, often in _hits(block, words, doc, frequent):
         place, length = doc[where], block.lengths[item]
-        # hits near one diagonal share a window; one of a rare seed comes first
+        # hits near one diagonal share a window, whose place doesn't depend on which of them are rare
         cell = diagonal // np.maximum(length // 2, 1)
-        order = np.lexsort((diagonal, often, cell, item, place))
+        order = np.lexsort((diagonal, item, place))
         place, item, length, diagonal, cell, often = (x[order] for x in (place, item, length, diagonal, cell, often))
         new = np.ones(len(order), bool)
         new[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
-        place, item, length, diagonal, often = (x[new] for x in (place, item, length, diagonal, often))
+        often = np.logical_and.reduceat(often, np.flatnonzero(new))
+        place, item, length, diagonal = (x[new] for x in (place, item, length, diagonal))
         by_length = np.argsort(length, kind="stable")
         a = 0
         while a < len(by_length):
