@@ -44,6 +44,8 @@ CHUNK_TOKENS = 400_000
 FILED_ONCE = 20_000
 PAIR_TIMES = 4  # chunks that are met pair by pair are so many times larger, as each travels to many
 ROUNDS = 3
+FILTER_BITS = 26  # of the filter of ids whose texts are read again (8 MB), at most
+_FILTER_SALTS = np.array([0x8CB92BA72F3D8DD7, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 FANOUT = 8
 
 
@@ -427,20 +429,61 @@ def _several(filed: DataFrame) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, set_id long")
 
 
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each id in a filter of so many."""
+    return (mix(ids.view(_U)[:, None] ^ _FILTER_SALTS) & _U(bits - 1)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``ids(set_id)`` as a bitmap of at most 2**FILTER_BITS bits."""
+    bits = 1 << min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((_U(1) << (at & 63).astype(_U)).view(np.int64))], ["word", "bit"])
+
+    words = ids.select("set_id").mapInArrow(place, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("held")).toArrow()
+    found = np.zeros(bits >> 6, _U)
+    found[words["word"].to_numpy()] = words["held"].to_numpy().view(_U)
+    return found
+
+
+def _sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """``named(set_id, ...)`` with the shingles of each document of that id: its columns, ``n_shingles,
+    tokens, near``, the last being a min-hash for each round.
+
+    No text travels: a filter of the ids, whose size is bounded, tells tasks which texts may be named,
+    and an exact join of their shingles follows."""
+    held = _id_filter(named)
+    salts = [_U(0xA0761D6478BD642F * (r + 1) & (1 << 64) - 1) for r in range(ROUNDS)]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), 64 * len(held))
+            may = (held[at >> 6] >> (at & 63).astype(_U) & _U(1)).all(1)
+            for part in slices(batch.filter(pa.array(may))):
+                found = list(shingles(part.column(1), k))
+                near = [[int(mix(u ^ s).min().astype(np.int64)) if len(u) else 0 for s in salts] for u in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary()), pa.array(near, pa.list_(pa.int64()))], ["set_id", "n_shingles", "tokens", "near"])
+
+    found = docs.filter("doc_id is not null").mapInArrow(tokens, "set_id long, n_shingles long, tokens binary, near array<long>").filter("n_shingles > 0")
+    # a sort-merge join at every size: what is named grows with the corpus, so it is never broadcast
+    return found.join(named.hint("merge"), "set_id")
+
+
 def _refiled(docs: DataFrame, sets: DataFrame, k: int, t: Fraction) -> DataFrame:
     """``(key, set_id)``: the sets named filed again, each by its rarest shingles (how many of these
     sets hold a shingle is counted exactly); shingles that only one of them holds bring nothing together."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                found = list(shingles(part.column(1), k))
-                n = np.array([len(u) for u in found], np.int64)
-                marks = np.array([_mixed(u)[1] for u in found], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, _U), *found]).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(marks, n)), pa.array(np.repeat(n, n))], ["shingle", "set_id", "mark", "n"])
+            found = [np.frombuffer(x, _U) for x in batch.column(1).to_pylist()]
+            n = np.array([len(u) for u in found], np.int64)
+            marks = np.array([_mixed(u)[1] for u in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, _U), *found]).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(marks, n)), pa.array(np.repeat(n, n))], ["shingle", "set_id", "mark", "n"])
 
-    texts = docs.join(sets.select(F.col("set_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    rows = materialize(texts.select("doc_id", "text").mapInArrow(cells, "shingle long, set_id long, mark long, n long").distinct(), "cells")
+    rows = materialize(_sets(docs, sets, k).select("set_id", "tokens").mapInArrow(cells, "shingle long, set_id long, mark long, n long").distinct(), "cells")
     held = materialize(rows.groupBy("shingle").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "held")
     rare = split_join(rows, held.withColumn("n_sets", F.col("n_rows")), ["shingle"], hot_limit(rows.count()))
     first = rare.groupBy("set_id", "mark").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("n_sets", "shingle"))).alias("shared"))
@@ -487,17 +530,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: float | Fraction
         edges = edges.unionByName(materialize(_candidates(met(_refiled(source, large, k, t)), t, chain=True), "candidates"))
     clusters = connected_components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = [_U(0xA0761D6478BD642F * (r + 1) & (1 << 64) - 1) for r in range(ROUNDS)]
-        for batch in batches:
-            for part in slices(batch):
-                found = list(shingles(part.column(2), k))
-                near = [[int(mix(u ^ s).min().astype(np.int64)) if len(u) else 0 for s in salts] for u in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, found), pa.int64()), pa.array([u.tobytes() for u in found], pa.binary()), pa.array(near, pa.list_(pa.int64()))], ["set_id", "cluster", "n_shingles", "tokens", "near"])
-
-    # a sort-merge join at every size: the candidates grow with the corpus, so they are never broadcast
-    members = source.withColumnRenamed("doc_id", "set_id").join(clusters.hint("merge"), "set_id").select("set_id", "cluster", "text")
-    members = materialize(members.mapInArrow(tokens, "set_id long, cluster long, n_shingles long, tokens binary, near array<long>").filter("n_shingles > 0"), "members")
+    members = materialize(_sets(source, clusters, k), "members")
 
     # clusters of one chunk are done at once
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n_rows"), (F.count("*") > CHUNK_SETS).alias("many"), (F.sum("n_shingles") > CHUNK_TOKENS).alias("long"))

@@ -133,6 +133,32 @@ def test_join_of_keys_of_many_sets(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, Fraction(4, 5))
 
 
+def joined_columns(plan):
+    """The output of each join in a physical plan."""
+    own = [plan.output().mkString(",")] if "Join" in plan.nodeName() else []
+    return own + [x for i in range(plan.children().size()) for x in joined_columns(plan.children().apply(i))]
+
+
+@pytest.mark.parametrize("filter_bits", [26, 6])
+def test_join_moves_no_texts(spark, monkeypatch, filter_bits):
+    """Shingles of few sets travel, never all texts, not even with keys of many sets; and a filter that is
+    too small for the ids, so that it holds nearly all, changes no result."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", 8)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", filter_bits, raising=False)
+    joins = []
+
+    def kept(df, name="stage", write=ngram_join.materialize):
+        joins.extend(joined_columns(df._jdf.queryExecution().sparkPlan()))
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    passage, rows = prose(60, 3), [(500 + i, prose(30, 500 + i)) for i in range(60)]
+    rows += [(i, f"{passage} {prose(25, 100 + i // 3)} {'z' * (i % 3)}") for i in range(60)]
+    got = ngram_join.ngram_jaccard_join(table(spark, rows), 5, 0.8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, Fraction(4, 5))
+    assert joins and not [x for x in joins if "text#" in x]
+
+
 def test_join_of_repeated_ids(spark):
     """Rows of one id are one document; rows without an id are linked with nothing."""
     a, b, c = prose(40, 1), prose(40, 2), prose(40, 3)
