@@ -7,9 +7,13 @@ rows of their own except where a stage says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recjobs.functions.storage import materialize
+from recjobs.functions.workers import small_batches
 from recjobs.llm.decontaminate import find_contamination
 from recjobs.llm.language import identify_language
 from recjobs.llm.line_dedup import line_dedup
@@ -18,6 +22,21 @@ from recjobs.llm.pieces import encode_pieces
 from recjobs.llm.queries import tokenizer_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(step: Stage) -> Stage:
+    """Stages run in one session, whose executors keep their workers: all of them pass small Arrow batches."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has no letter go (null and empty texts among them), each for itself. The predicted
     language has no say in what is kept, as every learned language is clean text here."""
@@ -25,6 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common blocks go from the later document, and a document with nothing else goes altogether.
 
@@ -37,6 +57,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 5-word shingles at 0.8, the one of least id stays.
 
@@ -46,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(groups.filter("component_id < doc_id").select("doc_id"), "doc_id", "left_anti")
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, or an edited copy of one, go, with all rows of their id. Null and
     empty texts hold none; without test items all stay."""
@@ -53,6 +75,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(found.select("doc_id"), "doc_id", "left_anti")
 
 
+@stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, starts, ends)`` of each row: piece ids with their byte spans. Null and empty texts
     have the end id alone."""
@@ -71,6 +94,6 @@ ORACLE_SQL = None  # models, components and a tokenizer are beyond SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES:
+        docs = materialize(step(spark, docs, sf_dir), name)
     return docs

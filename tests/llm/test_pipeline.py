@@ -144,3 +144,25 @@ def test_a_random_corpus_of_lines(spark, sf_dir, order):
     rows = [(i, "\n".join(lines[k] for k in order(rng.sample(range(40), rng.randint(1, 8))))) for i in range(40)]
     assert rows_of(stage(spark, sf_dir, "line_dedup", rows)) == plain_lines(rows)
     assert len(set(itertools.chain.from_iterable(t.split("\n") for _, t in rows))) <= 40
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_stages_pass_small_batches(spark, sf_dir, name):
+    """Long texts don't go to workers ten thousand at a time."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(limit)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dict(pipeline.STAGES)[name](spark, docs, sf_dir)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 300, 1, 1).selectExpr("repeat(cast(id as string), 30000) AS text")
+    assert max(r.size for r in texts.mapInArrow(sizes, "size long").collect()) < 5 << 20
+    spark.conf.set(limit, "1024b")
+    dict(pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert spark.conf.get(limit) == "1024b"
+    spark.conf.unset(limit)
