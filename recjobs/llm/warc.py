@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize, new_folder
+from recjobs.functions.workers import small_batches
 from recjobs.llm.components import hot_limit, split_join
 from recjobs.llm.files import create, open_stream
 
@@ -140,7 +141,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write a record for each row, one archive a task; returns ``(path, n_records, bytes)``.
 
     Which record holds an equal payload first is settled on digests alone; only then do pages meet it.
+    Payloads go to the tasks' workers in small batches.
     """
+    small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload")).filter("page_id is not null")
     digests = materialize(source.select("page_id", F.sha1("payload").alias("sha1")), "digests")
     first = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n_rows")).filter("n_rows > 1")
