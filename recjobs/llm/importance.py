@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recjobs.functions.storage import materialize
+from recjobs.functions.workers import small_batches
 from recjobs.llm.textvec import Texts, slices
 
-SLICE_BYTES = 4 << 20  # of text that one suffix array covers, unless a single text is longer
+SLICE_BYTES = 1 << 20  # of text that one suffix array covers, unless a single text is longer
+BUCKET = np.dtype("<i4")  # of a bucket's number as it is written
+HASHED_AT_ONCE = 1 << 16  # n-grams, which are Python objects meanwhile
 
 #: Bytes of the word definition [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, after A-Z became a-z
 WORD_BYTE = np.zeros(256, bool)
@@ -73,10 +76,13 @@ def ngram_buckets(texts: pa.Array, n: int, buckets: int) -> tuple[np.ndarray, np
         whole = left[order] >= length
         place, run = order[whole], np.cumsum(shared[whole] < length) - 1
         heads = place[np.flatnonzero(np.diff(run, prepend=-1))]
-        parts = [ids[heads + k].tolist() for k in range(length)]
-        hashed = [zlib.crc32(names[p[0] - 1] if length == 1 else b" ".join([names[i - 1] for i in p])) % buckets for p in zip(*parts)]
+        hashed = np.empty(len(heads), np.int32)
+        for at in range(0, len(heads), HASHED_AT_ONCE):
+            some = heads[at : at + HASHED_AT_ONCE]
+            parts = [ids[some + k].tolist() for k in range(length)]
+            hashed[at : at + len(some)] = [zlib.crc32(names[p[0] - 1] if length == 1 else b" ".join([names[i - 1] for i in p])) % buckets for p in zip(*parts)]
         bucket = np.full(len(ids), -1, np.int32)
-        bucket[place] = np.array(hashed, np.int32)[run]  # back to all occurrences
+        bucket[place] = hashed[run]  # back to all occurrences
         found.append(bucket[bucket >= 0])
         of_text.append(text[bucket >= 0])
     where = np.argsort(np.concatenate(of_text), kind="stable")
@@ -84,16 +90,27 @@ def ngram_buckets(texts: pa.Array, n: int, buckets: int) -> tuple[np.ndarray, np
 
 
 def bucket_table(texts: DataFrame, n: int, buckets: int) -> DataFrame:
-    """``(doc_id, n_words, buckets array<int>)`` of rows ``(doc_id, text)``, written."""
+    """``(doc_id, n_words, buckets binary)`` of rows ``(doc_id, text)``, written. A text's buckets are one
+    value of 32-bit integers, as Spark takes arrays apart into objects and copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, size=SLICE_BYTES):
                 found, sizes, n_words = ngram_buckets(part.column(1), n, buckets)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(found))], ["doc_id", "n_words", "buckets"])
+                cuts = BUCKET.itemsize * np.concatenate([[0], np.cumsum(sizes)])
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(found.astype(BUCKET))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), packed.cast(pa.binary())], ["doc_id", "n_words", "buckets"])
 
-    return materialize(texts.mapInArrow(run, "doc_id long, n_words long, buckets array<int>"), "buckets")
+    return materialize(texts.mapInArrow(run, "doc_id long, n_words long, buckets binary"), "buckets")
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of a column of ``bucket_table``, and where each text's begin, with the end."""
+    column = column.cast(pa.large_binary())
+    first = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // BUCKET.itemsize
+    data = column.buffers()[2]
+    held = np.frombuffer(data, BUCKET, int(first[-1])) if data is not None else np.empty(0, BUCKET)
+    return held[first[0] : first[-1]], first - first[0]
 
 
 def bucket_totals(table: DataFrame, buckets: int) -> np.ndarray:
@@ -103,7 +120,7 @@ def bucket_totals(table: DataFrame, buckets: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(buckets, np.int64)
         for batch in batches:
-            totals += np.bincount(batch.column(0).flatten().to_numpy(), minlength=buckets)
+            totals += np.bincount(unpacked(batch.column(0))[0], minlength=buckets)
         held = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], ["bucket", "n"])
 
@@ -146,17 +163,17 @@ def importance_resampling(
     that repeat are drawn each for itself; other columns are ignored, whatever their names; an empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     table = bucket_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, buckets)
     aim = bucket_table(target.select(F.lit(None).cast("long").alias("doc_id"), F.col(target_col).alias("text")), n, buckets)
     gains = bucket_gains(bucket_totals(table, buckets), bucket_totals(aim, buckets))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(2)
-            first = held.offsets.to_numpy().astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(gains[held.flatten().to_numpy()])])
+            held, first = unpacked(batch.column(2))
+            total = np.concatenate([[0], np.cumsum(gains[held])])
             sizes = np.diff(first)
-            sums = total[first[1:] - first[0]] - total[first[:-1] - first[0]]
+            sums = total[first[1:]] - total[first[:-1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(sums // np.maximum(sizes, 1))], ["doc_id", "n_words", "n_features", "weight"])
 
     weighed = table.mapInArrow(weigh, "doc_id long, n_words long, n_features long, weight long").withColumn("score", F.col("weight") + gumbel(seed, F.col("doc_id")))
