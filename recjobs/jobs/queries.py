@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recjobs.functions.columns import rounded
 from recjobs.functions.storage import materialize, new_folder
 from recjobs.jobs import recommend
-from recjobs.operators import allitems, classify, evaluate, factors, features, hybrid, linear, prep, ranking, similarity
+from recjobs.operators import allitems, classify, evaluate, factors, features, hybrid, linear, pairs, prep, ranking, similarity
 from recjobs.sources import files, tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,16 +224,20 @@ def _content(spark: SparkSession, d: str) -> DataFrame:
     return materialize(features.content_table(items, "item_id", ["brand", "size"], ["title", "tags"], items.count()), "content")
 
 
+def _written_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(_ratings(spark, d), "ratings")
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.nearest(similarity.similarities(similarity.rating_dots(_ratings(spark, d)), 10), 50)
+    return pairs.nearest(_written_ratings(spark, d), 50, 10)
 
 
 def _content_near(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return similarity.content_nearest(_content(spark, d), k, 2)
 
 
-def _lists(spark: SparkSession, d: str) -> DataFrame:
-    ratings = _ratings(spark, d)
+def _lists(spark: SparkSession, d: str, ratings: DataFrame | None = None) -> DataFrame:
+    ratings = _written_ratings(spark, d) if ratings is None else ratings
     return recommend.collaborative_top_n(ratings, t.items(spark, d), t.targets(spark, d))
 
 
@@ -427,7 +431,7 @@ def pr12_normalized_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT i AS src_id, j AS dst_id, {r6('sim / max(abs(sim)) OVER (PARTITION BY j)')} AS weight FROM cnear", "cnear")
 def pr13_max_abs(spark: SparkSession, d: str) -> DataFrame:
-    return prep.max_abs_scale(similarity.as_weights(_near(spark, d))).withColumn("weight", rounded(F.col("weight")))
+    return prep.max_abs_scale(similarity.as_weights(materialize(_near(spark, d), "near"))).withColumn("weight", rounded(F.col("weight")))
 
 
 # ---------------------------------------------------------------- content features
@@ -570,7 +574,7 @@ def si9_cut(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM agram", "agram")
 def lw1_gram(spark: SparkSession, d: str) -> DataFrame:
-    return linear.gram(prep.max_per_pair(_all_raw(spark, d)))
+    return linear.gram(materialize(prep.max_per_pair(_all_raw(spark, d)), "ratings"))
 
 
 #: Gram entries of the pairs (a, b) of a table alone
@@ -582,12 +586,8 @@ PAIR_GRAM = "(SELECT p.a, p.b, sum(x.rating * y.rating) AS g FROM (SELECT DISTIN
     "cnear", "ratings",
 )
 def lw2_one_feature_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return linear.one_feature_ridge(_near(spark, d), linear.gram(_ratings(spark, d)), 20.0)
-
-
-def _gram(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ratings = materialize(_ratings(spark, d), "ratings")
-    return ratings, materialize(linear.gram(ratings), "gram")
+    profiles = pairs.profiles(_written_ratings(spark, d))
+    return linear.one_feature_ridge_of(pairs.nearest(profiles, 1, 10), profiles, 20.0)
 
 
 @query()
@@ -637,9 +637,8 @@ def lw5_popular_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw6_neighbour_slim(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    near = similarity.nearest(similarity.similarities(similarity.rating_dots(ratings), 10), 15)
-    return linear.slim_ridge(near, gram, 20.0)
+    profiles = pairs.profiles(_written_ratings(spark, d))
+    return linear.slim_ridge_of(pairs.nearest(profiles, 15, 10), profiles, 20.0)
 
 
 TWO = "(SELECT i, min(j) FILTER (rank = 1) AS j1, min(j) FILTER (rank = 2) AS j2 FROM {near} WHERE rank <= 2 GROUP BY i)"
@@ -660,21 +659,18 @@ def two_neighbours_sql(near: str) -> str:
 
 @query(two_neighbours_sql("cnear"), "cnear", "ratings")
 def lw6_two_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    ratings, gram = _gram(spark, d)
-    near = similarity.nearest(similarity.similarities(similarity.rating_dots(ratings), 10), 2)
-    return linear.slim_ridge(near, gram, 20.0).withColumn("weight", rounded(F.col("weight")))
+    profiles = pairs.profiles(_written_ratings(spark, d))
+    return linear.slim_ridge_of(pairs.nearest(profiles, 2, 10), profiles, 20.0).withColumn("weight", rounded(F.col("weight")))
 
 
 @query(two_neighbours_sql("inear"), "inear", "ratings")
 def lw6_two_content_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _gram(spark, d)
-    return linear.slim_ridge(_content_near(spark, d, 2), gram, 20.0).withColumn("weight", rounded(F.col("weight")))
+    return linear.slim_ridge_of(_content_near(spark, d, 2), _written_ratings(spark, d), 20.0).withColumn("weight", rounded(F.col("weight")))
 
 
 @query()
 def lw6_content_slim(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _gram(spark, d)
-    return linear.slim_ridge(_content_near(spark, d), gram, 20.0)
+    return linear.slim_ridge_of(_content_near(spark, d), _written_ratings(spark, d), 20.0)
 
 
 @query()
@@ -710,8 +706,9 @@ def lw9_neighbour_scm(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lw10_refit(spark: SparkSession, d: str) -> DataFrame:
-    _, gram = _gram(spark, d)
-    return linear.refit(linear.slim_ridge(linear.strongest(gram, 20), gram, 50.0), gram, 50.0, 10, 2)
+    profiles = pairs.profiles(_written_ratings(spark, d))
+    first = linear.slim_ridge_of(pairs.strongest(profiles, 20), profiles, 50.0)
+    return linear.refit(first, profiles, 50.0, 10, 2, linear.slim_ridge_of)
 
 
 @query()
@@ -774,23 +771,30 @@ def rk2_popular_unseen(spark: SparkSession, d: str) -> DataFrame:
     return ranking.popular_unseen(ranking.popularity(ratings, items), items, ratings, t.targets(spark, d), 5)
 
 
-def _mine(spark: SparkSession, d: str) -> DataFrame:
-    return prep.of_targets(_ratings(spark, d), t.targets(spark, d))
+def _mine(spark: SparkSession, d: str, ratings: DataFrame | None = None) -> DataFrame:
+    return prep.of_targets(_ratings(spark, d) if ratings is None else ratings, t.targets(spark, d))
+
+
+def _scores(spark: SparkSession, d: str, ratings: DataFrame | None = None, weights: Callable[[DataFrame], DataFrame] = similarity.as_weights, active: bool = True, **how) -> DataFrame:
+    """What the neighbours' items score for targets; with ``active`` only those that may be recommended."""
+    ratings, items = _written_ratings(spark, d) if ratings is None else ratings, t.items(spark, d)
+    every = items if active else items.withColumn("active", F.lit(True))
+    return pairs.scores(_mine(spark, d, ratings), weights(pairs.nearest(ratings, 50, 10)), every, **how)
 
 
 @query(f"SELECT m.user_id, w.j AS item_id, {r6('sum(m.rating * w.sim)')} AS score FROM mine m JOIN cnear w ON m.item_id = w.i GROUP BY 1, 2", "mine", "cnear")
 def rk3_item_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.item_scores(_mine(spark, d), similarity.as_weights(_near(spark, d)))
+    return _scores(spark, d, active=False)
 
 
 @query(f"SELECT m.user_id, w.i AS item_id, {r6('sum(m.rating * w.sim)')} AS score FROM mine m JOIN cnear w ON m.item_id = w.j GROUP BY 1, 2", "mine", "cnear")
 def rk4_neighbour_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.neighbour_scores(_mine(spark, d), _near(spark, d))
+    return _scores(spark, d, weights=similarity.as_candidates, active=False)
 
 
 @query(f"SELECT m.user_id, w.j AS item_id, {r6('sum(m.rating * w.sim) / CASE WHEN abs(sum(w.sim)) < 1e-6 THEN 1 ELSE sum(w.sim) END')} AS score FROM mine m JOIN cnear w ON m.item_id = w.i GROUP BY 1, 2", "mine", "cnear")
 def rk5_normalized_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.item_scores(_mine(spark, d), similarity.as_weights(_near(spark, d)), normalize=True)
+    return _scores(spark, d, active=False, normalize=True)
 
 
 @query(f"SELECT n.i AS user_id, r.item_id, {r6('sum(n.sim * r.rating)')} AS score FROM unear n JOIN ratings r ON r.user_id = n.j GROUP BY 1, 2", "unear", "ratings")
@@ -801,8 +805,7 @@ def rk6_user_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT *, {r6('1 / (1 + exp(-score))')} AS probability FROM scores", "scores")
 def rk7_sigmoid(spark: SparkSession, d: str) -> DataFrame:
-    active = prep.active_items(t.items(spark, d))
-    return ranking.with_sigmoid(ranking.item_scores(_mine(spark, d), similarity.as_weights(_near(spark, d)), active))
+    return ranking.with_sigmoid(_scores(spark, d))
 
 
 @query()
@@ -814,23 +817,23 @@ def rk8_factor_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM unseen", "unseen")
 def rk9_unseen(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.unseen(rk10_active_scores(spark, d), _mine(spark, d))
+    return _scores(spark, d, unseen=True)
 
 
 @query("SELECT * FROM scores", "scores")
 def rk10_active_scores(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.item_scores(_mine(spark, d), similarity.as_weights(_near(spark, d)), prep.active_items(t.items(spark, d)))
+    return _scores(spark, d)
 
 
 @query("SELECT * FROM lists", "lists")
 def rk11_top_n(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_n(rk9_unseen(spark, d), 5)
+    return _scores(spark, d, unseen=True, n=5)
 
 
 @query("SELECT * FROM recs", "recs")
 def rk12_fallback(spark: SparkSession, d: str) -> DataFrame:
-    ratings, items = _ratings(spark, d), t.items(spark, d)
-    return ranking.with_fallback(rk11_top_n(spark, d), t.targets(spark, d), ranking.popularity(ratings, items), items, 5)
+    ratings, items = _written_ratings(spark, d), t.items(spark, d)
+    return ranking.with_fallback(materialize(_scores(spark, d, ratings, unseen=True, n=5), "lists"), t.targets(spark, d), ranking.popularity(ratings, items), items, 5)
 
 
 _add("wide", "SELECT * FROM lists WHERE score > 2", "lists")
@@ -845,8 +848,8 @@ _add("wide", "SELECT * FROM lists WHERE score > 2", "lists")
 )
 def rk12_padded(spark: SparkSession, d: str) -> DataFrame:
     """Lists of scores above 2, filled up with popular items."""
-    ratings, items = materialize(_ratings(spark, d), "ratings"), t.items(spark, d)
-    return ranking.padded(rk11_top_n(spark, d).filter("score > 2"), t.targets(spark, d), ranking.popularity(ratings, items), items, ratings, 5)
+    ratings, items = _written_ratings(spark, d), t.items(spark, d)
+    return ranking.padded(materialize(_scores(spark, d, ratings, unseen=True, n=5), "lists").filter("score > 2"), t.targets(spark, d), ranking.popularity(ratings, items), items, ratings, 5)
 
 
 LENT = "(SELECT n.i AS user_id, r.item_id, r.rating FROM unear n JOIN ratings r ON r.user_id = n.j WHERE n.rank = 1 UNION ALL SELECT * FROM mine)"
@@ -882,7 +885,8 @@ def hy1_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, item_id, CAST(1 AS DOUBLE) AS rating FROM (SELECT user_id, item_id FROM ratings UNION SELECT user_id, item_id FROM recs)", "ratings", "recs")
 def hy2_enriched(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.enrich(_ratings(spark, d), _lists(spark, d))
+    ratings = _written_ratings(spark, d)
+    return hybrid.enrich(ratings, _lists(spark, d, ratings))
 
 
 @query()

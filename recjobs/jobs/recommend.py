@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from recjobs.functions.storage import materialize
-from recjobs.operators import features, hybrid, linear, ranking, similarity
+from recjobs.operators import features, hybrid, linear, pairs, ranking, similarity
 
 
 def collaborative_top_n(ratings: DataFrame, items: DataFrame, targets: DataFrame, k: int = 50, shrink: int = 10, n: int = 5) -> DataFrame:
     """Item neighbours by common raters; n unseen active items a target, popular ones for the rest."""
-    sims = similarity.similarities(similarity.rating_dots(ratings), shrink)
-    weights = similarity.as_weights(similarity.nearest(sims, k))
-    return recommend_with(ratings, weights, items, targets, n)
+    weights = similarity.as_weights(pairs.nearest(ratings, k, shrink))
+    lists = pairs.scores(ratings.join(targets, "user_id", "left_semi"), weights, items, unseen=True, n=n)
+    return ranking.with_fallback(materialize(lists, "lists"), targets, ranking.popularity(ratings, items), items, n)
 
 
 def recommend_with(ratings: DataFrame, weights: DataFrame, items: DataFrame, targets: DataFrame, n: int = 5) -> DataFrame:

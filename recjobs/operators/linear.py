@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from recjobs.functions.columns import best, rounded
 from recjobs.functions.kernels import enet_gram, logistic_terms, ragged, squared_hinge_terms
 from recjobs.functions.storage import materialize
-from recjobs.operators.similarity import profile_pairs, weights_to_neighbours
+from recjobs.operators import pairs
+from recjobs.operators.similarity import weights_to_neighbours
 
 STACK_BYTES = 32 << 20  # of targets' blocks solved at a time
 USERS_A_PART = 4096  # of a target's users in one task of scm
@@ -26,10 +27,9 @@ WEIGHTS = "src_id long, dst_id long, weight double"
 
 
 def gram(ratings: DataFrame) -> DataFrame:
-    """``(i, j, g)``: sums of products of rating columns over users, the diagonal included. Profiles
-    meet themselves by blocks (``similarity.profile_pairs``), so no user is one group."""
-    once = profile_pairs(ratings, diagonal=True).groupBy("i", "j").agg(F.sum(F.col("ri") * F.col("rj")).alias("g"))
-    return once.unionByName(once.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "g"))
+    """``(i, j, g)``: sums of products of rating columns over users, the diagonal included. Tasks add up the
+    rows of some items each (``pairs``); what isn't materialized is added up in every reading."""
+    return pairs.gram(ratings)
 
 
 def gram_added(gram_table: DataFrame, ratings: DataFrame, added: DataFrame) -> DataFrame:
@@ -148,6 +148,17 @@ def slim_lasso(neighbours: DataFrame, gram_table: DataFrame, n_users: int, alpha
     return _solve(_systems(neighbours, gram_table), _each(lambda g, c: enet_gram(g, c, n_users, alpha, 1.0, False)))
 
 
+def slim_ridge_of(neighbours: DataFrame, ratings: DataFrame | pairs.Profiles, alpha: float, positive: bool = True) -> DataFrame:
+    """``slim_ridge`` from the ratings: systems are added up in tasks, so no Gram table is made."""
+    return pairs.fitted(neighbours, ratings, _ridge(alpha), positive)
+
+
+def one_feature_ridge_of(neighbours: DataFrame, ratings: DataFrame | pairs.Profiles, alpha: float) -> DataFrame:
+    """``one_feature_ridge`` from the ratings."""
+    found = pairs.fitted(neighbours.filter("rank = 1"), ratings, lambda g, c: c / (g[:, :, 0] + alpha))
+    return found.withColumn("weight", rounded(F.col("weight"))).filter("weight > 0")
+
+
 def user_slim(ratings: DataFrame, alpha: float, k: int | None = None) -> DataFrame:
     """Weights between users: the roles swapped. Features are the k users of largest Gram entry, or all
     that share an item (small tables)."""
@@ -237,8 +248,9 @@ def scm(neighbours: DataFrame, ratings: DataFrame, kind: str, c: float) -> DataF
     return weights.select(F.col("x.items").alias("src_id"), "dst_id", F.col("x.w").alias("weight")).filter("weight > 0")
 
 
-def refit(weights: DataFrame, gram_table: DataFrame, alpha: float, k: int, phases: int) -> DataFrame:
-    """Fit again on the k largest weights of the phase before, phase by phase."""
+def refit(weights: DataFrame, table: DataFrame | pairs.Profiles, alpha: float, k: int, phases: int, fit: Callable[..., DataFrame] = slim_ridge) -> DataFrame:
+    """Fit again on the k largest weights of the phase before, phase by phase; ``table`` is what ``fit``
+    takes (a Gram table, or ratings for ``slim_ridge_of``)."""
     for _ in range(phases):
-        weights = materialize(slim_ridge(weights_to_neighbours(weights, k), gram_table, alpha), "weights")
+        weights = materialize(fit(weights_to_neighbours(weights, k), table, alpha), "weights")
     return weights

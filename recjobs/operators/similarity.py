@@ -249,6 +249,11 @@ def weights_to_neighbours(weights: DataFrame, k: int) -> DataFrame:
     return ranked.select(F.col("dst_id").alias("i"), F.col("src_id").alias("j"), F.col("weight").alias("sim"), "rank")
 
 
+def as_candidates(neighbours: DataFrame) -> DataFrame:
+    """Votes for i of a rating on its neighbour j: the list belongs to the candidate."""
+    return neighbours.select(F.col("j").alias("src_id"), F.col("i").alias("dst_id"), F.col("sim").alias("weight"))
+
+
 def as_weights(neighbours: DataFrame) -> DataFrame:
     """Votes of a rating on i for j: a neighbour table is symmetric in use, its cut is i's."""
     return neighbours.select(F.col("i").alias("src_id"), F.col("j").alias("dst_id"), F.col("sim").alias("weight"))
