@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from recjobs.functions.columns import md5_order, rounded
 from recjobs.functions.storage import materialize
+from recjobs.operators import pairs
 from recjobs.operators.prep import dense_index
-from recjobs.operators.similarity import profile_pairs, shrunk
 
 Recommender = Callable[[DataFrame, DataFrame, dict], DataFrame]  # (ratings, targets, params) -> recs
 
@@ -151,40 +151,22 @@ def neighbour_grid(ratings: DataFrame, active: DataFrame, shrinks: list[int], ks
     """``(fold, shrink, k, map)``: item neighbours cross-validated over k folds and all settings, in one
     plan. As ``cross_validate`` gives it, but that a fold without hidden ratings has no row.
 
-    Pairs of items are summed up once, by fold: what a fold's training set has is the whole less its own
-    (exact for ratings of whole numbers). A smaller k is cut from the largest by rank."""
+    Pairs of items are summed up once, by fold, in tasks (``pairs``): what a fold's training set has is the
+    whole less its own (exact for ratings of whole numbers). A smaller k is cut from the largest by rank."""
     fold_of = materialize(folds(ratings, k, seed), "folds")
-    own = ratings.join(fold_of, "user_id")
-    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold")
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-
-    def of_others(parts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-        """Sums over the other folds, for each fold; ``parts`` has one row a key and fold."""
-        table = F.map_from_entries(F.collect_list(F.struct("fold", F.struct(*names))))  # k entries at most
-        whole = parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names), table.alias("own")).select(*keys, *names, "own", every)
-        return whole.select(*keys, "fold", *((F.col(c) - F.coalesce(F.try_element_at("own", F.col("fold"))[c], F.lit(0))).alias(c) for c in names))
-
-    pairs = profile_pairs(own, of_user=["fold"]).groupBy("i", "j", "fold").agg(F.sum(F.col("ri") * F.col("rj")).alias("dot"), F.count("*").alias("co"))
-    norms = of_others(own.groupBy("item_id", "fold").agg(F.sum(F.col("rating") * F.col("rating")).alias("size")), ["item_id"], ["size"])
-    norm = lambda c: norms.select("fold", F.col("item_id").alias(c), (F.sqrt("size") + F.lit(1e-6)).alias(f"n{c}"))
-    dots = of_others(pairs, ["i", "j"], ["dot", "co"]).filter("co > 0").join(norm("i"), ["fold", "i"]).join(norm("j"), ["fold", "j"])
-    once = dots.select("fold", "i", "j", (F.col("dot") / (F.col("ni") * F.col("nj"))).alias("dot"), "co", F.explode(longs(shrinks)).alias("shrink"))
-    once = once.select("fold", "shrink", "i", "j", shrunk(F.col("dot"), F.col("co"), F.col("shrink")).alias("sim")).filter("sim > 0")
-    sims = once.unionByName(once.select("fold", "shrink", F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
-    place = F.row_number().over(Window.partitionBy("fold", "shrink", "i").orderBy(F.desc("sim"), "j"))
-    near = sims.withColumn("place", place).filter(F.col("place") <= max(ks)).join(active.select(F.col("item_id").alias("j")), "j", "left_semi")
+    own = materialize(ratings.join(fold_of, "user_id"), "own")
+    near = pairs.nearest_without(own, "fold", k, max(ks), shrinks)
+    weights = near.select(F.col("i").alias("src_id"), F.col("j").alias("dst_id"), F.col("sim").alias("weight"), "part", "variant", "rank")
+    catalogue = own.select("item_id").distinct().join(active.select("item_id", F.lit(True).alias("active")), "item_id", "left")
 
     shown = materialize(hide(profiles if profiles is not None else ratings, seed).join(fold_of, "user_id"), "shown")
     visible, hidden = shown.filter("not hidden"), shown.filter("hidden")
-    cut = F.explode(F.filter(longs(ks), lambda x: x >= F.col("place"))).alias("k")
-    votes = visible.join(near.withColumnRenamed("i", "item_id"), ["fold", "item_id"]).select("fold", "shrink", cut, "user_id", "j", (F.col("rating") * F.col("sim")).alias("vote"))
+    asked = [(shrink, c) for shrink in shrinks for c in ks]
+    lists = pairs.scores(visible.withColumnRenamed("fold", "part"), weights, catalogue, unseen=True, n=n, parts=k, variants=[(shrinks.index(shrink), c) for shrink, c in asked])
+    told = F.array(*(F.struct(F.lit(shrink).cast("long").alias("shrink"), F.lit(c).cast("long").alias("k")) for shrink, c in asked))
+    lists = lists.withColumn("x", F.get(told, F.col("setting"))).select(F.col("part").alias("fold"), "x.*", "user_id", "item_id", "score", "rank")
     settings = ["fold", "shrink", "k"]
-    scores = votes.groupBy(*settings, "user_id", F.col("j").alias("item_id")).agg(rounded(F.sum("vote")).alias("score")).filter("score > 0")
-    scores = scores.join(visible.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*settings, "user_id").orderBy(F.desc("score"), "item_id"))
-    lists = scores.withColumn("rank", rank).filter(F.col("rank") <= n)
-    asked = F.explode(F.array(*(F.struct(F.lit(s).cast("long").alias("shrink"), F.lit(c).cast("long").alias("k")) for s, c in product(shrinks, ks)))).alias("x")
-    found = average_precision(lists, hidden.select("fold", "user_id", "item_id", asked).select("fold", "user_id", "item_id", "x.*"), n, settings)
+    found = average_precision(lists, hidden.select("fold", "user_id", "item_id", F.explode(told).alias("x")).select("fold", "user_id", "item_id", "x.*"), n, settings)
     return found.groupBy(*settings).agg(rounded(F.avg("ap")).alias("map"))
 
 
