@@ -35,16 +35,32 @@ def weak_classes(confused: DataFrame, least: float = 1.8) -> DataFrame:
     return confused.join(weak, "label").filter("label <> prediction and mean_n > 0")
 
 
+def _hashed_words(features: int) -> list:
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+
+    return [RegexTokenizer(inputCol="text", outputCol="_words", pattern="[^a-z0-9_]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features)]
+
+
+def word_counts(docs: DataFrame, features: int = 4096) -> DataFrame:
+    """``(id, label, _tf)`` of ``(id, text, label)``, written once: what several classifiers are fitted on."""
+    from pyspark.ml import PipelineModel
+
+    counted = PipelineModel(_hashed_words(features)).transform(docs.fillna("", ["text"]))
+    return materialize(counted.select("id", "label", "_tf"), "words")
+
+
 def text_classifier(docs: DataFrame, penalty: float, l1_ratio: float, features: int = 4096):
-    """Logistic regression on hashed TF-IDF words of ``(id, text, label)``; returns the fitted pipeline, or
-    None where there is no labelled row. A null text is a document without words; rows without a label
-    teach nothing."""
+    """Logistic regression on hashed TF-IDF words of ``(id, text, label)``, or of ``word_counts``; returns the
+    fitted pipeline, or None where there is no labelled row. A null text is a document without words; rows
+    without a label teach nothing."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF
 
-    stages = [RegexTokenizer(inputCol="text", outputCol="_words", pattern="[^a-z0-9_]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="features"), LogisticRegression(regParam=penalty, elasticNetParam=l1_ratio, maxIter=20)]
-    labelled = docs.filter("label is not null").fillna("", ["text"])
+    words = [] if "_tf" in docs.columns else _hashed_words(features)
+    stages = [*words, IDF(inputCol="_tf", outputCol="features"), LogisticRegression(regParam=penalty, elasticNetParam=l1_ratio, maxIter=20)]
+    labelled = docs.filter("label is not null")
+    labelled = labelled.fillna("", ["text"]) if words else labelled
     return None if labelled.isEmpty() else Pipeline(stages=stages).fit(labelled)
 
 
@@ -55,14 +71,15 @@ def class_probabilities(model, docs: DataFrame) -> DataFrame:
 
     if model is None:
         return docs.select("id", "label", F.lit(None).cast("int").alias("prediction"), F.array().cast("array<double>").alias("probability")).limit(0)
-    return model.transform(docs.fillna("", ["text"])).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
+    docs = docs if "_tf" in docs.columns else docs.fillna("", ["text"])
+    return model.transform(docs).select("id", "label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability").alias("probability"))
 
 
 def repeated_predictions(docs: DataFrame, repetitions: int, penalty: float, l1_ratio: float = 0.0, test_share: float = 0.25, seed: int = 1) -> DataFrame:
     """``(rep, id, label, prediction, probability)`` of the test rows of each repetition of a stratified
     split, by a model fitted on its other rows; ``probability`` is that of the row's own label. Rows
     without a label are left out; an empty table gives no rows."""
-    docs = docs.filter("label is not null")
+    docs = word_counts(docs.filter("label is not null"))  # texts are read and split once
     split = materialize(stratified_split(docs.select("id", "label"), repetitions, test_share, seed), "split")
     out = None
     for rep in range(repetitions):  # models to fit, not data
